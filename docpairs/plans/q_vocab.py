@@ -153,3 +153,27 @@ def q_decode_ids(spark, sf_dir):
     enc = enc.withColumn("ids", F.concat("ids", F.array(F.lit(1000000007).cast("bigint"))))
     dec = V.decode(enc, "ids", voc)
     return dec.select("pair_id", T.join_tokens("tokens").alias("tokens"))
+
+
+def d_encode(name: str, source: str, col_expr: str, vocab: str, keys: str = "pair_id") -> str:
+    """DuckDB encode CTEs: explode with positions, left join, ordered regroup."""
+    return (f"{name}_x AS (SELECT {keys}, unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE c END) AS token, "
+            f"unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE generate_series(0, len(c) - 1) END) AS pos "
+            f"FROM (SELECT {keys}, {col_expr} AS c FROM {source}) s), "
+            f"{name} AS (SELECT {keys}, coalesce(list(coalesce(d.idx, 3) ORDER BY x.pos) "
+            f"FILTER (WHERE x.pos IS NOT NULL), []) AS ids FROM {name}_x x LEFT JOIN {vocab} d "
+            f"ON x.token = d.token GROUP BY {keys})")
+
+
+def train_vocabs(spark, sf_dir):
+    """Code (35000) and doc (20000) vocabularies from the train split, as (side, token, idx, freq)."""
+    vt = valid_tokens(spark, sf_dir, "train")
+    both = (vt.select("pair_id", F.lit("code").alias("side"), F.col("src").alias("tokens"))
+            .unionByName(vt.select("pair_id", F.lit("doc").alias("side"), F.col("tgt").alias("tokens"))))
+    return V.build_vocab_by(V.token_freq(both, "tokens", by=["side"]), "side", {"code": 35000, "doc": 20000})
+
+
+VOCABS_CTES = (CLEANED_CTE, VALID_TOKENS_CTE, TRAIN_SRC, d_freq("cf", "train_tok", "src"),
+               d_freq("df", "train_tok", "tgt"), d_vocab("cv", "cf", 35000), d_vocab("dv", "df", 20000),
+               "cvall AS (SELECT * FROM cv UNION ALL " + SPECIALS_SQL + ")",
+               "dvall AS (SELECT * FROM dv UNION ALL " + SPECIALS_SQL + ")")
