@@ -50,8 +50,7 @@ VALID_TOKENS_CTE = (
 
 def oracle(sql: str, *ctes: str, views=("pairs",)) -> str:
     """Oracle text: fixture views, then extra CTEs, then the final SELECT."""
-    head = fixtures.with_views("", *views).rstrip()
-    extra = ",\n".join(ctes)
-    if extra:
-        head = head + ",\n" + extra
-    return head + "\n" + sql
+    parts = [f"{n} AS ({fixtures.VIEWS[n]})" for n in views] + list(ctes)
+    if not parts:
+        return sql
+    return "WITH " + ",\n".join(parts) + "\n" + sql
