@@ -79,11 +79,12 @@ def epoch_report(run_log: DataFrame, teacher_forcing: float = TEACHER_FORCING) -
 
 def best_so_far(run_log: DataFrame) -> DataFrame:
     """L4: running best before each epoch and whether this epoch improves on it
-    (strictly lower validation loss; the first epoch always improves)."""
+    (strictly lower validation loss; the first epoch improves on +inf). A missing
+    loss never improves, as NaN never compares lower."""
     w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     prev = F.min("val_loss").over(w)
     return run_log.withColumn("prev_best", prev).withColumn(
-        "improved", F.coalesce(F.col("val_loss") < F.col("prev_best"), F.lit(True)))
+        "improved", F.coalesce(F.col("val_loss") < F.col("prev_best"), F.col("val_loss").isNotNull()))
 
 
 def early_stop(run_log: DataFrame, patience: int = PATIENCE) -> DataFrame:
@@ -92,7 +93,10 @@ def early_stop(run_log: DataFrame, patience: int = PATIENCE) -> DataFrame:
     b = best_so_far(run_log)
     w = Window.partitionBy("run").orderBy("epoch")
     b = b.withColumn("_grp", F.sum(F.col("improved").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.withColumn("streak", (F.row_number().over(Window.partitionBy("run", "_grp").orderBy("epoch")) - 1).cast("bigint"))
+    # Inside a group the first row is the improvement (counter 0); epochs before any
+    # improvement (group 0) already count from 1.
+    rn = F.row_number().over(Window.partitionBy("run", "_grp").orderBy("epoch"))
+    b = b.withColumn("streak", (rn - F.when(F.col("_grp") > 0, 1).otherwise(0)).cast("bigint"))
     stop = F.min(F.when(F.col("streak") >= patience, F.col("epoch"))).over(Window.partitionBy("run"))
     b = b.withColumn("stop_epoch", stop)
     return (b.where(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch")))

@@ -75,9 +75,9 @@ def q_epoch_report(spark, sf_dir):
 
 
 _BEST = ("bs AS (SELECT *, min(val_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM run_log)",
-         "bi AS (SELECT *, coalesce(val_loss < prev_best, true) AS improved FROM bs)",
+         "bi AS (SELECT *, coalesce(val_loss < prev_best, val_loss IS NOT NULL) AS improved FROM bs)",
          "bg AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM bi)",
-         "bk AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, grp ORDER BY epoch) - 1 AS BIGINT) AS streak FROM bg)",
+         "bk AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, grp ORDER BY epoch) - CASE WHEN grp > 0 THEN 1 ELSE 0 END AS BIGINT) AS streak FROM bg)",
          "bst AS (SELECT *, min(CASE WHEN streak >= 5 THEN epoch END) OVER (PARTITION BY run) AS stop_epoch FROM bk)",
          "es AS (SELECT run, epoch, train_loss, val_loss, prev_best, improved, streak, "
          "coalesce(epoch = stop_epoch, false) AS stopped_here FROM bst WHERE stop_epoch IS NULL OR epoch <= stop_epoch)")
