@@ -23,13 +23,15 @@ METRIC_ORDER = ("BLEU-1", "BLEU-2", "BLEU-3", "BLEU-4", "ROUGE-1", "ROUGE-2", "R
 
 
 def row_stats(df: DataFrame, ref_col: str = "reference", pred_col: str = "prediction",
-              keys=("model", "pair_id"), rouge_tokenizer=T.rouge_tokens) -> DataFrame:
+              keys=("model", "pair_id"), rouge_arrays: tuple | None = None) -> DataFrame:
     """Per row: BLEU clipped matches m1..m4 and denominators d1..d4, lengths, ROUGE-1/2/L
-    F-measures and the exact-match flag."""
+    F-measures and the exact-match flag. ``rouge_arrays`` names (reference, prediction)
+    token-array columns to use for ROUGE instead of the unstemmed ROUGE tokens."""
     keys = list(keys)
+    rr, rp = ((F.col(rouge_arrays[0]), F.col(rouge_arrays[1])) if rouge_arrays
+              else (T.rouge_tokens(ref_col), T.rouge_tokens(pred_col)))
     base = df.select(*keys, T.whitespace_tokens(ref_col).alias("_r"), T.whitespace_tokens(pred_col).alias("_p"),
-                     rouge_tokenizer(ref_col).alias("_rr"), rouge_tokenizer(pred_col).alias("_rp"),
-                     T.exact_match(ref_col, pred_col).alias("_em"))
+                     rr.alias("_rr"), rp.alias("_rp"), T.exact_match(ref_col, pred_col).alias("_em"))
     cols = [*keys, F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len")]
     for n in BLEU_ORDERS:
         cols.append(N.clipped_overlap(N.ngrams("_p", n), N.ngrams("_r", n)).alias(f"m{n}"))
@@ -82,9 +84,10 @@ def metric_columns(counts: DataFrame) -> dict:
 
 
 def evaluate_all(df: DataFrame, ref_col: str = "reference", pred_col: str = "prediction",
-                 by=("model",), keys=("model", "pair_id"), metrics=METRIC_ORDER) -> DataFrame:
+                 by=("model",), keys=("model", "pair_id"), metrics=METRIC_ORDER,
+                 rouge_arrays: tuple | None = None) -> DataFrame:
     """M5: long table (by..., metric, value) of all metrics in one pass."""
-    counts = corpus_counts(row_stats(df, ref_col, pred_col, keys), by)
+    counts = corpus_counts(row_stats(df, ref_col, pred_col, keys, rouge_arrays), by)
     mc = metric_columns(counts)
     wide = counts.select(*by, *[mc[m].alias(m) for m in metrics])
     return wide.unpivot(list(by), list(metrics), "metric", "value")
@@ -122,3 +125,24 @@ def bleu_from_counts(m: list, d: list, hyp: int, ref: int, k: int) -> float:
     bp = 1.0 if hyp > ref else (0.0 if hyp == 0 else math.exp(1 - ref / hyp))
     ps = [(BLEU_EPSILON / d[i]) if m[i] == 0 else m[i] / d[i] for i in range(4)]
     return bp * math.exp(sum(math.log(ps[i]) / k for i in range(k))) * 100
+
+
+def stem_tokens(df: DataFrame, cols: dict, keys=("model", "pair_id")) -> DataFrame:
+    """Replace token arrays by their stems through a distinct-token dimension.
+
+    ``cols`` maps input array column -> output column. Distinct tokens are stemmed
+    once (Arrow UDF). The dimension is joined without a hint: AQE turns the join
+    into a broadcast only when the measured size of the dimension is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else it stays a shuffle join.
+    Rows are rebuilt in order with one regroup by ``keys``."""
+    from ..functions.stem import stem_udf
+    keys = list(keys)
+    arms = [F.struct(F.lit(c).alias("col"), F.col(c).alias("toks")) for c in cols]
+    ex = (df.select(*keys, F.explode(F.array(*arms)).alias("_a"))
+          .select(*keys, F.col("_a.col").alias("col"), F.posexplode_outer("_a.toks").alias("pos", "token")))
+    dim = ex.select("token").where(F.col("token").isNotNull()).distinct().withColumn("stem", stem_udf("token"))
+    j = ex.join(dim, "token", "left")
+    aggs = [F.array_sort(F.collect_list(F.when((F.col("col") == c) & F.col("pos").isNotNull(),
+                                                F.struct("pos", "stem")))).alias(f"_{o}") for c, o in cols.items()]
+    g = j.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[F.transform(f"_{o}", lambda x: x["stem"]).alias(o) for o in cols.values()])

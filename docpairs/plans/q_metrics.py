@@ -168,3 +168,26 @@ def q_align_predictions(spark, sf_dir):
 def q_evaluate_from_files(spark, sf_dir):
     m = _aligned(spark, sf_dir).where(F.col("status") == "matched").withColumn("model", F.lit("file"))
     return M.evaluate_all(m).select("metric", "value")
+
+
+def _stem_input(spark, sf_dir):
+    from ..functions import text as T
+    ev = _eval(spark, sf_dir)
+    return ev.select("model", "pair_id", "reference", "prediction",
+                     T.rouge_tokens("reference").alias("rr"), T.rouge_tokens("prediction").alias("rp"))
+
+
+# T6 with stemming: rows-only (the stemmer is the 1980 algorithm, not a library's variant).
+@register("stem_dim")
+def q_stem_dim(spark, sf_dir):
+    from ..functions.stem import stem_udf
+    toks = _stem_input(spark, sf_dir).select(F.explode(F.concat("rr", "rp")).alias("token")).distinct()
+    return toks.select("token", F.when(F.length("token") > 3, stem_udf("token")).otherwise(F.col("token")).alias("stem"))
+
+
+@register("rouge_n_stemmed")
+def q_rouge_n_stemmed(spark, sf_dir):
+    src = _stem_input(spark, sf_dir)
+    stems = M.stem_tokens(src, {"rr": "srr", "rp": "srp"})
+    joined = src.join(stems, ["model", "pair_id"])
+    return M.evaluate_all(joined, metrics=["ROUGE-1", "ROUGE-2", "ROUGE-L"], rouge_arrays=("srr", "srp"))

@@ -99,3 +99,15 @@ def q_top_code_tokens(spark, sf_dir):
     from pyspark.sql import Window
     w = Window.orderBy(F.desc("freq"), F.asc("first"))
     return top.select("token", "freq", F.row_number().over(w).cast("bigint").alias("rnk"))
+
+
+# Prepared pairs written as JSON lines partitioned by split into the shared
+# checkpoint folder, then read back with an explicit schema.
+@register("save_roundtrip", oracle(
+    "SELECT pair_id, split, code, docstring, func_name FROM valid", CLEANED_CTE))
+def q_save_roundtrip(spark, sf_dir):
+    from ..streaming.streams import scratch
+    from pyspark.sql import types as Ty
+    path = io.save_pairs(io.prepare_dataset(pairs(spark, sf_dir), None, RAW_RENAME), scratch(spark, "prepared"))
+    schema = Ty.StructType(io.PROCESSED_SCHEMA.fields + [Ty.StructField("split", Ty.StringType())])
+    return io.read_pairs(spark, path, "json", schema).select("pair_id", "split", "code", "docstring", "func_name")

@@ -66,3 +66,12 @@ def test_lcs_both_paths_match_plain_dp(spark):
     df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
     got = {r["i"]: r["l"] for r in df.select("i", N.lcs_length("a", "b").alias("l")).collect()}
     assert all(got[i] == _dp(a, b) for i, a, b in rows)
+
+
+def test_porter_stemmer_examples():
+    from docpairs.functions.stem import porter_stem
+    cases = {"caresses": "caress", "ponies": "poni", "relational": "relat", "conditional": "condit",
+             "hopping": "hop", "filing": "file", "happy": "happi", "adjustment": "adjust",
+             "generalization": "gener", "agreed": "agre", "rate": "rate", "cease": "ceas",
+             "controll": "control", "sized": "size", "motoring": "motor"}
+    assert {w: porter_stem(w) for w in cases} == cases
