@@ -75,16 +75,19 @@ def clean_code(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """Number of Python ``str.split()`` words."""
-    return F.regexp_count(_col(c), F.lit(f"{NOT_WS}+"))
+    """Number of Python ``str.split()`` words (pieces between whitespace runs)."""
+    return F.size(F.filter(F.split(_col(c), f"{WS}+"), lambda x: x != ""))
 
 
-def reject_reason(code, doc) -> Column:
+def reject_reason(code, doc, doc_words=None, code_words=None) -> Column:
     """First failing validity rule (null when the pair is valid).
 
-    Inputs are the *cleaned* code and docstring."""
+    Inputs are the *cleaned* code and docstring. ``doc_words``/``code_words`` may
+    name precomputed word counts, so a table operator counts each side once
+    instead of once per CASE branch."""
     code, doc = _col(code), _col(doc)
-    dw, cw = word_count(doc), word_count(code)
+    dw = _col(doc_words) if doc_words is not None else word_count(doc)
+    cw = _col(code_words) if code_words is not None else word_count(code)
     prefix = "^(?:" + "|".join(BOILERPLATE_PREFIXES) + ")"
     return (F.when((code == "") | (doc == ""), F.lit("empty"))
             .when(dw < MIN_WORDS, F.lit("doc_too_short"))
@@ -93,9 +96,9 @@ def reject_reason(code, doc) -> Column:
             .when(F.lower(strip_ws(doc)).rlike(prefix), F.lit("boilerplate")))
 
 
-def is_valid_pair(code, doc) -> Column:
+def is_valid_pair(code, doc, doc_words=None, code_words=None) -> Column:
     """A pair is valid when no rule rejects it."""
-    return reject_reason(code, doc).isNull()
+    return reject_reason(code, doc, doc_words, code_words).isNull()
 
 
 def split_identifier(t) -> Column:

@@ -19,14 +19,26 @@ def clean_pairs(df: DataFrame, code_col: str = "code", doc_col: str = "docstring
 
 
 def with_reject_reason(df: DataFrame, code_col: str = "code", doc_col: str = "docstring") -> DataFrame:
-    """Add ``reason``: the first failing rule on the cleaned sides, null if valid."""
-    return df.withColumn("reason", T.reject_reason(code_col, doc_col))
+    """Add ``reason``: the first failing rule on the cleaned sides, null if valid.
+
+    Word counts are computed once in their own projection (Catalyst does not inline
+    an expensive expression that is referenced more than once)."""
+    counted = df.withColumns({"_dw": T.word_count(doc_col), "_cw": T.word_count(code_col)})
+    return (counted.withColumn("reason", T.reject_reason(code_col, doc_col, "_dw", "_cw"))
+            .drop("_dw", "_cw"))
 
 
 def keep_valid(df: DataFrame, code_col: str = "code", doc_col: str = "docstring") -> DataFrame:
-    """Keep pairs that pass every rule (P3). Cheap checks are ordered first by Catalyst's
-    short-circuiting CASE; no rows leave the executor."""
-    return df.where(T.is_valid_pair(code_col, doc_col))
+    """Keep pairs that pass every rule.
+
+    The rows are emitted by ``inline`` of a one-element array that is null for a
+    rejected pair, instead of a ``Filter`` on ``reason``: Catalyst pushes a filter
+    below the cleaning projection (and below any repartition) by inlining the
+    cleaning expressions into the predicate, which would run the regex chains
+    twice and before the rows are spread over tasks."""
+    r = with_reject_reason(df, code_col, doc_col)
+    cols = [c for c in r.columns if c != "reason"]
+    return r.select(F.inline(F.when(F.col("reason").isNull(), F.array(F.struct(*cols)))))
 
 
 def preprocess(df: DataFrame, code_col: str = "raw_code", doc_col: str = "raw_doc") -> DataFrame:
@@ -47,7 +59,7 @@ def reject_reason_counts(df: DataFrame, by=("split",), code_col: str = "raw_code
 def kept_ratio(df: DataFrame, by=("split",), code_col: str = "raw_code",
                doc_col: str = "raw_doc") -> DataFrame:
     """Kept and total pairs per group."""
-    cleaned = clean_pairs(df, code_col, doc_col)
+    cleaned = with_reject_reason(clean_pairs(df, code_col, doc_col))
     return (cleaned.groupBy(*by)
-            .agg(F.count_if(T.is_valid_pair("code", "docstring")).cast("bigint").alias("kept"),
+            .agg(F.count_if(F.col("reason").isNull()).cast("bigint").alias("kept"),
                  F.count(F.lit(1)).cast("bigint").alias("total")))

@@ -32,12 +32,21 @@ def row_stats(df: DataFrame, ref_col: str = "reference", pred_col: str = "predic
               else (T.rouge_tokens(ref_col), T.rouge_tokens(pred_col)))
     base = df.select(*keys, T.whitespace_tokens(ref_col).alias("_r"), T.whitespace_tokens(pred_col).alias("_p"),
                      rr.alias("_rr"), rp.alias("_rp"), T.exact_match(ref_col, pred_col).alias("_em"))
+    # n-gram arrays get their own projection so each is built once per row.
+    grams = {f"_p{n}": N.ngrams("_p", n) for n in BLEU_ORDERS[1:]}
+    grams.update({f"_r{n}": N.ngrams("_r", n) for n in BLEU_ORDERS[1:]})
+    grams.update({"_rp2": N.ngrams("_rp", 2), "_rr2": N.ngrams("_rr", 2)})
+    base = base.select("*", *[c.alias(k) for k, c in grams.items()])
+
+    def g(side, n):
+        return side if n == 1 else f"{side}{n}"
+
     cols = [*keys, F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len")]
     for n in BLEU_ORDERS:
-        cols.append(N.clipped_overlap(N.ngrams("_p", n), N.ngrams("_r", n)).alias(f"m{n}"))
+        cols.append(N.clipped_overlap(g("_p", n), g("_r", n)).alias(f"m{n}"))
         cols.append(F.greatest(F.size("_p") - n + 1, F.lit(1)).cast("bigint").alias(f"d{n}"))
     for n in (1, 2):
-        m = N.clipped_overlap(N.ngrams("_rp", n), N.ngrams("_rr", n))
+        m = N.clipped_overlap(g("_rp", n), g("_rr", n))
         p = m / F.greatest(N.ngram_count("_rp", n), F.lit(1))
         r = m / F.greatest(N.ngram_count("_rr", n), F.lit(1))
         cols.append(N.fmeasure(p, r).alias(f"rouge{n}_f"))

@@ -115,10 +115,28 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
             spark.read.parquet(path).createOrReplaceTempView(name)
 
 
+# Views whose rows feed CPU-heavy row-local work (regex cleaning, tokenising,
+# n-gram metrics, parsing, losses).
+SPREAD_VIEWS = ("pairs", "eval_pairs", "py_sources", "logits")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the cluster
+    can run at once (e.g. a table stored as one row group). Planning only: no job
+    runs to count partitions. A large, well-split input is returned unchanged, so
+    at scale this adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view as a DataFrame over the tables in ``sf_dir``."""
     register_tables(spark, sf_dir, VIEW_TABLES[name])
     df = spark.sql(VIEWS[name])
+    if name in SPREAD_VIEWS:
+        df = spread(df)
     df.createOrReplaceTempView(name)
     return df
 
