@@ -6,9 +6,9 @@ the data in one task. Instead:
 
 1. range-partition on the order keys and sort inside each partition;
 2. tag each row with its partition id and ``monotonically_increasing_id``;
-3. materialise with a *reliable* ``checkpoint()`` (the shared directory named by
-   ``spark.checkpoint.dir``), so every later pass sees the same partitions even if
-   executors are lost;
+3. materialise as a Parquet table in the shared directory named by
+   ``spark.checkpoint.dir`` (one job), so every later pass sees the same tags even
+   if executors are lost;
 4. count rows per (group, partition): a table of at most groups x partitions rows;
 5. running sum of those counts = offset of each partition; broadcast that tiny
    table back and add the position inside the partition.
@@ -16,14 +16,10 @@ the data in one task. Instead:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-
-def _name(c) -> str | None:
-    return c if isinstance(c, str) else None
+from ..session import materialize
 
 
 def dense_index(df: DataFrame, order: list, out_col: str = "idx", group_cols: list | None = None,
@@ -33,14 +29,12 @@ def dense_index(df: DataFrame, order: list, out_col: str = "idx", group_cols: li
     ``order`` must make rows unique (add a tie-breaking key), otherwise ties get an
     arbitrary but consistent order."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     group_cols = list(group_cols or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_cols] + [F.col(o) if isinstance(o, str) else o for o in order]
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "dense-index")
     part = group_cols + ["_pid"]
     stats = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_min"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,6 +34,14 @@ def token_freq(df: DataFrame, tokens_col: str = "tokens", id_col: str = "pair_id
             .agg(F.count(F.lit(1)).cast("bigint").alias("freq"), F.min(F.struct(*parts)).alias("first")))
 
 
+def token_freq_sides(df: DataFrame, sides: dict, id_col: str = "pair_id", batch: int | None = None) -> DataFrame:
+    """V1 for several token columns in one pass: ``sides`` maps side name -> token
+    column. One scan, one explode, one aggregate keyed by (side, token)."""
+    arms = [F.struct(F.lit(k).alias("side"), F.col(c).alias("tokens")) for k, c in sides.items()]
+    ex = df.select(id_col, F.inline(F.array(*arms)))
+    return token_freq(ex, "tokens", id_col, batch=batch, by=["side"])
+
+
 def _specials(spark) -> DataFrame:
     return spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIAL_TOKENS)],
                                  "token string, idx bigint, freq bigint")
@@ -75,6 +83,12 @@ def build_vocab_by(freq: DataFrame, by: str, caps: dict, min_freq: int = DEFAULT
     ``caps`` maps group value -> max_size. Each group gets its own top-k over the
     shared count table (the groups are a small known set), so no window ever holds
     all tokens of one group in one task; the numbered rows are bounded by the cap."""
+    if len(caps) > 1:
+        # One pass over the corpus: the count table (one row per group and token, far
+        # smaller than the corpus) is written to the shared checkpoint folder and
+        # every group's top-k reads it, instead of each group re-scanning the corpus.
+        from ..session import materialize
+        freq = materialize(freq.where(F.col("freq") >= min_freq), "token-counts")
     parts = [build_vocab(freq.where(F.col(by) == k).drop(by), min_freq, cap)
              .withColumn(by, F.lit(k)) for k, cap in caps.items()]
     out = parts[0]

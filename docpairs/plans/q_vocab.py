@@ -112,10 +112,7 @@ def q_extend_vocab(spark, sf_dir):
     CLEANED_CTE, VALID_TOKENS_CTE, TRAIN_SRC, d_freq("cf", "train_tok", "src"), d_freq("df", "train_tok", "tgt"),
     d_vocab("cv", "cf", 35000), d_vocab("dv", "df", 20000)))
 def q_build_vocabularies(spark, sf_dir):
-    vt = valid_tokens(spark, sf_dir, "train")
-    both = (vt.select("pair_id", F.lit("code").alias("side"), F.col("src").alias("tokens"))
-            .unionByName(vt.select("pair_id", F.lit("doc").alias("side"), F.col("tgt").alias("tokens"))))
-    freq = V.token_freq(both, "tokens", by=["side"])
+    freq = V.token_freq_sides(valid_tokens(spark, sf_dir, "train"), {"code": "src", "doc": "tgt"})
     return V.build_vocab_by(freq, "side", {"code": 35000, "doc": 20000})
 
 
@@ -167,10 +164,8 @@ def d_encode(name: str, source: str, col_expr: str, vocab: str, keys: str = "pai
 
 def train_vocabs(spark, sf_dir):
     """Code (35000) and doc (20000) vocabularies from the train split, as (side, token, idx, freq)."""
-    vt = valid_tokens(spark, sf_dir, "train")
-    both = (vt.select("pair_id", F.lit("code").alias("side"), F.col("src").alias("tokens"))
-            .unionByName(vt.select("pair_id", F.lit("doc").alias("side"), F.col("tgt").alias("tokens"))))
-    return V.build_vocab_by(V.token_freq(both, "tokens", by=["side"]), "side", {"code": 35000, "doc": 20000})
+    freq = V.token_freq_sides(valid_tokens(spark, sf_dir, "train"), {"code": "src", "doc": "tgt"})
+    return V.build_vocab_by(freq, "side", {"code": 35000, "doc": 20000})
 
 
 VOCABS_CTES = (CLEANED_CTE, VALID_TOKENS_CTE, TRAIN_SRC, d_freq("cf", "train_tok", "src"),

@@ -63,3 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="docpairs-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local_dir)
     return local_dir
+
+
+def materialize(df, tag: str = "stage"):
+    """Write ``df`` as Parquet into a fresh folder under the shared checkpoint
+    directory and read it back: one job, lineage cut, and the result survives
+    executor loss. (``Dataset.checkpoint`` would compute its input twice unless
+    it were also persisted.)"""
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
