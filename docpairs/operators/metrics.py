@@ -41,23 +41,31 @@ def row_stats(df: DataFrame, ref_col: str = "reference", pred_col: str = "predic
     def g(side, n):
         return side if n == 1 else f"{side}{n}"
 
-    cols = [*keys, F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len")]
+    # Counts first, as attributes; the F-measures reuse them (an overlap or LCS
+    # expression referenced in P, R and F would otherwise be evaluated each time).
+    cols = [*keys, F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len"),
+            F.size("_rp").alias("_np"), F.size("_rr").alias("_nr")]
     for n in BLEU_ORDERS:
         cols.append(N.clipped_overlap(g("_p", n), g("_r", n)).alias(f"m{n}"))
         cols.append(F.greatest(F.size("_p") - n + 1, F.lit(1)).cast("bigint").alias(f"d{n}"))
     for n in (1, 2):
-        m = N.clipped_overlap(g("_rp", n), g("_rr", n))
-        p = m / F.greatest(N.ngram_count("_rp", n), F.lit(1))
-        r = m / F.greatest(N.ngram_count("_rr", n), F.lit(1))
-        cols.append(N.fmeasure(p, r).alias(f"rouge{n}_f"))
-    lcs = N.lcs_length("_rp", "_rr")
-    pl = F.try_divide(lcs, F.size("_rp"))
-    rl = F.try_divide(lcs, F.size("_rr"))
-    cols.append(lcs.alias("lcs"))
-    cols.append(F.when((F.size("_rp") == 0) | (F.size("_rr") == 0), F.lit(0.0))
-                .otherwise(N.fmeasure(pl, rl)).alias("rougeL_f"))
+        cols.append(N.clipped_overlap(g("_rp", n), g("_rr", n)).alias(f"_rm{n}"))
+    cols.append(N.lcs_length("_rp", "_rr").alias("lcs"))
     cols.append(F.col("_em").cast("int").alias("em"))
-    return base.select(*cols)
+    counted = base.select(*cols)
+
+    out = [c for c in counted.columns if not c.startswith("_")]
+    derived = []
+    for n in (1, 2):
+        m = F.col(f"_rm{n}")
+        p = m / F.greatest(F.col("_np") - n + 1, F.lit(1))
+        r = m / F.greatest(F.col("_nr") - n + 1, F.lit(1))
+        derived.append(N.fmeasure(p, r).alias(f"rouge{n}_f"))
+    pl = F.try_divide(F.col("lcs"), F.col("_np"))
+    rl = F.try_divide(F.col("lcs"), F.col("_nr"))
+    derived.append(F.when((F.col("_np") == 0) | (F.col("_nr") == 0), F.lit(0.0))
+                   .otherwise(N.fmeasure(pl, rl)).alias("rougeL_f"))
+    return counted.select(*out, *derived)
 
 
 def corpus_counts(stats: DataFrame, by=("model",)) -> DataFrame:
