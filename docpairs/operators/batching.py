@@ -16,13 +16,14 @@ CODE_VOCAB_SIZE, DOC_VOCAB_SIZE = 35000, 20000
 
 
 def encode_sides(df: DataFrame, vocabs: DataFrame, sides: dict, keys=("pair_id",),
-                 known_bound: int | None = CODE_VOCAB_SIZE + DOC_VOCAB_SIZE) -> DataFrame:
+                 known_bound: int | None = None) -> DataFrame:
     """Encode several token columns of each row in one pass.
 
     ``sides`` maps vocabulary side -> (token column, max tokens or None). One
     explode over all sides, one broadcast join on (side, token), one regroup by
     ``keys``: output ``keys`` + one ``<side>_ids`` column per side, order kept,
-    unknown -> 3, empty -> ``[]``."""
+    unknown -> 3, empty -> ``[]``. ``known_bound``: the vocabularies' total size cap,
+    if any; otherwise they are counted before being broadcast."""
     keys = list(keys)
     arms = []
     for side, (col, cap) in sides.items():
@@ -42,10 +43,11 @@ def encode_sides(df: DataFrame, vocabs: DataFrame, sides: dict, keys=("pair_id",
 
 
 def seq2seq_examples(df: DataFrame, vocabs: DataFrame, src_col: str = "src", tgt_col: str = "tgt",
-                     keys=("pair_id", "split"), max_src: int = MAX_SRC_LEN, max_tgt: int = MAX_TGT_LEN) -> DataFrame:
+                     keys=("pair_id", "split"), max_src: int = MAX_SRC_LEN, max_tgt: int = MAX_TGT_LEN,
+                     known_bound: int | None = None) -> DataFrame:
     """B1: source ids of at most ``max_src`` code tokens; target = SOS + ids of at most
     ``max_tgt`` doc tokens + EOS. ``vocabs`` has sides ``code`` and ``doc``."""
-    enc = encode_sides(df, vocabs, {"code": (src_col, max_src), "doc": (tgt_col, max_tgt)}, keys)
+    enc = encode_sides(df, vocabs, {"code": (src_col, max_src), "doc": (tgt_col, max_tgt)}, keys, known_bound)
     return enc.select(*keys, F.col("code_ids").alias("src_ids"),
                       F.concat(F.array(F.lit(SOS_IDX).cast("bigint")), "doc_ids",
                                F.array(F.lit(EOS_IDX).cast("bigint"))).alias("tgt_ids"))

@@ -75,7 +75,8 @@ def argmax(logits) -> F.Column:
 
 
 def greedy_decode(steps: DataFrame, vocab: DataFrame, seq_col: str = "seq_id", pos_col: str = "pos",
-                  logits_col: str = "logits", max_len: int = MAX_GEN_LEN) -> DataFrame:
+                  logits_col: str = "logits", max_len: int = MAX_GEN_LEN,
+                  known_bound: int | None = None) -> DataFrame:
     """I3 over a table of step logits: argmax per step, keep steps up to and including
     the first EOS and at most ``max_len``; decode with ``vocab``, drop specials, join.
 
@@ -85,5 +86,5 @@ def greedy_decode(steps: DataFrame, vocab: DataFrame, seq_col: str = "seq_id", p
             .select(seq_col, F.transform("_s", lambda x: x["_tok"]).alias("_ids")))
     cut = F.coalesce(F.nullif(F.array_position("_ids", F.lit(EOS_IDX)), F.lit(0)), F.size("_ids"))
     ids = seqs.select(seq_col, F.slice(F.slice("_ids", 1, cut), 1, max_len).alias("ids"))
-    dec = decode(ids, "ids", vocab, id_col=seq_col, out_col="tokens")
+    dec = decode(ids, "ids", vocab, id_col=seq_col, out_col="tokens", known_bound=known_bound)
     return ids.join(dec, seq_col).select(seq_col, "ids", join_tokens(strip_specials("tokens")).alias("text"))

@@ -136,11 +136,14 @@ def _lookup_side(vocab: DataFrame, key: str, val: str, known_bound: int | None)
 
 
 def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "pair_id",
-           out_col: str = "ids", known_bound: int | None = DEFAULT_MAX_SIZE) -> DataFrame:
+           out_col: str = "ids", known_bound: int | None = None) -> DataFrame:
     """V4: token array -> id array, unknown -> 3, order kept, ``[]`` for empty input.
 
     Plan: explode (narrow) -> left join with the broadcast vocabulary (the big side
     does not move, so hot tokens cost nothing) -> one regroup by ``id_col``.
+    ``known_bound`` is the vocabulary's size cap when it has one (e.g. ``max_size``);
+    without it the vocabulary is counted before it is broadcast, and a vocabulary
+    beyond the broadcast bound is joined by shuffle instead.
     Returns (id_col, out_col)."""
     ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
     j = ex.join(_lookup_side(vocab, "token", "idx", known_bound), "token", "left")
@@ -150,7 +153,7 @@ def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "pair
 
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "pair_id",
-           out_col: str = "tokens", known_bound: int | None = DEFAULT_MAX_SIZE) -> DataFrame:
+           out_col: str = "tokens", known_bound: int | None = None) -> DataFrame:
     """V5: id array -> token array, unknown id -> ``<UNK>``."""
     ex = df.select(id_col, F.posexplode_outer(ids_col).alias("pos", "idx"))
     j = ex.join(_lookup_side(vocab, "idx", "token", known_bound), "idx", "left")

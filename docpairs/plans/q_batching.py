@@ -18,7 +18,9 @@ def _j(c):
 
 def examples(spark, sf_dir):
     """B1 over every split, with the train vocabularies."""
-    return B.seq2seq_examples(valid_tokens(spark, sf_dir), train_vocabs(spark, sf_dir))
+    # The train vocabularies are capped at 35000 + 20000 entries by construction.
+    return B.seq2seq_examples(valid_tokens(spark, sf_dir), train_vocabs(spark, sf_dir),
+                              known_bound=B.CODE_VOCAB_SIZE + B.DOC_VOCAB_SIZE)
 
 
 _EX_CTES = VOCABS_CTES + (

@@ -51,5 +51,5 @@ _GD = ("steps AS (SELECT seq_id, pos, CAST(list_position(logits, list_max(logits
     "FROM cut JOIN dec ON cut.seq_id = dec.seq_id", *VOCABS_CTES, *_GD, views=("pairs", "logits")))
 def q_greedy_decode(spark, sf_dir):
     voc = train_vocabs(spark, sf_dir).where(F.col("side") == "doc").drop("side")
-    g = S.greedy_decode(fixtures.view(spark, sf_dir, "logits"), voc)
+    g = S.greedy_decode(fixtures.view(spark, sf_dir, "logits"), voc, known_bound=20000)
     return g.select("seq_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "text")

@@ -134,7 +134,7 @@ def _doc_vocab(spark, sf_dir):
 @register("encode_tokens", oracle(
     "SELECT pair_id, array_to_string(coalesce(ids, []), ' ') AS ids FROM enc", *_ENC_CTES))
 def q_encode_tokens(spark, sf_dir):
-    enc = V.encode(valid_tokens(spark, sf_dir, "validation"), "tgt", _doc_vocab(spark, sf_dir))
+    enc = V.encode(valid_tokens(spark, sf_dir, "validation"), "tgt", _doc_vocab(spark, sf_dir), known_bound=20000)
     return enc.select("pair_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -146,9 +146,9 @@ def q_encode_tokens(spark, sf_dir):
     "LEFT JOIN dvall d ON e.idx = d.idx GROUP BY e.pair_id", *_ENC_CTES))
 def q_decode_ids(spark, sf_dir):
     voc = _doc_vocab(spark, sf_dir)
-    enc = V.encode(valid_tokens(spark, sf_dir, "validation"), "tgt", voc)
+    enc = V.encode(valid_tokens(spark, sf_dir, "validation"), "tgt", voc, known_bound=20000)
     enc = enc.withColumn("ids", F.concat("ids", F.array(F.lit(1000000007).cast("bigint"))))
-    dec = V.decode(enc, "ids", voc)
+    dec = V.decode(enc, "ids", voc, known_bound=20000)
     return dec.select("pair_id", T.join_tokens("tokens").alias("tokens"))
 
 
