@@ -153,6 +153,8 @@ def stem_tokens(df: DataFrame, cols: dict, keys=("model", "pair_id")) -> DataFra
     ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else it stays a shuffle join.
     Rows are rebuilt in order with one regroup by ``keys``."""
     from ..functions.stem import stem_udf
+    from ..session import ensure_package_on_workers
+    ensure_package_on_workers(df.sparkSession)
     keys = list(keys)
     arms = [F.struct(F.lit(c).alias("col"), F.col(c).alias("toks")) for c in cols]
     ex = (df.select(*keys, F.explode(F.array(*arms)).alias("_a"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import EOS_IDX, join_tokens, strip_specials
+from ..session import ensure_package_on_workers
 from .vocab import decode
 
 # The reference's messages and model names.
@@ -63,6 +64,7 @@ def score(df: DataFrame, factory=no_model, id_col: str = "request_id", code_col:
           type_col: str | None = "model_type", default_type: str = DEFAULT_MODEL_TYPE) -> DataFrame:
     """Documentation for each code row. Errors go to ``error`` with a null
     ``documentation``. Works on batch and streaming DataFrames."""
+    ensure_package_on_workers(df.sparkSession)
     cols = [id_col, code_col] + ([type_col] if type_col else [])
     return df.select(*cols).mapInPandas(
         lambda it: _score_batches(it, factory, id_col, code_col, type_col, default_type), SCORE_SCHEMA)

@@ -15,10 +15,11 @@ for _mod in ("q_tokens", "q_vocab", "q_batching", "q_metrics", "q_runlog",
 
 
 def _wrap(name, fn):
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, ensure_package_on_workers
 
     def run(spark, sf_dir):
         ensure_checkpoint_dir(spark)
+        ensure_package_on_workers(spark)
         return fn(spark, sf_dir)
     run.__name__ = f"query_{name}"
     run.__doc__ = fn.__doc__

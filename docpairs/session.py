@@ -79,3 +79,35 @@ def materialize(df, tag: str = "stage"):
     path = os.path.join(root, f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ensure_package_on_workers(spark: SparkSession) -> None:
+    """Make ``docpairs`` importable in the Python workers (``mapInPandas`` and pandas
+    UDF bodies refer to its functions). The package is zipped once per application
+    into the shared checkpoint folder and added with ``addPyFile``; Spark ships it
+    to every executor, including ones added later."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = ensure_checkpoint_dir(spark)
+    local_root = root[len("file:"):] if root.startswith("file:") else root
+    if "://" in local_root:
+        # Shared storage that is not a local path: build the zip on the driver's
+        # scratch space and let Spark distribute it from there.
+        local_root = tempfile.mkdtemp(prefix="docpairs-pkg-")
+    os.makedirs(local_root, exist_ok=True)
+    zpath = os.path.join(local_root, f"docpairs-{app}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
