@@ -55,15 +55,28 @@ def load_split(df: DataFrame, split: str = "train", max_samples: int | None = No
 
 def load_all_splits(df: DataFrame, max_samples_per_split: int | None = None,
                     rename: dict | None = None) -> DataFrame:
-    """All three splits. A split that fails to load becomes empty, the others go on.
+    """All three splits of one table. (Per-split sources that may fail are read
+    with :func:`load_split_sources`.)
 
     The per-split cap is a top-k per split (bounded state), not a window over a
     split, so a split holding most rows never lands in one task."""
-    spark = df.sparkSession
+    return reduce(DataFrame.unionByName, [load_split(df, s, max_samples_per_split, rename) for s in SPLITS])
+
+
+def load_split_sources(spark: SparkSession, sources: dict, fmt: str = "parquet",
+                       max_samples_per_split: int | None = None, rename: dict | None = None,
+                       order_col: str = "pair_id") -> DataFrame:
+    """S2 over per-split mirrors: ``sources`` maps split -> path. A split whose source
+    is missing or unreadable (the error surfaces when the source is resolved) becomes
+    an empty DataFrame of the raw-pair schema; the other splits go on."""
     parts = []
-    for s in SPLITS:
+    for split, path in sources.items():
         try:
-            parts.append(load_split(df, s, max_samples_per_split, rename))
+            df = spark.read.format(fmt).load(path)
+            df = df.withColumn("split", F.lit(split))
+            if order_col not in df.columns:
+                df = df.withColumn(order_col, F.monotonically_increasing_id())
+            parts.append(load_split(df, split, max_samples_per_split, rename))
         except Exception:  # noqa: BLE001 - the reference tolerates a failing split
             parts.append(spark.createDataFrame([], RAW_PAIR_SCHEMA))
     return reduce(DataFrame.unionByName, parts)
@@ -84,18 +97,20 @@ def prepare_dataset(df: DataFrame, limits: dict | None = None, rename: dict | No
 
 
 def prepare_with_counts(df: DataFrame, limits: dict | None = None, rename: dict | None = None):
-    """S7 with the kept/total log line gathered in the same pass via ``observe``."""
+    """S7 with the kept/total log line gathered in the same pass via ``observe``.
+    Returns (kept pairs, Observation); the observation is filled when the kept
+    pairs are written or otherwise executed."""
     from pyspark.sql import Observation
+
+    from ..operators.cleaning import clean_pairs, with_reject_reason
     limits = limits or {}
     loaded = reduce(DataFrame.unionByName,
                     [load_split(df, s, limits.get(s), rename) for s in SPLITS])
     obs = Observation("prepare")
-    from ..operators.cleaning import clean_pairs
-    from ..functions.text import is_valid_pair
-    cleaned = clean_pairs(loaded).withColumn("_ok", is_valid_pair("code", "docstring"))
-    cleaned = cleaned.observe(obs, F.count(F.lit(1)).alias("total"),
-                              F.count_if(F.col("_ok")).alias("kept"))
-    kept = cleaned.where("_ok").select("pair_id", "split", "code", "docstring", "func_name")
+    judged = with_reject_reason(clean_pairs(loaded)).observe(
+        obs, F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("kept"))
+    cols = ["pair_id", "split", "code", "docstring", "func_name"]
+    kept = judged.select(F.inline(F.when(F.col("reason").isNull(), F.array(F.struct(*cols)))))
     return kept, obs
 
 

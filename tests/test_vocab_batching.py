@@ -79,3 +79,24 @@ def test_fixed_length_shapes(spark):
     assert len(r["input_ids"]) == 256 and r["input_ids"][0] == 1 and r["input_ids"][255] == 2
     assert r["labels"][:5] == [1, 6, 7, 2, 0] and len(r["labels"]) == 128
     assert sum(r["attention_mask"]) == 256
+
+
+def test_failing_split_becomes_empty(spark, tmp_path):
+    from docpairs.sources import io
+    good = str(tmp_path / "train")
+    spark.createDataFrame([(1, "def f(): pass", "Doc one two.")], "pair_id long, code string, docstring string") \
+        .write.parquet(good)
+    out = io.load_split_sources(spark, {"train": good, "validation": str(tmp_path / "missing")})
+    rows = out.collect()
+    assert [(r["split"], r["pair_id"], r["language"]) for r in rows] == [("train", 1, "python")]
+    assert rows[0]["repo"] == ""
+
+
+def test_prepare_with_counts_observes_one_pass(spark):
+    from docpairs.plans.common import pairs
+    from docpairs.plans.q_pairs import RAW_RENAME
+    from docpairs.sources import io
+    kept, obs = io.prepare_with_counts(pairs(spark, "/root/testdata/sf0.001"), None, RAW_RENAME)
+    n = kept.count()
+    got = obs.get
+    assert got["kept"] == n and got["total"] == 200
