@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import scoring as S
 from ..sources import fixtures
 from .common import oracle, valid
-from .q_vocab import VOCABS_CTES, train_vocabs
+from .q_vocab import VOCABS_CTES, _doc_vocab
 from .registry import register
 
 _TYPE = "CASE split WHEN 'train' THEN 'codebert' WHEN 'validation' THEN 'seq2seq' ELSE 'gpt' END"
@@ -50,6 +50,6 @@ _GD = ("steps AS (SELECT seq_id, pos, CAST(list_position(logits, list_max(logits
     "array_to_string(list_filter(toks, lambda w: NOT list_contains(['<PAD>', '<SOS>', '<EOS>', '<UNK>'], w)), ' ') AS text "
     "FROM cut JOIN dec ON cut.seq_id = dec.seq_id", *VOCABS_CTES, *_GD, views=("pairs", "logits")))
 def q_greedy_decode(spark, sf_dir):
-    voc = train_vocabs(spark, sf_dir).where(F.col("side") == "doc").drop("side")
+    voc = _doc_vocab(spark, sf_dir)
     g = S.greedy_decode(fixtures.view(spark, sf_dir, "logits"), voc, known_bound=20000)
     return g.select("seq_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "text")

@@ -100,3 +100,24 @@ def test_prepare_with_counts_observes_one_pass(spark):
     n = kept.count()
     got = obs.get
     assert got["kept"] == n and got["total"] == 200
+
+
+def test_load_caps_are_first_rows_in_order(spark):
+    from docpairs.plans.common import pairs
+    from docpairs.plans.q_pairs import RAW_RENAME
+    from docpairs.sources import io
+    p = pairs(spark, "/root/testdata/sf0.001")
+    train_ids = sorted(r["pair_id"] for r in p.where("split = 'train'").select("pair_id").collect())
+    got = [r["pair_id"] for r in io.load_split(p, "train", 5, RAW_RENAME).collect()]
+    assert sorted(got) == train_ids[:5]
+    assert io.load_split(p, "train", 0, RAW_RENAME).count() == len(train_ids)  # 0 = no limit
+    per = io.load_all_splits(p, 3, RAW_RENAME).groupBy("split").count().collect()
+    assert sorted((r["split"], r["count"]) for r in per) == [("test", 3), ("train", 3), ("validation", 3)]
+
+
+def test_repo_search_page_cap(spark):
+    from docpairs.sources import io
+    repos = spark.createDataFrame([(f"r{i}", f"u{i}", 200 + i, "python") for i in range(150)],
+                                  "name string, url string, stars long, language string")
+    out = io.repo_search(repos, max_repos=500).collect()
+    assert len(out) == 100 and out[0]["stars"] == 349
