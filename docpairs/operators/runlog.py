@@ -60,6 +60,19 @@ def batch_losses(logits: DataFrame, masked: bool = True, smoothing: float = LABE
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_tokens"), F.avg("_l").alias("batch_loss")))
 
 
+def batch_losses_both(logits: DataFrame, smoothing: float = LABEL_SMOOTHING, by=("batch_id",)) -> DataFrame:
+    """L1 and L2 in one pass: per batch the masked, smoothed mean and the plain mean."""
+    keep = (F.col("pos") > 0) & (F.col("target") != PAD_TARGET)
+    lse = log_sum_exp("logits")
+    z = F.element_at("logits", F.col("target").cast("int") + 1).cast("double")
+    mean = F.aggregate("logits", F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size("logits")
+    staged = logits.select(*by, keep.alias("_k"), lse.alias("_lse"), z.alias("_z"), mean.alias("_mean"))
+    masked = F.lit(1.0 - smoothing) * (F.col("_lse") - F.col("_z")) + F.lit(smoothing) * (F.col("_lse") - F.col("_mean"))
+    return staged.groupBy(*by).agg(
+        F.count_if("_k").cast("bigint").alias("n_masked"), F.avg(F.when(F.col("_k"), masked)).alias("masked_loss"),
+        F.count(F.lit(1)).cast("bigint").alias("n_tokens"), F.avg(F.col("_lse") - F.col("_z")).alias("unmasked_loss"))
+
+
 def epoch_loss(batches: DataFrame, by=()) -> DataFrame:
     """Mean over batches of batch means (not token-weighted)."""
     g = batches.groupBy(*by) if by else batches.groupBy()

@@ -51,11 +51,12 @@ def q_unmasked_loss(spark, sf_dir):
     "round((SELECT avg(batch_loss) FROM bu), 6) AS unmasked_epoch_loss, "
     "CAST((SELECT count(*) FROM bu) AS BIGINT) AS n_batches", *_LOSS_CTES, views=("logits",)))
 def q_logits_epoch_loss(spark, sf_dir):
-    lg = _logits(spark, sf_dir)
-    m = L.epoch_loss(L.batch_losses(lg, masked=True)).select(F.col("epoch_loss").alias("m"))
-    u = L.epoch_loss(L.batch_losses(lg, masked=False))
-    return m.crossJoin(u).select(_r6("m").alias("masked_epoch_loss"), _r6("epoch_loss").alias("unmasked_epoch_loss"),
-                                 "n_batches")
+    # One pass: both batch losses per batch, then the mean of batch means of each
+    # (a batch with no kept token has a null masked mean and is skipped, like avg).
+    b = L.batch_losses_both(_logits(spark, sf_dir))
+    return b.agg(_r6(F.avg("masked_loss")).alias("masked_epoch_loss"),
+                 _r6(F.avg("unmasked_loss")).alias("unmasked_epoch_loss"),
+                 F.count(F.lit(1)).cast("bigint").alias("n_batches"))
 
 
 def _run_log(spark, sf_dir):
