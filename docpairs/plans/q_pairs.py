@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import cleaning, vocab
 from ..sources import fixtures, io
 from . import duck as D
-from .common import CLEANED_CTE, cleaned, oracle, pairs, valid
+from .common import CLEANED_CTE, oracle, pairs, valid
 from .registry import register
 
 RAW_RENAME = {"code": "raw_code", "docstring": "raw_doc"}

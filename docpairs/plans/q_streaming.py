@@ -43,7 +43,6 @@ def q_stream_token_freq(spark, sf_dir):
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
     path, schema = _stream_src(spark, sf_dir)
-    from pyspark.sql import types as Ty
     src = ST.read_stream(spark, path, schema)
     req = (cleaning.preprocess(src, "raw_code", "raw_doc")
            .select(F.col("pair_id").alias("request_id"), "code", F.expr(_TYPE).alias("model_type")))
