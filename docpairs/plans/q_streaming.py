@@ -33,11 +33,10 @@ def q_stream_prepare(spark, sf_dir):
     CLEANED_CTE, VALID_TOKENS_CTE))
 def q_stream_token_freq(spark, sf_dir):
     path, schema = _stream_src(spark, sf_dir)
-    # Tokens of the valid pairs only: clean + validate inside the stream, then tokenise.
-    from ..functions.text import clean_code, is_valid_pair, clean_docstring
-    toks = F.when(is_valid_pair(clean_code("raw_code"), clean_docstring("raw_doc")),
-                  T.tokenize_code(clean_code("raw_code"))).otherwise(F.array().cast("array<string>"))
-    return ST.stream_token_freq(spark, path, schema, toks)
+    # Tokens of the valid pairs only: clean and validate inside the stream, then tokenise.
+    def prepare(df):
+        return cleaning.preprocess(df, "raw_code", "raw_doc").select(T.tokenize_code("code").alias("tokens"))
+    return ST.stream_token_freq_with(spark, path, schema, prepare)
 
 
 @register("stream_score")

@@ -52,16 +52,23 @@ def stream_prepare(spark: SparkSession, src: str, schema: T.StructType,
 
 
 def stream_token_freq(spark: SparkSession, src: str, schema: T.StructType, tokens) -> DataFrame:
+    """See :func:`stream_token_freq_with`; ``tokens`` is a token-array column."""
+    return stream_token_freq_with(spark, src, schema, lambda df: df.select(tokens.alias("tokens")))
+
+
+def stream_token_freq_with(spark: SparkSession, src: str, schema: T.StructType, prepare) -> DataFrame:
     """Running token counts over successive inputs.
 
     Update mode: each micro-batch emits only the tokens whose count changed; the
     ``foreachBatch`` sink appends them with the batch id, and the current count of
     a token is its row from the latest batch. State is keyed by token (no event
-    time, so no watermark applies); it grows with the vocabulary, not the stream."""
+    time, so no watermark applies); it grows with the vocabulary, not the stream.
+    A micro-batch replayed after a failure appends the same rows again under the
+    same batch id, so reading "latest batch wins" stays correct (idempotent sink)."""
     out = scratch(spark, "stream-token-freq")
     log = out + "/log"
     stream = read_stream(spark, src, schema)
-    counts = (stream.select(F.explode(tokens).alias("token")).groupBy("token")
+    counts = (prepare(stream).select(F.explode("tokens").alias("token")).groupBy("token")
               .agg(F.count(F.lit(1)).cast("bigint").alias("freq")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
