@@ -56,16 +56,17 @@ def _dp(a, b):
     return prev[-1]
 
 
-def test_lcs_both_paths_match_plain_dp(spark):
+def test_lcs_all_paths_match_plain_dp(spark):
     rnd = random.Random(3)
     rows = []
-    for i in range(120):
-        la = rnd.choice([0, 3, 30, 70, 90])
-        lb = rnd.choice([0, 5, 40, 62, 63, 100])
+    for i in range(160):
+        la = rnd.choice([0, 3, 30, 70, 90, 130])
+        lb = rnd.choice([0, 5, 40, 62, 63, 100, 124, 125, 200])
         rows.append((i, [rnd.choice("abcdefg") for _ in range(la)], [rnd.choice("abcdefgh") for _ in range(lb)]))
     df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
-    got = {r["i"]: r["l"] for r in df.select("i", N.lcs_length("a", "b").alias("l")).collect()}
-    assert all(got[i] == _dp(a, b) for i, a, b in rows)
+    out = df.select("i", N.lcs_length("a", "b").alias("l"), N.lcs_length_dp("a", "b").alias("d")).collect()
+    got = {r["i"]: (r["l"], r["d"]) for r in out}
+    assert all(got[i] == (_dp(a, b), _dp(a, b)) for i, a, b in rows)
 
 
 def test_porter_stemmer_examples():
