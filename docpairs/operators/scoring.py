@@ -88,5 +88,5 @@ def greedy_decode(steps: DataFrame, vocab: DataFrame, seq_col: str = "seq_id", p
             .select(seq_col, F.transform("_s", lambda x: x["_tok"]).alias("_ids")))
     cut = F.coalesce(F.nullif(F.array_position("_ids", F.lit(EOS_IDX)), F.lit(0)), F.size("_ids"))
     ids = seqs.select(seq_col, F.slice(F.slice("_ids", 1, cut), 1, max_len).alias("ids"))
-    dec = decode(ids, "ids", vocab, id_col=seq_col, out_col="tokens", known_bound=known_bound)
-    return ids.join(dec, seq_col).select(seq_col, "ids", join_tokens(strip_specials("tokens")).alias("text"))
+    dec = decode(ids, "ids", vocab, id_col=seq_col, out_col="tokens", known_bound=known_bound, keep_ids=True)
+    return dec.select(seq_col, "ids", join_tokens(strip_specials("tokens")).alias("text"))

@@ -21,14 +21,18 @@ BROADCAST_VOCAB_ROWS = 2_000_000
 
 
 def token_freq(df: DataFrame, tokens_col: str = "tokens", id_col: str = "pair_id",
-               batch: int | None = None, by: list | None = None) -> DataFrame:
+               batch: int | str | None = None, by: list | None = None) -> DataFrame:
     """V1: frequency of each token and its first appearance.
 
-    ``first`` = min struct(batch?, id, pos). Hot tokens are absorbed by the
-    map-side partial aggregate, so the shuffle carries one partial per task and token."""
+    ``first`` = min struct(batch?, id, pos); ``batch`` is a constant or the name of a
+    column (then also group by it to count several batches in one pass). Hot tokens
+    are absorbed by the map-side partial aggregate, so the shuffle carries one
+    partial per task and token."""
     by = list(by or [])
-    ex = df.select(*by, id_col, F.posexplode(tokens_col).alias("pos", "token"))
-    parts = ([F.lit(batch).cast("bigint").alias("batch")] if batch is not None else []) + [
+    carry = [batch] if isinstance(batch, str) and batch not in by else []
+    ex = df.select(*by, *carry, id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    bcol = F.col(batch) if isinstance(batch, str) else F.lit(batch)
+    parts = ([bcol.cast("bigint").alias("batch")] if batch is not None else []) + [
         F.col(id_col).cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos")]
     return (ex.groupBy(*by, "token")
             .agg(F.count(F.lit(1)).cast("bigint").alias("freq"), F.min(F.struct(*parts)).alias("first")))
@@ -153,13 +157,16 @@ def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "pair
 
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "pair_id",
-           out_col: str = "tokens", known_bound: int | None = None) -> DataFrame:
-    """V5: id array -> token array, unknown id -> ``<UNK>``."""
+           out_col: str = "tokens", known_bound: int | None = None, keep_ids: bool = False) -> DataFrame:
+    """V5: id array -> token array, unknown id -> ``<UNK>``. With ``keep_ids`` the
+    input ids come back too (rebuilt from the same regroup, no join)."""
     ex = df.select(id_col, F.posexplode_outer(ids_col).alias("pos", "idx"))
     j = ex.join(_lookup_side(vocab, "idx", "token", known_bound), "idx", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(UNK)).alias("token")))
-    return (j.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-            .select(id_col, F.transform("_s", lambda x: x["token"]).alias(out_col)))
+    item = F.when(F.col("pos").isNotNull(),
+                  F.struct("pos", "idx", F.coalesce("token", F.lit(UNK)).alias("token")))
+    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    cols = [id_col] + ([F.transform("_s", lambda x: x["idx"]).alias(ids_col)] if keep_ids else [])
+    return g.select(*cols, F.transform("_s", lambda x: x["token"]).alias(out_col))
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:

@@ -99,8 +99,14 @@ _EXT_CTES = (CLEANED_CTE, VALID_TOKENS_CTE, TRAIN_SRC, VAL_SRC,
     "FROM (SELECT * FROM ftot WHERE freq >= 2 ORDER BY freq DESC, first LIMIT 50000 - (SELECT n FROM v1n)) c "
     "WHERE token NOT IN (SELECT token FROM v1all)", *_EXT_CTES))
 def q_extend_vocab(spark, sf_dir):
-    f1 = V.token_freq(valid_tokens(spark, sf_dir, "train"), "src", batch=0)
-    f2 = V.token_freq(valid_tokens(spark, sf_dir, "validation"), "src", batch=1)
+    # One pass counts both batches (train = 0, validation = 1); the count table is
+    # written once and read by the first build and by the accumulation.
+    from ..session import materialize
+    vt = valid_tokens(spark, sf_dir).where(F.col("split").isin("train", "validation"))
+    vt = vt.withColumn("batch", F.when(F.col("split") == "train", 0).otherwise(1))
+    counts = materialize(V.token_freq(vt, "src", batch="batch", by=["batch"]), "token-counts")
+    f1 = counts.where(F.col("batch") == 0).drop("batch")
+    f2 = counts.where(F.col("batch") == 1).drop("batch")
     v1 = V.build_vocab(f1, 2, 50000)
     v2, _ = V.extend_vocab(v1, f1, f2, 2, 50000)
     return v2
