@@ -42,8 +42,11 @@ def keep_valid(df: DataFrame, code_col: str = "code", doc_col: str = "docstring"
 
 
 def preprocess(df: DataFrame, code_col: str = "raw_code", doc_col: str = "raw_doc") -> DataFrame:
-    """P5: clean both sides and keep the valid pairs, as columns ``code`` and ``docstring``."""
-    return keep_valid(clean_pairs(df, code_col, doc_col))
+    """P5: clean both sides and keep the valid pairs, as columns ``code`` and ``docstring``.
+    The raw inputs are dropped (``keep_valid`` carries every remaining column)."""
+    cleaned = clean_pairs(df, code_col, doc_col)
+    raw = [c for c in (code_col, doc_col) if c not in ("code", "docstring")]
+    return keep_valid(cleaned.drop(*raw))
 
 
 def reject_reason_counts(df: DataFrame, by=("split",), code_col: str = "raw_code",

@@ -23,8 +23,8 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid cleaned pairs: pair_id, split, func_name, code, docstring."""
-    return (cleaning.preprocess(pairs(spark, sf_dir), "raw_code", "raw_doc")
-            .select("pair_id", "split", "func_name", "code", "docstring"))
+    src = pairs(spark, sf_dir).select("pair_id", "split", "func_name", "raw_code", "raw_doc")
+    return cleaning.preprocess(src, "raw_code", "raw_doc").select("pair_id", "split", "func_name", "code", "docstring")
 
 
 def valid_tokens(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
