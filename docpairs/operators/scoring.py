@@ -82,8 +82,10 @@ def greedy_decode(steps: DataFrame, vocab: DataFrame, seq_col: str = "seq_id", p
     """I3 over a table of step logits: argmax per step, keep steps up to and including
     the first EOS and at most ``max_len``; decode with ``vocab``, drop specials, join.
 
-    The regroup is per sequence (at most ``max_len`` kept steps per group)."""
-    st = steps.select(seq_col, pos_col, argmax(logits_col).alias("_tok"))
+    Steps are 0-based positions, so steps at or beyond ``max_len`` can never be
+    kept; they are dropped before the regroup, which therefore holds at most
+    ``max_len`` rows per sequence."""
+    st = steps.where(F.col(pos_col) < max_len).select(seq_col, pos_col, argmax(logits_col).alias("_tok"))
     seqs = (st.groupBy(seq_col).agg(F.array_sort(F.collect_list(F.struct(pos_col, "_tok"))).alias("_s"))
             .select(seq_col, F.transform("_s", lambda x: x["_tok"]).alias("_ids")))
     cut = F.coalesce(F.nullif(F.array_position("_ids", F.lit(EOS_IDX)), F.lit(0)), F.size("_ids"))
