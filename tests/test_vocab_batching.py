@@ -121,3 +121,12 @@ def test_repo_search_page_cap(spark):
                                   "name string, url string, stars long, language string")
     out = io.repo_search(repos, max_repos=500).collect()
     assert len(out) == 100 and out[0]["stars"] == 349
+
+
+def test_restrict_corpus_keeps_positions(spark):
+    from docpairs.operators import vectors as G
+    corpus = spark.createDataFrame([(0, 1, ["a", "x", "b", "y"]), (1, 1, []), (0, 2, ["b"])],
+                                   "side int, id long, tokens array<string>")
+    keep = spark.createDataFrame([("a",), ("b",)], "token string")
+    out = {(r["side"], r["id"]): r["tokens"] for r in G.restrict_corpus(corpus, keep, known_bound=2).collect()}
+    assert out == {(0, 1): ["a", "<OOV>", "b", "<OOV>"], (1, 1): [], (0, 2): ["b"]}
