@@ -165,3 +165,44 @@ def stem_tokens(df: DataFrame, cols: dict, keys=("model", "pair_id")) -> DataFra
                                                 F.struct("pos", "stem")))).alias(f"_{o}") for c, o in cols.items()]
     g = j.groupBy(*keys).agg(*aggs)
     return g.select(*keys, *[F.transform(f"_{o}", lambda x: x["stem"]).alias(o) for o in cols.values()])
+
+
+def long_text_counts(df: DataFrame, ref_tokens: str, pred_tokens: str, keys=("model", "pair_id"),
+                     orders=BLEU_ORDERS) -> DataFrame:
+    """Clipped n-gram matches for rows of any length: (keys..., n, matches, total,
+    hyp_len, ref_len) per row and order.
+
+    The row-local form scans a row once per common gram, which is quadratic in the
+    row; here both sides' grams are exploded and counted per (row, n, gram) in one
+    aggregate, and min(count) is summed back per (row, n). The shuffle is keyed by
+    row and gram, so a long row spreads over tasks and no group is larger than one
+    gram of one row; repeated grams combine map-side."""
+    keys = list(keys)
+    # Both sides in one explode: side 0 = prediction, 1 = reference. One aggregate
+    # keyed by (row, n, gram) yields both counts, so a single shuffle replaces two
+    # aggregates and a join.
+    arms = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), N.ngrams(col, n).alias("g"))
+            for side, col in ((0, pred_tokens), (1, ref_tokens)) for n in orders]
+    ex = df.select(*keys, F.inline(F.array(*arms))).select(*keys, "side", "n", F.explode("g").alias("gram"))
+    per_gram = ex.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("c"),
+                                                   F.count_if(F.col("side") == 1).alias("rc"))
+    m = per_gram.groupBy(*keys, "n").agg(F.sum(F.least("c", "rc")).cast("bigint").alias("matches"))
+    lens = df.select(*keys, F.size(pred_tokens).alias("hyp_len"), F.size(ref_tokens).alias("ref_len"),
+                     F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
+    return (lens.join(m, [*keys, "n"], "left")
+            .select(*keys, F.col("n").cast("bigint").alias("n"),
+                    F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"),
+                    F.greatest(F.col("hyp_len") - F.col("n") + 1, F.lit(1)).cast("bigint").alias("total"),
+                    F.col("hyp_len").cast("bigint").alias("hyp_len"), F.col("ref_len").cast("bigint").alias("ref_len")))
+
+
+def bleu_from_long_counts(counts: DataFrame, by=("model",)) -> DataFrame:
+    """Corpus BLEU-1..4 (model, metric, value) from per-row long-text counts."""
+    wide = counts.groupBy(*by).agg(
+        *[F.sum(F.when(F.col("n") == n, F.col("matches"))).cast("bigint").alias(f"m{n}") for n in BLEU_ORDERS],
+        *[F.sum(F.when(F.col("n") == n, F.col("total"))).cast("bigint").alias(f"d{n}") for n in BLEU_ORDERS],
+        F.sum(F.when(F.col("n") == 1, F.col("hyp_len"))).cast("bigint").alias("hyp_len"),
+        F.sum(F.when(F.col("n") == 1, F.col("ref_len"))).cast("bigint").alias("ref_len"))
+    names = [f"BLEU-{k}" for k in BLEU_ORDERS]
+    return (wide.select(*by, *[F.round(_bleu_k(wide, k), 2).alias(nm) for k, nm in zip(BLEU_ORDERS, names)])
+            .unpivot(list(by), names, "metric", "value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import q_pairs  # noqa: F401
 from .registry import ORACLE, QUERIES
 
-for _mod in ("q_tokens", "q_vocab", "q_batching", "q_metrics", "q_runlog",
+for _mod in ("q_tokens", "q_vocab", "q_batching", "q_metrics", "q_runlog", "q_whole",
              "q_extract", "q_scoring", "q_vectors", "q_streaming"):
     try:
         __import__(f"{__package__}.{_mod}")

@@ -66,6 +66,13 @@ SELECT doc_id AS file_id, source || '/f' || CAST(doc_id AS VARCHAR(20)) || '.py'
 FROM documents
 """
 
+# Whole documents as reference texts, with two whole-text "predictions".
+EVAL_WHOLE_SQL = """
+SELECT doc_id AS pair_id, m AS model, text AS reference,
+  CASE WHEN m = 'alpha' THEN replace(text, 'th', 'zz') ELSE replace(text, 'e', 'E') END AS prediction
+FROM documents CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) models
+"""
+
 RUN_LOG_SQL = """
 SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY d) AS BIGINT) AS epoch, train_loss, val_loss
 FROM (SELECT event_type AS run, CAST(date_trunc('day', ts) AS DATE) AS d,
@@ -90,16 +97,18 @@ FROM customer
 # Spark spelling of views whose DuckDB text uses a construct we avoid in Spark: the
 # two model rows come from exploding a literal array (a generator on each document
 # row) instead of a cross join with a two-row relation. Same rows.
+_MODELS_CROSS = "FROM documents CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) models"
+_MODELS_EXPLODE = "FROM documents LATERAL VIEW explode(array('alpha', 'beta')) models AS m"
 SPARK_VIEWS = {
-    "eval_pairs": EVAL_PAIRS_SQL.replace(
-        "FROM documents CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) models",
-        "FROM documents LATERAL VIEW explode(array('alpha', 'beta')) models AS m"),
+    "eval_pairs": EVAL_PAIRS_SQL.replace(_MODELS_CROSS, _MODELS_EXPLODE),
+    "eval_whole": EVAL_WHOLE_SQL.replace(_MODELS_CROSS, _MODELS_EXPLODE),
 }
-assert "CROSS JOIN" not in SPARK_VIEWS["eval_pairs"]
+assert all("CROSS JOIN" not in v for v in SPARK_VIEWS.values())
 
 VIEWS = {
     "pairs": PAIRS_SQL,
     "eval_pairs": EVAL_PAIRS_SQL,
+    "eval_whole": EVAL_WHOLE_SQL,
     "py_sources": PY_SOURCES_SQL,
     "run_log": RUN_LOG_SQL,
     "logits": LOGITS_SQL,
@@ -110,6 +119,7 @@ VIEWS = {
 VIEW_TABLES = {
     "pairs": ("documents",),
     "eval_pairs": ("documents",),
+    "eval_whole": ("documents",),
     "py_sources": ("documents",),
     "run_log": ("events",),
     "logits": ("embeddings",),
@@ -127,7 +137,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
 
 # Views whose rows feed CPU-heavy row-local work (regex cleaning, tokenising,
 # n-gram metrics, parsing, losses).
-SPREAD_VIEWS = ("pairs", "eval_pairs", "py_sources", "logits")
+SPREAD_VIEWS = ("pairs", "eval_pairs", "eval_whole", "py_sources", "logits")
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
