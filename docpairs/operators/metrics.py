@@ -32,24 +32,25 @@ def row_stats(df: DataFrame, ref_col: str = "reference", pred_col: str = "predic
               else (T.rouge_tokens(ref_col), T.rouge_tokens(pred_col)))
     base = df.select(*keys, T.whitespace_tokens(ref_col).alias("_r"), T.whitespace_tokens(pred_col).alias("_p"),
                      rr.alias("_rr"), rp.alias("_rp"), T.exact_match(ref_col, pred_col).alias("_em"))
-    # n-gram arrays get their own projection so each is built once per row.
-    grams = {f"_p{n}": N.ngrams("_p", n) for n in BLEU_ORDERS[1:]}
-    grams.update({f"_r{n}": N.ngrams("_r", n) for n in BLEU_ORDERS[1:]})
-    grams.update({"_rp2": N.ngrams("_rp", 2), "_rr2": N.ngrams("_rr", 2)})
+    # Sorted n-gram arrays get their own projection, so each is built and sorted once
+    # per row; the clipped overlaps are merge walks over them (O(L log L) per row).
+    grams = {f"_s{side}{n}": F.array_sort(N.ngrams(side, n))
+             for side in ("_p", "_r") for n in BLEU_ORDERS}
+    grams.update({f"_s{side}{n}": F.array_sort(N.ngrams(side, n)) for side in ("_rp", "_rr") for n in (1, 2)})
     base = base.select("*", *[c.alias(k) for k, c in grams.items()])
 
     def g(side, n):
-        return side if n == 1 else f"{side}{n}"
+        return f"_s{side}{n}"
 
     # Counts first, as attributes; the F-measures reuse them (an overlap or LCS
     # expression referenced in P, R and F would otherwise be evaluated each time).
     cols = [*keys, F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len"),
             F.size("_rp").alias("_np"), F.size("_rr").alias("_nr")]
     for n in BLEU_ORDERS:
-        cols.append(N.clipped_overlap(g("_p", n), g("_r", n)).alias(f"m{n}"))
+        cols.append(N.sorted_overlap(g("_p", n), g("_r", n)).alias(f"m{n}"))
         cols.append(F.greatest(F.size("_p") - n + 1, F.lit(1)).cast("bigint").alias(f"d{n}"))
     for n in (1, 2):
-        cols.append(N.clipped_overlap(g("_rp", n), g("_rr", n)).alias(f"_rm{n}"))
+        cols.append(N.sorted_overlap(g("_rp", n), g("_rr", n)).alias(f"_rm{n}"))
     cols.append(N.lcs_length("_rp", "_rr").alias("lcs"))
     cols.append(F.col("_em").cast("int").alias("em"))
     counted = base.select(*cols)
@@ -170,6 +171,24 @@ def stem_tokens(df: DataFrame, cols: dict, keys=("model", "pair_id")) -> DataFra
 def long_text_counts(df: DataFrame, ref_tokens: str, pred_tokens: str, keys=("model", "pair_id"),
                      orders=BLEU_ORDERS) -> DataFrame:
     """Clipped n-gram matches for rows of any length: (keys..., n, matches, total,
+    hyp_len, ref_len) per row and order, row-local: each side's grams are sorted
+    once and the overlap is a merge walk, O(L log L) per row and no shuffle."""
+    keys = list(keys)
+    sorted_cols = {f"_s{side}{n}": F.array_sort(N.ngrams(col, n))
+                   for side, col in (("p", pred_tokens), ("r", ref_tokens)) for n in orders}
+    base = df.select(*keys, F.size(pred_tokens).alias("hyp_len"), F.size(ref_tokens).alias("ref_len"),
+                     *[c.alias(k) for k, c in sorted_cols.items()])
+    arms = [F.struct(F.lit(n).cast("bigint").alias("n"), N.sorted_overlap(f"_sp{n}", f"_sr{n}").alias("matches"))
+            for n in orders]
+    return (base.select(*keys, "hyp_len", "ref_len", F.inline(F.array(*arms)))
+            .select(*keys, "n", "matches",
+                    F.greatest(F.col("hyp_len") - F.col("n") + 1, F.lit(1)).cast("bigint").alias("total"),
+                    F.col("hyp_len").cast("bigint").alias("hyp_len"), F.col("ref_len").cast("bigint").alias("ref_len")))
+
+
+def long_text_counts_exploded(df: DataFrame, ref_tokens: str, pred_tokens: str, keys=("model", "pair_id"),
+                              orders=BLEU_ORDERS) -> DataFrame:
+    """Clipped n-gram matches for rows of any length: (keys..., n, matches, total,
     hyp_len, ref_len) per row and order.
 
     The row-local form scans a row once per common gram, which is quadratic in the

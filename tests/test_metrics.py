@@ -76,3 +76,24 @@ def test_porter_stemmer_examples():
              "generalization": "gener", "agreed": "agre", "rate": "rate", "cease": "ceas",
              "controll": "control", "sized": "size", "motoring": "motor"}
     assert {w: porter_stem(w) for w in cases} == cases
+
+
+def test_sorted_overlap_matches_multiset_counts(spark):
+    from collections import Counter
+    rnd = random.Random(11)
+    rows = []
+    for i in range(200):
+        la, lb = rnd.choice([0, 1, 6, 50, 400]), rnd.choice([0, 3, 9, 50, 400])
+        rows.append((i, [rnd.choice("abcdefgh") for _ in range(la)], [rnd.choice("abcdefghij") for _ in range(lb)]))
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    df = df.select("i", F.array_sort("a").alias("sa"), F.array_sort("b").alias("sb"))
+    got = {r["i"]: r["m"] for r in df.select("i", N.sorted_overlap("sa", "sb").alias("m")).collect()}
+    assert all(got[i] == sum((Counter(a) & Counter(b)).values()) for i, a, b in rows)
+
+
+def test_long_text_counts_row_local_equals_exploded(spark):
+    from docpairs.plans.q_whole import _whole_eval
+    ev = _whole_eval(spark, "/root/testdata/sf0.001")
+    a = sorted(tuple(r) for r in M.long_text_counts(ev, "r", "p").collect())
+    b = sorted(tuple(r) for r in M.long_text_counts_exploded(ev, "r", "p").collect())
+    assert a == b and len(a) == 4 * ev.count()
