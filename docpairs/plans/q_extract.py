@@ -99,7 +99,8 @@ def q_class_bases(spark, sf_dir):
 
 # The fixture files written by Spark into the shared checkpoint folder (one
 # directory per file), read back with the binaryFile source, then extracted.
-@register("extract_from_files")
+@register("extract_from_files", oracle(
+    "SELECT file_id, ord, type, name, line_number FROM defs", *_EXPECTED, views=()))
 def q_extract_from_files(spark, sf_dir):
     root = ensure_checkpoint_dir(spark)
     out = os.path.join(root, f"py_sources-{uuid.uuid4().hex}")
