@@ -90,12 +90,28 @@ def ordered_batches(df: DataFrame, batch_size: int, order=("pair_id",), group_co
             .withColumn("pos_in_batch", (F.col("_i") % batch_size).cast("bigint")).drop("_i"))
 
 
+# Shuffle-key mixer: 31-bit state, two multiply rounds modulo the prime 2^31 - 1
+# (products stay below 2^47, so no 64-bit overflow) with xor-shift folds between.
+MIX_PRIME, MIX_MUL1, MIX_MUL2 = 2147483647, 48271, 69621
+
+
+def shuffle_key(key, seed: int, epoch: int):
+    """Repeatable pseudo-random order key of an integer ``key`` for (seed, epoch)."""
+    k = F.col(key) if isinstance(key, str) else key
+    salt = (seed * 7919 + epoch * 104729) % MIX_PRIME
+    x = F.pmod(k.cast("bigint"), F.lit(MIX_PRIME)).bitwiseXOR(F.lit(salt))
+    x = F.pmod(x * MIX_MUL1, F.lit(MIX_PRIME))
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    x = F.pmod(x * MIX_MUL2, F.lit(MIX_PRIME))
+    return x.bitwiseXOR(F.shiftright(x, 13))
+
+
 def shuffled_batches(df: DataFrame, batch_size: int, seed: int, epoch: int, key: str = "pair_id",
                      group_cols=("split",)) -> DataFrame:
     """B4 (train order): a repeatable shuffle per (seed, epoch), then batches.
 
-    The shuffle order is ``xxhash64(key, seed, epoch)`` with the key as tie-break."""
-    d = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed), F.lit(epoch)))
+    The shuffle order is ``shuffle_key(key, seed, epoch)`` with the key as tie-break."""
+    d = df.withColumn("_h", shuffle_key(key, seed, epoch))
     return ordered_batches(d, batch_size, order=("_h", key), group_cols=group_cols).drop("_h")
 
 

@@ -80,8 +80,22 @@ def q_padding_mask(spark, sf_dir):
     return b.select("pair_id", F.array_join(B.padding_mask("src_ids").cast("array<string>"), " ").alias("mask"))
 
 
-# Repeatable shuffle (seed 7, epoch 0): rows-only, the hash has no DuckDB twin.
-@register("shuffled_batches")
+def d_shuffle_key(col: str, seed: int, epoch: int) -> str:
+    p, m1, m2 = B.MIX_PRIME, B.MIX_MUL1, B.MIX_MUL2
+    salt = (seed * 7919 + epoch * 104729) % p
+    x = f"xor(({col}) % {p}, {salt})"
+    x = f"(({x}) * {m1}) % {p}"
+    x = f"xor({x}, ({x}) >> 16)"
+    x = f"(({x}) * {m2}) % {p}"
+    return f"xor({x}, ({x}) >> 13)"
+
+
+# Repeatable shuffle (seed 7, epoch 0) of each split, then batches of 64.
+@register("shuffled_batches", oracle(
+    f"SELECT pair_id, split, CAST((rn - 1) // {SEQ2SEQ_BATCH} AS BIGINT) AS batch_id, "
+    f"CAST((rn - 1) % {SEQ2SEQ_BATCH} AS BIGINT) AS pos_in_batch FROM ("
+    f" SELECT pair_id, split, row_number() OVER (PARTITION BY split ORDER BY {d_shuffle_key('pair_id', 7, 0)}, pair_id) AS rn"
+    " FROM vtok) s", *_EX_CTES))
 def q_shuffled_batches(spark, sf_dir):
     vt = valid_tokens(spark, sf_dir).select("pair_id", "split")
     return B.shuffled_batches(vt, SEQ2SEQ_BATCH, seed=7, epoch=0)
