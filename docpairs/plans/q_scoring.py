@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from ..sources import fixtures
+from . import duck as D
 from .common import oracle, valid
 from .q_vocab import VOCABS_CTES, _doc_vocab
 from .registry import register
@@ -32,7 +33,12 @@ def lead_words_factory(model_type: str):
     return lambda codes: codes.str.split().str[:8].str.join(" ")
 
 
-@register("score_batch")
+_LEAD = f"array_to_string(({D.whitespace_tokens('code')})[1:8], ' ')"
+
+
+@register("score_batch", oracle(
+    f"SELECT pair_id AS request_id, 'seq2seq' AS model_used, {_LEAD} AS documentation, "
+    "CAST(NULL AS VARCHAR) AS error FROM valid", *VOCABS_CTES[:1]))
 def q_score_batch(spark, sf_dir):
     return S.score(requests(spark, sf_dir).withColumn("model_type", F.lit("seq2seq")), lead_words_factory)
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cleaning
+from ..operators.scoring import UNKNOWN_TYPE_MSG
 from ..streaming import streams as ST
 from .common import CLEANED_CTE, VALID_TOKENS_CTE, oracle, pairs
-from .q_scoring import _TYPE, lead_words_factory
+from .q_scoring import _LEAD, _TYPE, lead_words_factory
 from .registry import register
 
 N_FILES = 4
@@ -39,7 +40,11 @@ def q_stream_token_freq(spark, sf_dir):
     return ST.stream_token_freq_with(spark, path, schema, prepare)
 
 
-@register("stream_score")
+@register("stream_score", oracle(
+    f"SELECT pair_id AS request_id, {_TYPE} AS model_used, "
+    f"CASE WHEN {_TYPE} IN ('codebert', 'seq2seq') THEN {_LEAD} END AS documentation, "
+    f"CASE WHEN {_TYPE} IN ('codebert', 'seq2seq') THEN NULL ELSE '{UNKNOWN_TYPE_MSG}' END AS error FROM valid",
+    CLEANED_CTE))
 def q_stream_score(spark, sf_dir):
     path, schema = _stream_src(spark, sf_dir)
     src = ST.read_stream(spark, path, schema)

@@ -97,3 +97,42 @@ def test_long_text_counts_row_local_equals_exploded(spark):
     a = sorted(tuple(r) for r in M.long_text_counts(ev, "r", "p").collect())
     b = sorted(tuple(r) for r in M.long_text_counts_exploded(ev, "r", "p").collect())
     assert a == b and len(a) == 4 * ev.count()
+
+
+def test_stemmed_rouge_against_brute_force(spark):
+    """Rows-only in the driver check (no stemmer in the oracle engine): compare with a
+    plain-Python computation on the small fixture instead."""
+    import re
+
+    import __spark_entry__ as E
+    from docpairs.functions.stem import porter_stem
+    sf = "/root/testdata/sf0.001"
+    rows = E.queries()["rouge_n_stemmed"](spark, sf).collect()
+    got = {(r["model"], r["metric"]): r["value"] for r in rows}
+    from docpairs.sources import fixtures
+    pairs_ = fixtures.view(spark, sf, "eval_pairs").select("model", "reference", "prediction").collect()
+
+    def toks(t):
+        return [porter_stem(w) if len(w) > 3 else w for w in re.sub(r"[^a-z0-9]+", " ", t.lower()).split()]
+
+    def grams(t, n):
+        from collections import Counter
+        return Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+
+    def f(p, r):
+        return 2 * p * r / (p + r) if p + r > 0 else 0.0
+
+    sums = {}
+    for r in pairs_:
+        rt, pt = toks(r["reference"]), toks(r["prediction"])
+        for n, name in ((1, "ROUGE-1"), (2, "ROUGE-2")):
+            g1, g2 = grams(pt, n), grams(rt, n)
+            m = sum((g1 & g2).values())
+            v = f(m / max(sum(g1.values()), 1), m / max(sum(g2.values()), 1))
+            sums.setdefault((r["model"], name), []).append(v)
+        lcs = _dp(pt, rt)
+        v = 0.0 if not pt or not rt else f(lcs / len(pt), lcs / len(rt))
+        sums.setdefault((r["model"], "ROUGE-L"), []).append(v)
+    want = {k: round(sum(v) / len(v) * 100, 2) for k, v in sums.items()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) <= 0.011 for k in want)
