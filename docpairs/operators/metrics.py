@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ngrams as N
 from ..functions import text as T
+from ..functions.rows import explode_rows
 
 BLEU_ORDERS = (1, 2, 3, 4)
 BLEU_EPSILON = 0.1  # smoothing "method 1": 0 matches -> epsilon / count
@@ -202,7 +203,7 @@ def long_text_counts_exploded(df: DataFrame, ref_tokens: str, pred_tokens: str,
     # aggregates and a join.
     arms = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), N.ngrams(col, n).alias("g"))
             for side, col in ((0, pred_tokens), (1, ref_tokens)) for n in orders]
-    ex = df.select(*keys, F.inline(F.array(*arms))).select(*keys, "side", "n", F.explode("g").alias("gram"))
+    ex = explode_rows(df.select(*keys, F.inline(F.array(*arms))), [*keys, "side", "n"], F.col("g"), "gram")
     per_gram = ex.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("c"),
                                                    F.count_if(F.col("side") == 1).alias("rc"))
     m = per_gram.groupBy(*keys, "n").agg(F.sum(F.least("c", "rc")).cast("bigint").alias("matches"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import explode_rows
 from ..functions.text import SPECIAL_TOKENS, UNK, UNK_IDX
 from .index import dense_index, maybe_broadcast
 
@@ -30,7 +31,7 @@ def token_freq(df: DataFrame, tokens_col: str = "tokens", id_col: str = "pair_id
     partial per task and token."""
     by = list(by or [])
     carry = [batch] if isinstance(batch, str) and batch not in by else []
-    ex = df.select(*by, *carry, id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    ex = explode_rows(df, [*by, *carry, id_col], F.col(tokens_col), "token", "pos")
     bcol = F.col(batch) if isinstance(batch, str) else F.lit(batch)
     parts = ([bcol.cast("bigint").alias("batch")] if batch is not None else []) + [
         F.col(id_col).cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos")]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import explode_rows
 from ..operators import cleaning, scoring
 from ..session import ensure_checkpoint_dir
 
@@ -68,7 +69,7 @@ def stream_token_freq_with(spark: SparkSession, src: str, schema: T.StructType,
     out = scratch(spark, "stream-token-freq")
     log = out + "/log"
     stream = read_stream(spark, src, schema)
-    counts = (prepare(stream).select(F.explode("tokens").alias("token")).groupBy("token")
+    counts = (explode_rows(prepare(stream), [], F.col("tokens")).groupBy("token")
               .agg(F.count(F.lit(1)).cast("bigint").alias("freq")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
