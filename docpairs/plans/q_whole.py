@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ngrams import fmeasure
 from ..operators import cleaning
 from ..operators import metrics as M
 from ..operators import vocab as V
 from ..sources import fixtures
 from . import duck as D
 from .common import oracle
-from .q_metrics import d_ngrams
+from .q_metrics import d_bleu, d_ngrams
 from .registry import register
 
 
@@ -94,7 +95,6 @@ def q_whole_text_bleu_counts(spark, sf_dir):
 
 
 def _d_bleu_long() -> str:
-    from .q_metrics import d_bleu
     cnt = ("SELECT model, " + ", ".join(
         [f"sum(CASE WHEN n = {n} THEN matches END) AS m{n}" for n in (1, 2, 3, 4)]
         + [f"sum(CASE WHEN n = {n} THEN total END) AS d{n}" for n in (1, 2, 3, 4)]
@@ -118,7 +118,6 @@ _ROUGE_LONG = _WT + _d_long("rr", "rp", (1, 2), "rg")
     "(SELECT model, n, CAST(matches AS DOUBLE) / total AS pr, CAST(matches AS DOUBLE) / greatest(ref_len - n + 1, 1) AS rc "
     "FROM rg) x GROUP BY model, n", *_ROUGE_LONG, views=("eval_whole",)))
 def q_whole_text_rouge_n(spark, sf_dir):
-    from ..functions.ngrams import fmeasure
     c = M.long_text_counts(_whole_eval(spark, sf_dir), "rr", "rp", orders=(1, 2))
     pr = F.col("matches") / F.col("total")
     rc = F.col("matches") / F.greatest(F.col("ref_len") - F.col("n") + 1, F.lit(1))
