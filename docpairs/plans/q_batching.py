@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import batching as B
+from ..session import materialize
 from .common import oracle, valid_tokens
 from .q_vocab import VOCABS_CTES, d_encode, train_vocabs
 from .registry import register
@@ -17,9 +18,14 @@ def _j(c):
 
 
 def examples(spark, sf_dir):
-    """B1 over every split, with the train vocabularies."""
+    """B1 over every split, with the train vocabularies.
+
+    The corpus is cleaned and tokenised once: the token table is written to the
+    shared checkpoint folder and both the vocabulary count and the encoding read it
+    (instead of tokenising the train split twice, or every epoch)."""
+    tokens = materialize(valid_tokens(spark, sf_dir), "valid-tokens")
     # The train vocabularies are capped at 35000 + 20000 entries by construction.
-    return B.seq2seq_examples(valid_tokens(spark, sf_dir), train_vocabs(spark, sf_dir),
+    return B.seq2seq_examples(tokens, train_vocabs(spark, sf_dir, tokens),
                               known_bound=B.CODE_VOCAB_SIZE + B.DOC_VOCAB_SIZE)
 
 

@@ -168,9 +168,11 @@ def d_encode(name: str, source: str, col_expr: str, vocab: str, keys: str = "pai
             f"ON x.token = d.token GROUP BY {keys})")
 
 
-def train_vocabs(spark, sf_dir):
-    """Code (35000) and doc (20000) vocabularies from the train split, as (side, token, idx, freq)."""
-    freq = V.token_freq_sides(valid_tokens(spark, sf_dir, "train"), {"code": "src", "doc": "tgt"})
+def train_vocabs(spark, sf_dir, tokens=None):
+    """Code (35000) and doc (20000) vocabularies from the train split, as (side, token, idx, freq).
+    ``tokens``: an already computed (pair_id, split, src, tgt) table to count from."""
+    vt = tokens.where(F.col("split") == "train") if tokens is not None else valid_tokens(spark, sf_dir, "train")
+    freq = V.token_freq_sides(vt, {"code": "src", "doc": "tgt"})
     return V.build_vocab_by(freq, "side", {"code": 35000, "doc": 20000})
 
 
