@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.stem import stem_udf
 from ..operators import metrics as M
 from ..sources import fixtures
 from . import duck as D
@@ -181,6 +180,7 @@ def _stem_input(spark, sf_dir):
 # T6 with stemming: rows-only (the stemmer is the 1980 algorithm, not a library's variant).
 @register("stem_dim")
 def q_stem_dim(spark, sf_dir):
+    from ..functions.stem import stem_udf  # imported on use: defines a pandas UDF
     toks = _stem_input(spark, sf_dir).select(F.explode(F.concat("rr", "rp")).alias("token")).distinct()
     return toks.select("token", F.when(F.length("token") > 3, stem_udf("token")).otherwise(F.col("token")).alias("stem"))
 
