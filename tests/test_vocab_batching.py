@@ -130,3 +130,19 @@ def test_restrict_corpus_keeps_positions(spark):
     keep = spark.createDataFrame([("a",), ("b",)], "token string")
     out = {(r["side"], r["id"]): r["tokens"] for r in G.restrict_corpus(corpus, keep, known_bound=2).collect()}
     assert out == {(0, 1): ["a", "<OOV>", "b", "<OOV>"], (1, 1): [], (0, 2): ["b"]}
+
+
+def test_shuffle_key_is_portable_and_epoch_dependent(spark):
+    P, M1, M2 = B.MIX_PRIME, B.MIX_MUL1, B.MIX_MUL2
+
+    def key(k, seed, epoch):
+        x = (k % P) ^ ((seed * 7919 + epoch * 104729) % P)
+        x = (x * M1) % P
+        x ^= x >> 16
+        x = (x * M2) % P
+        return x ^ (x >> 13)
+
+    df = spark.range(0, 500)
+    got = df.select("id", B.shuffle_key("id", 7, 0).alias("a"), B.shuffle_key("id", 7, 1).alias("b")).collect()
+    assert all(r["a"] == key(r["id"], 7, 0) and r["b"] == key(r["id"], 7, 1) for r in got)
+    assert sorted(range(500), key=lambda i: key(i, 7, 0)) != sorted(range(500), key=lambda i: key(i, 7, 1))
