@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from ..session import ensure_checkpoint_dir, ensure_package_on_workers
-from . import exact_dedup
+from . import bpe, exact_dedup, packing
 
-_QUERIES = [(exact_dedup.op10_exact_dedup, exact_dedup.ORACLE_SQL)]
+_QUERIES = [
+    (packing.op7_best_fit_packing, None),
+    (bpe.op8_byte_bpe, None),
+    (exact_dedup.op10_exact_dedup, exact_dedup.ORACLE_SQL),
+]
 
 
 def _wrap(fn):
