@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from ..session import ensure_checkpoint_dir, ensure_package_on_workers
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, quality, secrets, urlfilter, warc
 
 _QUERIES = [
+    (warc.op4_warc_round_trip, warc.ORACLE_SQL),
+    (secrets.op5_secret_scan, None),
+    (quality.op6_quality_classifier, None),
     (packing.op7_best_fit_packing, None),
     (bpe.op8_byte_bpe, None),
+    (urlfilter.op9_url_filter, None),
     (exact_dedup.op10_exact_dedup, exact_dedup.ORACLE_SQL),
 ]
 
