@@ -39,6 +39,32 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return materialize(df, tag)
 
 
+def local_path(uri: str) -> str | None:
+    """The path of a ``file:`` uri or plain path; None for another store."""
+    if "://" in uri and not uri.startswith("file:"):
+        return None
+    return "/" + uri.removeprefix("file:").lstrip("/")
+
+
+def save_file(folder: str, name: str, data: bytes) -> None:
+    """Write a file into a folder of the shared store, whole or not at all: a task that
+    runs again replaces it by the same file."""
+    path = local_path(folder)
+    hidden = f"_{name}.{uuid.uuid4().hex}"
+    if path is None:
+        from pyarrow import fs
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{hidden}") as f:
+            f.write(data)
+        store.move(f"{path}/{hidden}", f"{path}/{name}")
+        return
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/{hidden}", "wb") as f:
+        f.write(data)
+    os.replace(f"{path}/{hidden}", f"{path}/{name}")
+
+
 def ascii_lower_bytes(data):
     """Lower-case A-Z in a numpy uint8 array (a copy). Bytes of multi-byte UTF-8
     characters are 0x80 or more and stay as they are."""

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..session import ensure_checkpoint_dir, ensure_package_on_workers
-from . import bpe, exact_dedup, packing, quality, secrets, urlfilter, warc
+from . import bpe, exact_dedup, lm, packing, quality, secrets, urlfilter, warc
 
 _QUERIES = [
+    (lm.op3_kneser_ney, None),
     (warc.op4_warc_round_trip, warc.ORACLE_SQL),
     (secrets.op5_secret_scan, None),
     (quality.op6_quality_classifier, None),

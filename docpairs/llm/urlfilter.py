@@ -33,6 +33,8 @@ from .common import lower_ascii, read, written
 #: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: What stands between the names of a host.
+NOT_WORD = r"[^\p{L}\p{N}]+"
 MAX_WORD = 20
 HOT_SHARE = 1000
 SMOOTHING = 1.0
@@ -123,12 +125,12 @@ def _hot_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFr
 
 def url_tokens(urls: DataFrame, segments: DataFrame) -> DataFrame:
     """``row, rule_verdict, token``: ``h:`` words of the host and ``p:`` words of the path."""
-    hosts = urls.select("row", "rule_verdict", F.explode(F.split("host", r"\.")).alias("label")).where("label <> ''")
+    hosts = urls.select("row", "rule_verdict", F.explode(F.split("host", NOT_WORD)).alias("label")).where("label <> ''")
     n = hosts.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     table = written(segments.join(n, "label"), "segments")
     joined = _hot_join(hosts, table, "label", hosts.count())
     host = joined.select("row", "rule_verdict", F.explode(F.transform("words", lambda w: F.concat(F.lit("h:"), w))).alias("token"))
-    path = urls.select("row", "rule_verdict", F.explode(F.split(lower_ascii("path"), r"[^a-z0-9]+")).alias("w"))
+    path = urls.select("row", "rule_verdict", F.explode(F.split(lower_ascii("path"), NOT_WORD)).alias("w"))
     path = path.where("w <> ''").select("row", "rule_verdict", F.concat(F.lit("p:"), "w").alias("token"))
     return host.unionByName(path)
 
@@ -153,7 +155,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     (``page_id, url, html``)."""
     urls = rule_columns(split_url(pages.select("page_id", "url")), rules).drop("url")
     urls = written(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
-    labels = urls.select(F.explode(F.split("host", r"\.")).alias("label")).where("label <> ''").distinct()
+    labels = urls.select(F.explode(F.split("host", NOT_WORD)).alias("label")).where("label <> ''").distinct()
     counts = written(word_counts(pages, "html"), "words")
     segments = segment_labels(labels, counts)
     tokens = written(url_tokens(urls, segments), "url-words")

@@ -27,16 +27,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
-import uuid
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, run_folder, written
+from .common import read, run_folder, save_file, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -175,26 +173,6 @@ def read_archive(data: bytes):
 
 
 # ------------------------------------------------------------------ tables
-def _save(folder: str, name: str, data: bytes) -> str:
-    """Write a file into a folder of the shared store, whole or not at all."""
-    if "://" in folder and not folder.startswith("file:"):
-        from pyarrow import fs
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
-        temporary = f"{path}/_{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(temporary) as f:
-            f.write(data)
-        store.move(temporary, f"{path}/{name}")
-        return f"{folder}/{name}"
-    path = "/" + folder.removeprefix("file:").lstrip("/")
-    os.makedirs(path, exist_ok=True)
-    temporary = f"{path}/_{name}.{uuid.uuid4().hex}"
-    with open(temporary, "wb") as f:
-        f.write(data)
-    os.replace(temporary, f"{path}/{name}")
-    return f"{folder}/{name}"
-
-
 def plan_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``page_id, digest, refers_to`` of the pages that become revisits, one row each."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -218,7 +196,7 @@ def write_pages(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, r
 
         def flush():
             name = f"pages-{task:06d}-{number:04d}.warc.zst"
-            _save(folder, name, write_archive(records, sample))
+            save_file(folder, name, write_archive(records, sample))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(records)], pa.int64())], ["archive", "records"])
 
         for batch in batches:
