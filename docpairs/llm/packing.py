@@ -70,17 +70,18 @@ class PieceEncoder:
             words = [w[1:] for w in words]
         else:
             head, *words = text.split(" ")
-        first = self._ids([head])[0] if head else b""
         forms = self.forms
-        try:
-            return first + b"".join([forms[w] for w in words])
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in forms})
-        found = dict(zip(missing, self._ids([" " + w for w in missing])))
-        if len(forms) < CACHED_FORMS:
-            forms.update((w, ids) for w, ids in found.items() if len(w) <= 64)
-        return first + b"".join([forms[w] if w in forms else found[w] for w in words])
+        ids = list(map(forms.get, words))
+        if None in ids:
+            missing = list({w for w, known in zip(words, ids) if known is None})
+            first, *found = self._ids([head, *[" " + w for w in missing]])
+            new = dict(zip(missing, found))
+            ids = [new[w] if known is None else known for w, known in zip(words, ids)]
+            if len(forms) < CACHED_FORMS:
+                forms.update((w, x) for w, x in new.items() if len(w) <= 64)
+        else:
+            first = self._ids([head])[0]
+        return first + b"".join(ids)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
