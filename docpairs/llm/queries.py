@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ..session import ensure_checkpoint_dir, ensure_package_on_workers
-from . import bpe, exact_dedup, lm, minhash, packing, quality, secrets, urlfilter, warc
+from . import bpe, exact_dedup, fingerprint, lm, minhash, packing, quality, secrets, urlfilter, warc
 
 _QUERIES = [
     (minhash.op1_minhash_near_dedup, None),
+    (fingerprint.op2_order_minhash, None),
     (lm.op3_kneser_ney, None),
     (warc.op4_warc_round_trip, warc.ORACLE_SQL),
     (secrets.op5_secret_scan, None),
