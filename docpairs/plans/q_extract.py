@@ -19,7 +19,7 @@ from .registry import register
 
 _EXPECTED = (
     "src AS (SELECT doc_id, source || '/f' || CAST(doc_id AS VARCHAR(20)) || '.py' AS path, "
-    "replace(replace(replace(substr(text, 1, 60), chr(10), ' '), chr(34), ''), chr(92), '') AS t60, "
+    "replace(replace(replace(text, chr(10), ' '), chr(34), ''), chr(92), '') AS body, "
     "doc_id % 7 AS k7, doc_id % 5 AS k5, "
     "CASE WHEN doc_id % 3 = 0 THEN 'async def f' ELSE 'def f' END || CAST(doc_id AS VARCHAR(20)) || '(a, b=1, *c, d=2):' AS def_line, "
     "CASE WHEN doc_id % 2 = 0 THEN 'class C(Base, x.Y):' ELSE 'class C(Generic[T], metaclass=M):' END AS class_line, "
@@ -27,10 +27,10 @@ _EXPECTED = (
     "FROM documents WHERE doc_id % 29 <> 0)",
     "fn AS (SELECT CAST(doc_id AS BIGINT) AS file_id, path, 'function' AS type, 'f' || CAST(doc_id AS VARCHAR(20)) AS name, "
     "CASE WHEN k7 IN (3, 4) THEN def_line ELSE def_line || chr(10) || '    return a' END AS code, "
-    "CASE WHEN k7 < 5 THEN ltrim(t60) || chr(10) || 'more' ELSE trim(t60) END AS docstring, "
+    "CASE WHEN k7 < 5 THEN ltrim(body) || chr(10) || 'more' ELSE trim(body) END AS docstring, "
     "'a,b' AS args, CAST(3 AS BIGINT) AS line_number, "
     "CASE k5 WHEN 0 THEN 'get' WHEN 1 THEN 'functools.cache' WHEN 2 THEN 'trace' WHEN 3 THEN 'unknown' ELSE '' END AS decorators, "
-    "CAST(NULL AS VARCHAR) AS methods, CAST(NULL AS VARCHAR) AS bases FROM src WHERE trim(t60) <> '')",
+    "CAST(NULL AS VARCHAR) AS methods, CAST(NULL AS VARCHAR) AS bases FROM src WHERE trim(body) <> '')",
     "cl AS (SELECT CAST(doc_id AS BIGINT) AS file_id, path, 'class' AS type, 'C' AS name, "
     "class_line || chr(10) || '    \"\"\"A class.\"\"\"' || chr(10) || '    def m(self): pass' AS code, "
     "'A class.' AS docstring, CAST(NULL AS VARCHAR) AS args, "

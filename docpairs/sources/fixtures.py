@@ -1,7 +1,8 @@
 """Driver tables and the derived fixture views.
 
-Every view is one SQL text that runs unchanged in Spark SQL and DuckDB, so the
-Spark side and the DuckDB oracle start from the same rows. The views only
+Every view is one SQL text for Spark SQL and DuckDB (only "one row per line" and "one row
+per model" are spelled for each engine), so the Spark side and the DuckDB oracle start
+from the same rows. The views only
 re-shape the driver's parquet tables (documents, events, embeddings, customer);
 their size grows with the tables.
 """
@@ -18,38 +19,49 @@ DRIVER_TABLES = (
     "conversations",
 )
 
+# Every line of every document, with its place: the pairs and the evaluation texts are
+# built from these rows, so the whole text of a document is covered. Each engine has its
+# own spelling of "one row per line".
+PAIR_ID_STEP = 1048576  # above the number of lines of any document
+LINES_SPARK = f"""(
+  SELECT doc_id * {PAIR_ID_STEP} + line_no AS pair_id, lang, source, line
+  FROM documents LATERAL VIEW posexplode(split(text, '\\n')) l AS line_no, line) doc_lines"""
+LINES_DUCK = f"""(
+  SELECT doc_id * {PAIR_ID_STEP} + line_no AS pair_id, lang, source, line
+  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
+          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) l) doc_lines"""
+
 PAIRS_SQL = """
-SELECT doc_id AS pair_id,
-  CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split,
+SELECT pair_id,
+  CASE WHEN pair_id % 10 < 8 THEN 'train' WHEN pair_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split,
   lang AS language, source AS repo,
-  source || '/m' || CAST(doc_id AS VARCHAR(20)) || '.py' AS path,
-  CASE WHEN doc_id % 2 = 0 THEN 'get_' || lang || '_Item' ELSE 'loadHTTP' || lang || 'Row2' END AS func_name,
-  CASE WHEN doc_id % 47 = 0 THEN NULL WHEN doc_id % 43 = 0 THEN '' ELSE
-    'def ' || CASE WHEN doc_id % 2 = 0 THEN 'get_' || lang || '_Item' ELSE 'loadHTTP' || lang || 'Row2' END
+  source || '/m' || CAST(pair_id AS VARCHAR(20)) || '.py' AS path,
+  CASE WHEN pair_id % 2 = 0 THEN 'get_' || lang || '_Item' ELSE 'loadHTTP' || lang || 'Row2' END AS func_name,
+  CASE WHEN pair_id % 47 = 0 THEN NULL WHEN pair_id % 43 = 0 THEN '' ELSE
+    'def ' || CASE WHEN pair_id % 2 = 0 THEN 'get_' || lang || '_Item' ELSE 'loadHTTP' || lang || 'Row2' END
     || '(a, b):' || chr(10) || chr(9) || 'x = a + b  ' || chr(10) || chr(10) || chr(10) || chr(10)
-    || '    if x >= ' || CAST(doc_id % 7 AS VARCHAR(20)) || ':' || chr(10)
-    || chr(9) || chr(9) || 'return "' || replace(substr(text, 1, 60), chr(10), ' ') || '"' || chr(10)
+    || '    if x >= ' || CAST(pair_id % 7 AS VARCHAR(20)) || ':' || chr(10)
+    || chr(9) || chr(9) || 'return "' || line || '"' || chr(10)
     || '  ' || chr(10) || '    return __x' || chr(10) || chr(10) END AS raw_code,
-  CASE WHEN doc_id % 41 = 0 THEN NULL ELSE
-    '\"\"\"' || CASE WHEN doc_id % 13 = 0 THEN 'TODO ' WHEN doc_id % 17 = 0 THEN 'Getter for ' ELSE '' END
-    || substr(text, 1, 4 + (doc_id * 37) % 900)
-    || CASE doc_id % 5
+  CASE WHEN pair_id % 41 = 0 THEN NULL ELSE
+    '\"\"\"' || CASE WHEN pair_id % 13 = 0 THEN 'TODO ' WHEN pair_id % 17 = 0 THEN 'Getter for ' ELSE '' END
+    || line
+    || CASE pair_id % 5
          WHEN 0 THEN chr(10) || '    Args:' || chr(10) || '        a: first'
          WHEN 1 THEN ' see https://ex.org/p?q=1 now'
          WHEN 2 THEN chr(10) || chr(9) || 'RETURNS: it'
          WHEN 3 THEN chr(160) || 'nb'
          ELSE '' END || '\"\"\"' END AS raw_doc
-FROM documents
+FROM {lines}
 """
 
 EVAL_PAIRS_SQL = """
-SELECT doc_id AS pair_id, m AS model,
-  replace(substr(text, 1, 60 + doc_id % 200), chr(10), ' ') AS reference,
-  CASE WHEN m = 'alpha' AND doc_id % 4 = 0 THEN '  ' || replace(replace(replace(substr(text, 1, 60 + doc_id % 200), chr(10), ' '), 'e', 'E'), 'n', 'N') || ' '
-       WHEN m = 'alpha' THEN replace(replace(substr(text, 1, 60 + doc_id % 200), chr(10), ' '), 'th', 'zz')
-       WHEN doc_id % 31 = 0 THEN ''
-       ELSE replace(substr(text, 1, CAST(floor((60 + doc_id % 200) / 2) AS INT)), chr(10), ' ') END AS prediction
-FROM documents CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) models
+SELECT pair_id, m AS model, line AS reference,
+  CASE WHEN m = 'alpha' AND pair_id % 4 = 0 THEN '  ' || replace(replace(line, 'e', 'E'), 'n', 'N') || ' '
+       WHEN m = 'alpha' THEN replace(line, 'th', 'zz')
+       WHEN pair_id % 31 = 0 THEN ''
+       ELSE replace(replace(replace(line, ' the ', ' '), ' de ', ' '), ' die ', ' ') END AS prediction
+FROM {lines} {models}
 """
 
 PY_SOURCES_SQL = """
@@ -57,7 +69,7 @@ SELECT doc_id AS file_id, source || '/f' || CAST(doc_id AS VARCHAR(20)) || '.py'
   'import os' || chr(10)
   || CASE doc_id % 5 WHEN 0 THEN '@app.get("/x")' WHEN 1 THEN '@functools.cache' WHEN 2 THEN '@trace' WHEN 3 THEN '@reg[0]' ELSE '# plain' END || chr(10)
   || CASE WHEN doc_id % 3 = 0 THEN 'async def f' ELSE 'def f' END || CAST(doc_id AS VARCHAR(20)) || '(a, b=1, *c, d=2):' || chr(10)
-  || '    \"\"\"' || replace(replace(replace(substr(text, 1, 60), chr(10), ' '), chr(34), ''), chr(92), '')
+  || '    \"\"\"' || replace(replace(replace(text, chr(10), ' '), chr(34), ''), chr(92), '')
   || CASE WHEN doc_id % 7 < 3 THEN chr(10) || '    more' || chr(10) || '    \"\"\"' WHEN doc_id % 7 < 5 THEN chr(10) || '    more\"\"\"' ELSE '\"\"\"' END || chr(10)
   || '    return a' || chr(10)
   || CASE WHEN doc_id % 2 = 0 THEN 'class C(Base, x.Y):' ELSE 'class C(Generic[T], metaclass=M):' END || chr(10)
@@ -70,7 +82,7 @@ FROM documents
 EVAL_WHOLE_SQL = """
 SELECT doc_id AS pair_id, m AS model, text AS reference,
   CASE WHEN m = 'alpha' THEN replace(text, 'th', 'zz') ELSE replace(text, 'e', 'E') END AS prediction
-FROM documents CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) models
+FROM documents {models}
 """
 
 RUN_LOG_SQL = """
@@ -94,21 +106,21 @@ SELECT 'org/' || c_name AS name, 'https://ex.org/' || c_name AS url,
 FROM customer
 """
 
-# Spark spelling of views whose DuckDB text uses a construct we avoid in Spark: the
-# two model rows come from exploding a literal array (a generator on each document
+# In Spark the two model rows come from exploding a literal array (a generator on each
 # row) instead of a cross join with a two-row relation. Same rows.
-_MODELS_CROSS = "FROM documents CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) models"
-_MODELS_EXPLODE = "FROM documents LATERAL VIEW explode(array('alpha', 'beta')) models AS m"
-SPARK_VIEWS = {
-    "eval_pairs": EVAL_PAIRS_SQL.replace(_MODELS_CROSS, _MODELS_EXPLODE),
-    "eval_whole": EVAL_WHOLE_SQL.replace(_MODELS_CROSS, _MODELS_EXPLODE),
-}
-assert all("CROSS JOIN" not in v for v in SPARK_VIEWS.values())
+MODELS_DUCK = "CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) models"
+MODELS_SPARK = "LATERAL VIEW explode(array('alpha', 'beta')) models AS m"
+
+
+def _spelled(sql: str, lines: str, models: str) -> str:
+    return sql.replace("{lines}", lines).replace("{models}", models)
+
+
+_BY_ENGINE = {"pairs": PAIRS_SQL, "eval_pairs": EVAL_PAIRS_SQL, "eval_whole": EVAL_WHOLE_SQL}
+SPARK_VIEWS = {k: _spelled(v, LINES_SPARK, MODELS_SPARK) for k, v in _BY_ENGINE.items()}
 
 VIEWS = {
-    "pairs": PAIRS_SQL,
-    "eval_pairs": EVAL_PAIRS_SQL,
-    "eval_whole": EVAL_WHOLE_SQL,
+    **{k: _spelled(v, LINES_DUCK, MODELS_DUCK) for k, v in _BY_ENGINE.items()},
     "py_sources": PY_SOURCES_SQL,
     "run_log": RUN_LOG_SQL,
     "logits": LOGITS_SQL,
