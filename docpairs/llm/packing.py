@@ -11,8 +11,8 @@ search takes the largest remaining piece, enumerates the undominated fillings ar
 (up to three further pieces, best fill first), and prunes a branch when the space it
 leaves free exceeds what a solution with one sequence fewer than the incumbent could
 leave. The incumbent is the best-fit-decreasing solution, replaced by every better one
-found; the search ends at the lower bound ceil(tokens / capacity) or after a stated
-number of nodes.
+found; the search is over the bins that it leaves space in, and ends at the lower bound
+ceil(tokens / capacity), when no branch is left, or after a stated number of nodes.
 
 Cases: null text is empty; every document ends with the end token, so it has at least one
 piece; null and repeated ids are packed like others (a repeated row is its own document);
@@ -21,9 +21,7 @@ an empty table gives no rows; extra columns do not reach the result.
 
 from __future__ import annotations
 
-import heapq
 import os
-import re
 import zlib
 
 import numpy as np
@@ -32,26 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read, text_or_empty, written
+from .forms import spelled, stem, text_forms
 
 CAPACITY = 2048
 GROUP = 16384
 #: Search nodes per group beyond the first descent.
-NODES = 4000
+NODES = 2000
 #: Fillings kept per node.
 BRANCH = 6
 #: Word forms whose ids a worker remembers; further forms are encoded each time.
-CACHED_FORMS = 1_000_000
-
-_IRREGULAR_SPACE = re.compile(r" (?=\s)| \Z")
-_BEFORE_WORD = re.compile(r"(?= \S)")
+CACHED_FORMS = 1_500_000
 
 
 # ------------------------------------------------------------------ tokenising
 class PieceEncoder:
-    """Token ids of texts as little-endian 32-bit bytes.
-
-    A space before a non-space is always a boundary of the byte-level pre-tokeniser, so a
-    text is cut there and each distinct form goes to the tokenizer once per worker."""
+    """Token ids of texts as little-endian 32-bit bytes; each distinct form of a word
+    goes to the tokenizer once per worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,29 +53,38 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.forms: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _find(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of forms that are not known yet: those of a word and those of the marks
+        after it are looked up apart."""
+        stems = {w: stem(w) for w in missing}
+        new = [x for x in set(stems.values()) if x not in self.forms]
+        marks = list({w[len(x):] for w, x in stems.items() if x != w} - self.marks.keys())
+        found = self._ids([*marks, *map(spelled, new)])
+        self.marks.update(zip(marks, found))
+        ids = dict(zip(new, found[len(marks):]))
+        for w, x in stems.items():
+            if x != w:
+                ids[w] = (ids[x] if x in ids else self.forms[x]) + self.marks[w[len(x):]]
+        if len(self.forms) < CACHED_FORMS:
+            self.forms.update((w, x) for w, x in ids.items() if len(w) <= 64)
+        return ids
+
     def encode(self, text: str) -> bytes:
-        if _IRREGULAR_SPACE.search(text):
-            head, *words = _BEFORE_WORD.split(text)
-            words = [w[1:] for w in words]
-        else:
-            head, *words = text.split(" ")
-        forms = self.forms
-        ids = list(map(forms.get, words))
+        head, words, newline = text_forms(text)
+        first = self._ids([head])[0] if head else b""
+        ids = list(map(self.forms.get, words))
         if None in ids:
-            missing = list({w for w, known in zip(words, ids) if known is None})
-            first, *found = self._ids([head, *[" " + w for w in missing]])
-            new = dict(zip(missing, found))
-            ids = [new[w] if known is None else known for w, known in zip(words, ids)]
-            if len(forms) < CACHED_FORMS:
-                forms.update((w, x) for w, x in new.items() if len(w) <= 64)
-        else:
-            first = self._ids([head])[0]
-        return first + b"".join(ids)
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            new = self._find({words[i] for i in gaps})
+            for i in gaps:
+                ids[i] = new[words[i]]
+        return first + b"".join(ids)[4 * newline:]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -187,6 +190,8 @@ def completions(counts: np.ndarray, space: int, branch: int = BRANCH) -> list[tu
                 if p[0] <= x and counts[p[0]] > 0 and counts[p[1]] > (p[0] == p[1]):
                     best.append((x + sum(p), (x, *p)))
             counts[x] += 1
+            if best[-1][0] == space:  # nothing fills better
+                break
     best.sort(key=lambda t: (-t[0], len(t[1]), [-v for v in t[1]]))
     out: list[tuple[int, ...]] = []
     for total, fill in best:
@@ -219,13 +224,15 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
     if not rest:
         return full
     best = best_fit_decreasing(rest, capacity)
+    if len(best) == -(-sum(rest) // capacity):
+        return full + best
+    # Bins that best fit fills to the last token stay; the search is over the others.
+    full += [b for b in best if sum(b) == capacity]
+    best = [b for b in best if sum(b) < capacity]
+    rest = [x for b in best for x in b]
     total = sum(rest)
     bound = -(-total // capacity)
-    if len(best) == bound:
-        return full + best
     counts = np.bincount(rest, minlength=capacity + 1)
-    largest = [-s for s in np.flatnonzero(counts).tolist()]
-    heapq.heapify(largest)
     path: list[tuple[int, list[tuple[int, ...]], int, int]] = []  # largest, fillings, next, waste so far
     waste, left, budget = 0, len(rest), nodes + len(rest)
 
