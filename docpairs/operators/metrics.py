@@ -8,15 +8,16 @@ task), so a model holding most rows costs nothing extra.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ngrams as N
+from ..functions import overlap as O
 from ..functions import text as T
 from ..functions.rows import explode_rows
+from .index import dense_index
 
 BLEU_ORDERS = (1, 2, 3, 4)
 BLEU_EPSILON = 0.1  # smoothing "method 1": 0 matches -> epsilon / count
@@ -24,37 +25,25 @@ METRIC_ORDER = ("BLEU-1", "BLEU-2", "BLEU-3", "BLEU-4", "ROUGE-1", "ROUGE-2", "R
 
 
 def row_stats(df: DataFrame, ref_col: str = "reference", pred_col: str = "prediction",
-              keys=("model", "pair_id"), rouge_arrays: tuple | None = None) -> DataFrame:
+              keys=("model", "pair_id"), stem: bool = True) -> DataFrame:
     """Per row: BLEU clipped matches m1..m4 and denominators d1..d4, lengths, ROUGE-1/2/L
-    F-measures and the exact-match flag. ``rouge_arrays`` names (reference, prediction)
-    token-array columns to use for ROUGE instead of the unstemmed ROUGE tokens."""
+    F-measures (on stemmed tokens by default) and the exact-match flag."""
     keys = list(keys)
-    rr, rp = ((F.col(rouge_arrays[0]), F.col(rouge_arrays[1])) if rouge_arrays
-              else (T.rouge_tokens(ref_col), T.rouge_tokens(pred_col)))
     base = df.select(*keys, T.whitespace_tokens(ref_col).alias("_r"), T.whitespace_tokens(pred_col).alias("_p"),
-                     rr.alias("_rr"), rp.alias("_rp"), T.exact_match(ref_col, pred_col).alias("_em"))
-    # Sorted n-gram arrays get their own projection, so each is built and sorted once
-    # per row; the clipped overlaps are merge walks over them (O(L log L) per row).
-    grams = {f"_s{side}{n}": F.array_sort(N.ngrams(side, n))
-             for side in ("_p", "_r") for n in BLEU_ORDERS}
-    grams.update({f"_s{side}{n}": F.array_sort(N.ngrams(side, n)) for side in ("_rp", "_rr") for n in (1, 2)})
-    base = base.select("*", *[c.alias(k) for k, c in grams.items()])
-
-    def g(side, n):
-        return f"_s{side}{n}"
-
-    # Counts first, as attributes; the F-measures reuse them (an overlap or LCS
-    # expression referenced in P, R and F would otherwise be evaluated each time).
+                     T.rouge_tokens(ref_col).alias("_rr"), T.rouge_tokens(pred_col).alias("_rp"),
+                     T.exact_match(ref_col, pred_col).alias("_em"))
+    # The overlaps get their own projection, so each is computed once per row and only
+    # where a metric reads it.
+    over = base.select("*", O.clipped_overlaps("_p", "_r", BLEU_ORDERS).alias("_bm"),
+                       O.clipped_overlaps("_rp", "_rr", (1, 2), stem).alias("_rm"),
+                       O.lcs_lengths("_rp", "_rr", stem).alias("lcs"))
     cols = [*keys, F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len"),
-            F.size("_rp").alias("_np"), F.size("_rr").alias("_nr")]
+            F.size("_rp").alias("_np"), F.size("_rr").alias("_nr"), F.col("lcs"), F.col("_em").cast("int").alias("em")]
     for n in BLEU_ORDERS:
-        cols.append(N.sorted_overlap(g("_p", n), g("_r", n)).alias(f"m{n}"))
+        cols.append(F.col("_bm")[n - 1].alias(f"m{n}"))
         cols.append(F.greatest(F.size("_p") - n + 1, F.lit(1)).cast("bigint").alias(f"d{n}"))
-    for n in (1, 2):
-        cols.append(N.sorted_overlap(g("_rp", n), g("_rr", n)).alias(f"_rm{n}"))
-    cols.append(N.lcs_length("_rp", "_rr").alias("lcs"))
-    cols.append(F.col("_em").cast("int").alias("em"))
-    counted = base.select(*cols)
+    cols += [F.col("_rm")[n - 1].alias(f"_rm{n}") for n in (1, 2)]
+    counted = over.select(*cols)
 
     out = [c for c in counted.columns if not c.startswith("_")]
     derived = []
@@ -104,9 +93,9 @@ def metric_columns(counts: DataFrame) -> dict:
 
 def evaluate_all(df: DataFrame, ref_col: str = "reference", pred_col: str = "prediction",
                  by=("model",), keys=("model", "pair_id"), metrics=METRIC_ORDER,
-                 rouge_arrays: tuple | None = None) -> DataFrame:
+                 stem: bool = True) -> DataFrame:
     """M5: long table (by..., metric, value) of all metrics in one pass."""
-    counts = corpus_counts(row_stats(df, ref_col, pred_col, keys, rouge_arrays), by)
+    counts = corpus_counts(row_stats(df, ref_col, pred_col, keys, stem), by)
     mc = metric_columns(counts)
     wide = counts.select(*by, *[mc[m].alias(m) for m in metrics])
     return wide.unpivot(list(by), list(metrics), "metric", "value")
@@ -137,50 +126,22 @@ def align(refs: DataFrame, preds: DataFrame, key: str = "pair_id") -> DataFrame:
     return j.select(key, "reference", "prediction", status.alias("status"))
 
 
-def bleu_from_counts(m: list, d: list, hyp: int, ref: int, k: int) -> float:
-    """Plain-Python statement of corpus BLEU-k on counts (for tests and small reports)."""
-    if m[0] == 0:
-        return 0.0
-    bp = 1.0 if hyp > ref else (0.0 if hyp == 0 else math.exp(1 - ref / hyp))
-    ps = [(BLEU_EPSILON / d[i]) if m[i] == 0 else m[i] / d[i] for i in range(4)]
-    return bp * math.exp(sum(math.log(ps[i]) / k for i in range(k))) * 100
-
-
-def stem_tokens(df: DataFrame, cols: dict, keys=("model", "pair_id")) -> DataFrame:
-    """Replace token arrays by their stems through a distinct-token dimension.
-
-    ``cols`` maps input array column -> output column. Distinct tokens are stemmed
-    once (Arrow UDF). The dimension is joined without a hint: AQE turns the join
-    into a broadcast only when the measured size of the dimension is under
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else it stays a shuffle join.
-    Rows are rebuilt in order with one regroup by ``keys``."""
-    from ..functions.stem import stem_udf
-    from ..session import ensure_package_on_workers
-    ensure_package_on_workers(df.sparkSession)
-    keys = list(keys)
-    arms = [F.struct(F.lit(c).alias("col"), F.col(c).alias("toks")) for c in cols]
-    ex = (df.select(*keys, F.explode(F.array(*arms)).alias("_a"))
-          .select(*keys, F.col("_a.col").alias("col"), F.posexplode_outer("_a.toks").alias("pos", "token")))
-    dim = ex.select("token").where(F.col("token").isNotNull()).distinct().withColumn("stem", stem_udf("token"))
-    j = ex.join(dim, "token", "left")
-    aggs = [F.array_sort(F.collect_list(F.when((F.col("col") == c) & F.col("pos").isNotNull(),
-                                                F.struct("pos", "stem")))).alias(f"_{o}") for c, o in cols.items()]
-    g = j.groupBy(*keys).agg(*aggs)
-    return g.select(*keys, *[F.transform(f"_{o}", lambda x: x["stem"]).alias(o) for o in cols.values()])
+def align_by_position(refs: DataFrame, preds: DataFrame, order_refs: list, order_preds: list) -> DataFrame:
+    """M7 alignment of two files line by line: the n-th reference with the n-th
+    prediction. Both sides get a dense global index; what one side has more is reported."""
+    r = dense_index(refs, order_refs, "position").select("position", "reference")
+    p = dense_index(preds, order_preds, "position").select("position", "prediction")
+    return align(r, p, "position")
 
 
 def long_text_counts(df: DataFrame, ref_tokens: str, pred_tokens: str, keys=("model", "pair_id"),
-                     orders=BLEU_ORDERS) -> DataFrame:
+                     orders=BLEU_ORDERS, stem: bool = False) -> DataFrame:
     """Clipped n-gram matches for rows of any length: (keys..., n, matches, total,
-    hyp_len, ref_len) per row and order, row-local: each side's grams are sorted
-    once and the overlap is a merge walk, O(L log L) per row and no shuffle."""
+    hyp_len, ref_len) per row and order, row-local: one linear pass and no shuffle."""
     keys = list(keys)
-    sorted_cols = {f"_s{side}{n}": F.array_sort(N.ngrams(col, n))
-                   for side, col in (("p", pred_tokens), ("r", ref_tokens)) for n in orders}
     base = df.select(*keys, F.size(pred_tokens).alias("hyp_len"), F.size(ref_tokens).alias("ref_len"),
-                     *[c.alias(k) for k, c in sorted_cols.items()])
-    arms = [F.struct(F.lit(n).cast("bigint").alias("n"), N.sorted_overlap(f"_sp{n}", f"_sr{n}").alias("matches"))
-            for n in orders]
+                     O.clipped_overlaps(pred_tokens, ref_tokens, orders, stem).alias("_m"))
+    arms = [F.struct(F.lit(n).cast("bigint").alias("n"), F.col("_m")[i].alias("matches")) for i, n in enumerate(orders)]
     return (base.select(*keys, "hyp_len", "ref_len", F.inline(F.array(*arms)))
             .select(*keys, "n", "matches",
                     F.greatest(F.col("hyp_len") - F.col("n") + 1, F.lit(1)).cast("bigint").alias("total"),

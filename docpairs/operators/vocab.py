@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.rows import explode_rows
 from ..functions.text import SPECIAL_TOKENS, UNK, UNK_IDX
+from ..session import materialize
 from .index import dense_index, maybe_broadcast
 
 DEFAULT_MIN_FREQ = 2
@@ -52,48 +52,45 @@ def _specials(spark) -> DataFrame:
                                  "token string, idx bigint, freq bigint")
 
 
-def _cut(freq: DataFrame, min_freq: int, limit: int | None) -> DataFrame:
-    """Tokens with ``freq >= min_freq`` and, when ``limit`` is set, the first ``limit`` of
-    them by (freq desc, first appearance): a top-k where each task keeps at most
-    ``limit`` rows (TakeOrderedAndProject)."""
-    valid = freq.where(F.col("freq") >= min_freq)
-    if limit is None:
-        return valid
-    return valid.orderBy(F.desc("freq"), F.asc("first")).limit(max(int(limit), 0))
+def _ranked_cut(freq: DataFrame, min_freq: int, limit: int | None) -> DataFrame:
+    """Tokens with ``freq >= min_freq``, ranked from 0 by (freq desc, first appearance),
+    the first ``limit`` of them when it is set.
+
+    The counts are summed up by frequency first: there are few frequencies, and they tell
+    the one at which the cut falls. Only tokens at or above it are ranked, by the
+    distributed index, so no task ever holds the top of every other task."""
+    counts = materialize(freq.where(F.col("freq") >= min_freq), "token-counts")
+    if limit is not None:
+        running = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        by_freq = counts.groupBy("freq").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(running))
+        last = by_freq.where(F.col("upto") >= max(int(limit), 0)).agg(F.max("freq")).first()[0]
+        counts = counts.where(F.col("freq") >= F.lit(last if last is not None else min_freq))
+    ranked = dense_index(counts, [F.desc("freq"), F.asc("first")], "rank")
+    return ranked if limit is None else ranked.where(F.col("rank") < max(int(limit), 0))
 
 
 def build_vocab(freq: DataFrame, min_freq: int = DEFAULT_MIN_FREQ,
                 max_size: int | None = DEFAULT_MAX_SIZE) -> DataFrame:
     """V2: vocabulary from a count table.
 
-    Ids from 4 in (freq desc, first appearance) order. A corpus token equal to a
-    special token uses a slot of the cut but gets no new id. Capped: the kept rows
-    are at most ``max_size - 4``, so numbering them in one window is bounded.
-    Uncapped: ids come from the distributed dense index."""
-    spark = freq.sparkSession
+    Ids from 4 in (freq desc, first appearance) order. A corpus token equal to a special
+    token uses a slot of the cut but gets no new id: the ids after it close the gap."""
     n_special = len(SPECIAL_TOKENS)
-    cut = _cut(freq, min_freq, (max_size - n_special) if max_size else None)
-    cut = cut.where(~F.col("token").isin(*SPECIAL_TOKENS))
-    if max_size:
-        w = Window.orderBy(F.desc("freq"), F.asc("first"))
-        ids = cut.withColumn("idx", (F.row_number().over(w) + F.lit(n_special - 1)).cast("bigint"))
-    else:
-        ids = dense_index(cut, [F.desc("freq"), F.asc("first")], "idx", start=n_special)
-    return ids.select("token", "idx", "freq").unionByName(_specials(spark))
+    cut = _ranked_cut(freq, min_freq, (max_size - n_special) if max_size else None)
+    taken = [r["rank"] for r in cut.where(F.col("token").isin(*SPECIAL_TOKENS)).select("rank").collect()]  # four at most
+    gap = sum(((F.col("rank") > r).cast("bigint") for r in taken), F.lit(0).cast("bigint"))
+    ids = (cut.where(~F.col("token").isin(*SPECIAL_TOKENS))
+           .select("token", (F.col("rank") - gap + n_special).cast("bigint").alias("idx"), "freq"))
+    return ids.unionByName(_specials(freq.sparkSession))
 
 
 def build_vocab_by(freq: DataFrame, by: str, caps: dict, min_freq: int = DEFAULT_MIN_FREQ) -> DataFrame:
     """V7 shape: one vocabulary per value of ``by`` (e.g. side = code/doc).
 
-    ``caps`` maps group value -> max_size. Each group gets its own top-k over the
-    shared count table (the groups are a small known set), so no window ever holds
-    all tokens of one group in one task; the numbered rows are bounded by the cap."""
-    if len(caps) > 1:
-        # One pass over the corpus: the count table (one row per group and token, far
-        # smaller than the corpus) is written to the shared checkpoint folder and
-        # every group's top-k reads it, instead of each group re-scanning the corpus.
-        from ..session import materialize
-        freq = materialize(freq.where(F.col("freq") >= min_freq), "token-counts")
+    ``caps`` maps group value -> max_size; the groups are a small known set."""
+    # One pass over the corpus: the count table (one row per group and token, far smaller
+    # than the corpus) is written once and every group's cut reads it.
+    freq = materialize(freq.where(F.col("freq") >= min_freq), "token-counts")
     parts = [build_vocab(freq.where(F.col(by) == k).drop(by), min_freq, cap)
              .withColumn(by, F.lit(k)) for k, cap in caps.items()]
     out = parts[0]
@@ -120,19 +117,15 @@ def extend_vocab(vocab: DataFrame, counts: DataFrame, new_counts: DataFrame,
     Known tokens keep their ids; the cut is ``max_size - len(vocab)`` over the
     accumulated counts; cut tokens not yet known get the next ids in cut order."""
     total = merge_counts(counts, new_counts)
+    vocab = materialize(vocab, "vocabulary")  # read three times below
     size = vocab.count()
     limit = None
     if max_size:
         limit = max_size - size
         if limit <= 0:
             return vocab, total
-    cut = _cut(total, min_freq, limit)
-    fresh = cut.join(vocab.select("token"), "token", "left_anti")
-    if limit is not None:
-        w = Window.orderBy(F.desc("freq"), F.asc("first"))
-        fresh = fresh.withColumn("idx", (F.row_number().over(w) + F.lit(size - 1)).cast("bigint"))
-    else:
-        fresh = dense_index(fresh, [F.desc("freq"), F.asc("first")], "idx", start=size)
+    cut = _ranked_cut(total, min_freq, limit)
+    fresh = dense_index(cut.join(vocab.select("token"), "token", "left_anti"), ["rank"], "idx", start=size)
     return vocab.select("token", "idx", "freq").unionByName(fresh.select("token", "idx", "freq")), total
 
 
@@ -173,11 +166,3 @@ def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "pair_id
 def vocab_size(vocab: DataFrame) -> DataFrame:
     """V6: number of entries."""
     return vocab.agg(F.count(F.lit(1)).cast("bigint").alias("vocab_size"))
-
-
-def empty_counts(spark) -> DataFrame:
-    first = T.StructType([T.StructField("batch", T.LongType()), T.StructField("id", T.LongType()),
-                          T.StructField("pos", T.LongType())])
-    return spark.createDataFrame([], T.StructType([T.StructField("token", T.StringType()),
-                                                    T.StructField("freq", T.LongType()),
-                                                    T.StructField("first", first)]))

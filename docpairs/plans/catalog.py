@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_pairs  # noqa: F401
+from . import (q_batching, q_extract, q_metrics, q_pairs, q_runlog, q_scoring,  # noqa: F401
+               q_streaming, q_tokens, q_vectors, q_vocab, q_whole)
 from .registry import ORACLE, QUERIES
 
-for _mod in ("q_tokens", "q_vocab", "q_batching", "q_metrics", "q_runlog", "q_whole",
-             "q_extract", "q_scoring", "q_vectors", "q_streaming"):
-    try:
-        __import__(f"{__package__}.{_mod}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if _mod not in str(e):
-            raise
-
 
 def _wrap(name, fn):
     from ..session import ensure_checkpoint_dir, ensure_package_on_workers

@@ -21,19 +21,20 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.with_reject_reason(df)
 
 
-def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid cleaned pairs: pair_id, split, func_name, code, docstring."""
+def valid(spark: SparkSession, sf_dir: str, *splits: str) -> DataFrame:
+    """Valid cleaned pairs: pair_id, split, func_name, code, docstring. With ``splits``
+    the raw pairs are filtered first (``keep_valid`` emits rows through a generator, and
+    a filter on its output would not reach below the cleaning)."""
     src = pairs(spark, sf_dir).select("pair_id", "split", "func_name", "raw_code", "raw_doc")
+    if splits:
+        src = src.where(F.col("split").isin(*splits))
     return cleaning.preprocess(src, "raw_code", "raw_doc").select("pair_id", "split", "func_name", "code", "docstring")
 
 
-def valid_tokens(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+def valid_tokens(spark: SparkSession, sf_dir: str, *splits: str) -> DataFrame:
     """Valid pairs with code tokens (``src``) and docstring tokens (``tgt``)."""
-    df = valid(spark, sf_dir)
-    if split:
-        df = df.where(F.col("split") == split)
-    return df.select("pair_id", "split", T.tokenize_code("code").alias("src"),
-                     T.tokenize_text("docstring").alias("tgt"))
+    return valid(spark, sf_dir, *splits).select("pair_id", "split", T.tokenize_code("code").alias("src"),
+                                                T.tokenize_text("docstring").alias("tgt"))
 
 
 # ----------------------------------------------------------------- oracle side

@@ -6,14 +6,12 @@ expected definition rows are written as SQL over ``documents`` (FIXTURES.md).
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
+from ..sources.files import fresh_folder, write_files
 from .common import oracle
 from .registry import register
 
@@ -97,16 +95,14 @@ def q_class_bases(spark, sf_dir):
     return d.select(F.explode("bases").alias("base")).groupBy("base").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-# The fixture files written by Spark into the shared checkpoint folder (one
-# directory per file), read back with the binaryFile source, then extracted.
+# The fixture files written by the tasks into the shared checkpoint folder (many
+# files per folder), read back with the binaryFile source, then extracted.
 @register("extract_from_files", oracle(
     "SELECT file_id, ord, type, name, line_number FROM defs", *_EXPECTED, views=()))
 def q_extract_from_files(spark, sf_dir):
-    root = ensure_checkpoint_dir(spark)
-    out = os.path.join(root, f"py_sources-{uuid.uuid4().hex}")
-    src = fixtures.view(spark, sf_dir, "py_sources")
-    src.select("file_id", "source_code").write.partitionBy("file_id").text(out)
-    files = X.read_source_files(spark, out, glob="part-*")
-    files = files.withColumn("file_id", F.regexp_extract("path", r"file_id=(\d+)", 1).cast("bigint"))
+    out = fresh_folder(ensure_checkpoint_dir(spark), "py-sources")
+    write_files(fixtures.view(spark, sf_dir, "py_sources"), out, "file_id", "source_code")
+    files = X.read_source_files(spark, out)
+    files = files.withColumn("file_id", F.regexp_extract("path", r"/(\d+)\.py$", 1).cast("bigint"))
     defs = X.extract(files)
     return defs.where(F.col("type") != "error").select("file_id", "ord", "type", "name", "line_number")

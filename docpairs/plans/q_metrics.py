@@ -42,9 +42,17 @@ def d_rouge_n(n: int) -> str:
 
 
 def stats_ctes(src: str = "eval_pairs", keys: str = "model, pair_id") -> tuple:
-    toks = (f"tk AS (SELECT {keys}, {D.whitespace_tokens('reference')} AS r, {D.whitespace_tokens('prediction')} AS p, "
+    """Token arrays (ROUGE's stemmed), then per-row statistics, as CTEs ending in ``rs``."""
+    toks = (f"tk0 AS (SELECT {keys}, {D.whitespace_tokens('reference')} AS r, {D.whitespace_tokens('prediction')} AS p, "
             f"{D.rouge_tokens('reference')} AS rr, {D.rouge_tokens('prediction')} AS rp, "
             f"CAST({D.exact_match('reference', 'prediction')} AS INTEGER) AS em FROM {src})")
+    each = " UNION ALL ".join(f"SELECT {keys}, '{c}' AS side, unnest({c}) AS token, generate_subscripts({c}, 1) AS pos FROM tk0"
+                              for c in ("rr", "rp"))
+    stems = (f"tkx AS ({each})", *D.stem_ctes("stems", "SELECT token FROM tkx"),
+             f"tks AS (SELECT {keys}, list(stem ORDER BY pos) FILTER (WHERE side = 'rr') AS rr, "
+             f"list(stem ORDER BY pos) FILTER (WHERE side = 'rp') AS rp FROM tkx JOIN stems USING (token) GROUP BY {keys})",
+             f"tk AS (SELECT {', '.join('tk0.' + k for k in keys.split(', '))}, r, p, coalesce(tks.rr, []) AS rr, "
+             f"coalesce(tks.rp, []) AS rp, em FROM tk0 LEFT JOIN tks USING ({keys}))")
     cols = [keys, "CAST(len(p) AS BIGINT) AS hyp_len", "CAST(len(r) AS BIGINT) AS ref_len"]
     for n in (1, 2, 3, 4):
         cols.append(f"{d_clipped(d_ngrams('p', n), d_ngrams('r', n))} AS m{n}")
@@ -56,7 +64,7 @@ def stats_ctes(src: str = "eval_pairs", keys: str = "model, pair_id") -> tuple:
     rs = f"rs0 AS (SELECT {', '.join(cols)}, rp, rr FROM tk)"
     rs2 = ("rs AS (SELECT *, CASE WHEN len(rp) = 0 OR len(rr) = 0 THEN 0.0 ELSE "
            f"{d_f('CAST(lcs AS DOUBLE) / len(rp)', 'CAST(lcs AS DOUBLE) / len(rr)')} END AS rougeL_f FROM rs0)")
-    return toks, rs, rs2
+    return (toks, *stems, rs, rs2)
 
 
 def counts_cte(by: str = "model") -> str:
@@ -151,7 +159,7 @@ _ALIGN = ("refs AS (SELECT pair_id, docstring AS reference FROM valid WHERE spli
 
 
 def _aligned(spark, sf_dir):
-    refs = valid(spark, sf_dir).where(F.col("split") == "test").select("pair_id", F.col("docstring").alias("reference"))
+    refs = valid(spark, sf_dir, "test").select("pair_id", F.col("docstring").alias("reference"))
     preds = _eval(spark, sf_dir).where(F.col("model") == "alpha").select("pair_id", "prediction")
     return M.align(refs, preds)
 
@@ -171,23 +179,28 @@ def q_evaluate_from_files(spark, sf_dir):
     return M.evaluate_all(m).select("metric", "value")
 
 
-def _stem_input(spark, sf_dir):
-    ev = _eval(spark, sf_dir)
-    return ev.select("model", "pair_id", "reference", "prediction",
-                     T.rouge_tokens("reference").alias("rr"), T.rouge_tokens("prediction").alias("rp"))
+# Line by line: the docstrings of the valid test pairs against alpha's predictions.
+@register("align_by_position", oracle(
+    "SELECT coalesce(r.position, p.position) AS position, reference, prediction, "
+    "CASE WHEN r.position IS NULL THEN 'missing_reference' WHEN p.position IS NULL THEN 'missing_prediction' ELSE 'matched' END AS status "
+    "FROM (SELECT reference, row_number() OVER (ORDER BY pair_id) - 1 AS position FROM refs) r "
+    "FULL OUTER JOIN (SELECT prediction, row_number() OVER (ORDER BY pair_id) - 1 AS position FROM preds) p ON r.position = p.position",
+    CLEANED_CTE, *_ALIGN[:2], views=("pairs", "eval_pairs")))
+def q_align_by_position(spark, sf_dir):
+    refs = valid(spark, sf_dir, "test").select("pair_id", F.col("docstring").alias("reference"))
+    preds = _eval(spark, sf_dir).where(F.col("model") == "alpha").select("pair_id", "prediction")
+    return M.align_by_position(refs, preds, ["pair_id"], ["pair_id"])
 
 
-# T6 with stemming: rows-only (the stemmer is the 1980 algorithm, not a library's variant).
-@register("stem_dim")
+# The distinct ROUGE tokens with their stems.
+@register("stem_dim", oracle("SELECT token, stem FROM stems", *stats_ctes()[:-2], views=_V))
 def q_stem_dim(spark, sf_dir):
     from ..functions.stem import stem_udf  # imported on use: defines a pandas UDF
-    toks = _stem_input(spark, sf_dir).select(F.explode(F.concat("rr", "rp")).alias("token")).distinct()
-    return toks.select("token", F.when(F.length("token") > 3, stem_udf("token")).otherwise(F.col("token")).alias("stem"))
+    both = F.concat(T.rouge_tokens("reference"), T.rouge_tokens("prediction"))
+    toks = _eval(spark, sf_dir).select(F.explode_outer(both).alias("token")).where(F.col("token").isNotNull()).distinct()
+    return toks.select("token", stem_udf("token").alias("stem"))
 
 
-@register("rouge_n_stemmed")
+@register("rouge_n_stemmed", oracle(d_long(["ROUGE-1", "ROUGE-2", "ROUGE-L"]), *_CTES, views=_V))
 def q_rouge_n_stemmed(spark, sf_dir):
-    src = _stem_input(spark, sf_dir)
-    stems = M.stem_tokens(src, {"rr": "srr", "rp": "srp"})
-    joined = src.join(stems, ["model", "pair_id"])
-    return M.evaluate_all(joined, metrics=["ROUGE-1", "ROUGE-2", "ROUGE-L"], rouge_arrays=("srr", "srp"))
+    return M.evaluate_all(_eval(spark, sf_dir), metrics=["ROUGE-1", "ROUGE-2", "ROUGE-L"])

@@ -111,3 +111,25 @@ def q_save_roundtrip(spark, sf_dir):
     path = io.save_pairs(io.prepare_dataset(pairs(spark, sf_dir), None, RAW_RENAME), scratch(spark, "prepared"))
     schema = Ty.StructType(io.PROCESSED_SCHEMA.fields + [Ty.StructField("split", Ty.StringType())])
     return io.read_pairs(spark, path, "json", schema).select("pair_id", "split", "code", "docstring", "func_name")
+
+
+# The same pairs as files of one JSON array each (S4's other form).
+@register("read_json_arrays", oracle(
+    "SELECT pair_id, split, code, docstring, func_name FROM valid", CLEANED_CTE))
+def q_read_json_arrays(spark, sf_dir):
+    prepared = io.prepare_dataset(pairs(spark, sf_dir), None, RAW_RENAME)
+    path = io.save_json_arrays(prepared, scratch(spark, "arrays"), 8 * max(1, prepared.rdd.getNumPartitions()))
+    schema = Ty.StructType(io.PROCESSED_SCHEMA.fields + [Ty.StructField("split", Ty.StringType())])
+    return io.read_pairs(spark, path, "json", schema, multiline=True).select("pair_id", "split", "code", "docstring", "func_name")
+
+
+# S7's log line: kept and total of every split, gathered while the pairs are written.
+@register("prepare_counts", oracle(
+    "SELECT split, CAST(count(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS kept, "
+    "CAST(count(*) AS BIGINT) AS total FROM cleaned GROUP BY split", CLEANED_CTE))
+def q_prepare_counts(spark, sf_dir):
+    kept, seen = io.prepare_with_counts(pairs(spark, sf_dir), None, RAW_RENAME)
+    io.save_pairs(kept, scratch(spark, "prepared"), "parquet")
+    got = seen.get
+    return spark.createDataFrame([(s, got[f"{s}_kept"], got[f"{s}_total"]) for s in io.SPLITS if got[f"{s}_total"]],
+                                 "split string, kept bigint, total bigint")

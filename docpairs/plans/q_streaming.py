@@ -1,5 +1,5 @@
 """Streaming queries (I4-I6). The input stream is the ``pairs`` table laid down by
-Spark as four JSON-lines files in pair order, consumed one file per micro-batch."""
+Spark as JSON-lines files, as many as it has partitions."""
 
 from __future__ import annotations
 
@@ -14,12 +14,10 @@ from .common import CLEANED_CTE, VALID_TOKENS_CTE, oracle, pairs
 from .q_scoring import _LEAD, _TYPE, lead_words_factory
 from .registry import register
 
-N_FILES = 4
-
 
 def _stream_src(spark, sf_dir):
     df = pairs(spark, sf_dir)
-    path = ST.write_stream_files(df, ST.scratch(spark, "pairs-stream") + "/in", N_FILES)
+    path = ST.write_stream_files(df, ST.scratch(spark, "pairs-stream") + "/in")
     return path, df.schema
 
 
@@ -38,7 +36,7 @@ def q_stream_token_freq(spark, sf_dir):
     # Tokens of the valid pairs only: clean and validate inside the stream, then tokenise.
     def prepare(df):
         return cleaning.preprocess(df, "raw_code", "raw_doc").select(T.tokenize_code("code").alias("tokens"))
-    return ST.stream_token_freq_with(spark, path, schema, prepare)
+    return ST.stream_token_freq(spark, path, schema, prepare)
 
 
 @register("stream_score", oracle(

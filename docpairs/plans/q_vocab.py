@@ -102,7 +102,7 @@ _EXT_CTES = (CLEANED_CTE, VALID_TOKENS_CTE, TRAIN_SRC, VAL_SRC,
 def q_extend_vocab(spark, sf_dir):
     # One pass counts both batches (train = 0, validation = 1); the count table is
     # written once and read by the first build and by the accumulation.
-    vt = valid_tokens(spark, sf_dir).where(F.col("split").isin("train", "validation"))
+    vt = valid_tokens(spark, sf_dir, "train", "validation")
     vt = vt.withColumn("batch", F.when(F.col("split") == "train", 0).otherwise(1))
     counts = materialize(V.token_freq(vt, "src", batch="batch", by=["batch"]), "token-counts")
     f1 = counts.where(F.col("batch") == 0).drop("batch")

@@ -124,3 +124,16 @@ def q_whole_text_rouge_n(spark, sf_dir):
     per = c.select("model", "n", fmeasure(pr, rc).alias("f"))
     return (per.groupBy("model", "n").agg(F.round(F.avg("f") * 100, 2).alias("value"))
             .select("model", F.when(F.col("n") == 1, "ROUGE-1").otherwise("ROUGE-2").alias("metric"), "value"))
+
+
+# ROUGE-L and the whole report on whole documents: no oracle (an LCS of 20,000 words is
+# out of reach of the SQL engine's lists); the tests hold the functions against a plain
+# dynamic programme.
+@register("whole_text_rouge_l")
+def q_whole_text_rouge_l(spark, sf_dir):
+    return M.evaluate_all(fixtures.view(spark, sf_dir, "eval_whole"), metrics=["ROUGE-L"])
+
+
+@register("whole_text_evaluate_all")
+def q_whole_text_evaluate_all(spark, sf_dir):
+    return M.evaluate_all(fixtures.view(spark, sf_dir, "eval_whole"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import preprocess
+from ..operators.index import dense_index
 
 SPLITS = ("train", "validation", "test")
 RAW_FIELDS = ("code", "docstring", "language", "repo", "path", "func_name")
@@ -41,26 +42,30 @@ def to_raw_pairs(df: DataFrame, rename: dict | None = None, language: str = "pyt
     return df.select(*out)
 
 
+def load_splits(df: DataFrame, splits=SPLITS, limits: dict | None = None, rename: dict | None = None) -> DataFrame:
+    """The raw pairs of ``splits`` in one scan. ``limits`` maps split -> how many rows, in
+    dataset (pair_id) order, are loaded; 0/None means all. Limited splits are ranked by
+    the distributed index, so a split with most rows never lands in one task."""
+    limits = {k: int(v) for k, v in (limits or {}).items() if v}
+    out = to_raw_pairs(df.where(F.col("split").isin(*splits)), rename)
+    if not limits:
+        return out
+    ranked = dense_index(out, ["pair_id"], "load_rank", group_cols=["split"])
+    last = F.coalesce(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("split")], F.lit(None).cast("int"))
+    return ranked.where(last.isNull() | (F.col("load_rank") < last)).select(out.columns)
+
+
 def load_split(df: DataFrame, split: str = "train", max_samples: int | None = None,
                rename: dict | None = None) -> DataFrame:
-    """One split, first ``max_samples`` rows in dataset (pair_id) order.
-
-    ``max_samples`` of 0/None means no limit. With a limit, Catalyst plans a
-    top-k (TakeOrderedAndProject): each task keeps at most ``max_samples`` rows."""
-    out = to_raw_pairs(df.where(F.col("split") == split), rename)
-    if max_samples:
-        out = out.orderBy("pair_id").limit(int(max_samples))
-    return out
+    """One split, first ``max_samples`` rows in dataset (pair_id) order (0/None: all)."""
+    return load_splits(df, (split,), {split: max_samples}, rename)
 
 
 def load_all_splits(df: DataFrame, max_samples_per_split: int | None = None,
                     rename: dict | None = None) -> DataFrame:
     """All three splits of one table. (Per-split sources that may fail are read
-    with :func:`load_split_sources`.)
-
-    The per-split cap is a top-k per split (bounded state), not a window over a
-    split, so a split holding most rows never lands in one task."""
-    return reduce(DataFrame.unionByName, [load_split(df, s, max_samples_per_split, rename) for s in SPLITS])
+    with :func:`load_split_sources`.)"""
+    return load_splits(df, SPLITS, {s: max_samples_per_split for s in SPLITS}, rename)
 
 
 def load_split_sources(spark: SparkSession, sources: dict, fmt: str = "parquet",
@@ -89,31 +94,37 @@ def prepare_dataset(df: DataFrame, limits: dict | None = None, rename: dict | No
     ``limits`` maps split -> max rows loaded before cleaning (as in the reference,
     the cap applies to loaded rows, not kept rows). Returns one DataFrame with a
     ``split`` column; write it with :func:`save_pairs`."""
-    limits = limits or {}
-    loaded = reduce(DataFrame.unionByName,
-                    [load_split(df, s, limits.get(s), rename) for s in SPLITS])
-    kept = preprocess(loaded, code_col, doc_col)
+    kept = preprocess(load_splits(df, SPLITS, limits, rename), code_col, doc_col)
     return kept.select("pair_id", "split", "code", "docstring", "func_name")
 
 
 def prepare_with_counts(df: DataFrame, limits: dict | None = None, rename: dict | None = None):
-    """S7 with the kept/total log line gathered in the same pass via ``observe``.
-    Returns (kept pairs, Observation); the observation is filled when the kept
-    pairs are written or otherwise executed."""
+    """S7 with the kept/total log line of every split gathered in the same pass via
+    ``observe``. Returns (kept pairs, Observation); the observation (``train_total``,
+    ``train_kept``, ...) is filled when the kept pairs are written or otherwise executed."""
     from pyspark.sql import Observation
 
     from ..operators.cleaning import clean_pairs, with_reject_reason
-    limits = limits or {}
-    loaded = reduce(DataFrame.unionByName,
-                    [load_split(df, s, limits.get(s), rename) for s in SPLITS])
     obs = Observation("prepare")
-    judged = with_reject_reason(clean_pairs(loaded)).observe(
-        obs, F.count(F.lit(1)).alias("total"), F.count_if(F.col("reason").isNull()).alias("kept"))
+    seen = []
+    for s in SPLITS:
+        here = F.col("split") == s
+        seen += [F.count_if(here).alias(f"{s}_total"), F.count_if(here & F.col("reason").isNull()).alias(f"{s}_kept")]
+    judged = with_reject_reason(clean_pairs(load_splits(df, SPLITS, limits, rename))).observe(obs, *seen)
     cols = ["pair_id", "split", "code", "docstring", "func_name"]
     kept = judged.select(F.inline(F.when(F.col("reason").isNull(), F.array(F.struct(*cols)))))
     return kept, obs
 
 
+def save_json_arrays(df: DataFrame, path: str, files: int) -> str:
+    """Pairs as ``files`` files that each hold one JSON array (the form in which the pairs
+    are exchanged). A file is one task's rows, so ``files`` should grow with the table."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"), F.pmod(F.xxhash64("pair_id"), F.lit(files)).alias("f"))
+    (rows.groupBy("f").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+     .select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path))
+    return path
+
+
 def save_pairs(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> str:
     """S3: write pairs partitioned by split (JSON lines or Parquet). Returns ``path``.
 

@@ -25,14 +25,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
-def write_stream_files(df: DataFrame, path: str, n_files: int, order: str = "pair_id") -> str:
-    """Lay a table down as ``n_files`` JSON-lines files in ``order`` (stream input)."""
-    df.repartitionByRange(n_files, order).sortWithinPartitions(order).write.json(path)
+def write_stream_files(df: DataFrame, path: str, rows_per_file: int = 250_000) -> str:
+    """Lay a table down as JSON-lines files (stream input): as many as its partitions,
+    cut at ``rows_per_file``, so they grow with the table."""
+    df.write.option("maxRecordsPerFile", rows_per_file).json(path)
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    """File stream with an explicit schema (no inference), one file per micro-batch."""
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
+    """File stream with an explicit schema (no inference), many files per micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
@@ -52,12 +53,8 @@ def stream_prepare(spark: SparkSession, src: str, schema: T.StructType,
     return spark.read.parquet(out + "/data")
 
 
-def stream_token_freq(spark: SparkSession, src: str, schema: T.StructType, tokens) -> DataFrame:
-    """See :func:`stream_token_freq_with`; ``tokens`` is a token-array column."""
-    return stream_token_freq_with(spark, src, schema, lambda df: df.select(tokens.alias("tokens")))
-
-
-def stream_token_freq_with(spark: SparkSession, src: str, schema: T.StructType, prepare) -> DataFrame:
+def stream_token_freq(spark: SparkSession, src: str, schema: T.StructType, prepare,
+                      files_per_trigger: int = 1000, compact_every: int = 50) -> DataFrame:
     """Running token counts over successive inputs.
 
     Update mode: each micro-batch emits only the tokens whose count changed; the
@@ -65,21 +62,36 @@ def stream_token_freq_with(spark: SparkSession, src: str, schema: T.StructType,
     a token is its row from the latest batch. State is keyed by token (no event
     time, so no watermark applies); it grows with the vocabulary, not the stream.
     A micro-batch replayed after a failure appends the same rows again under the
-    same batch id, so reading "latest batch wins" stays correct (idempotent sink)."""
+    same batch id, so reading "latest batch wins" stays correct (idempotent sink).
+    Every ``compact_every`` batches the log so far is folded into one row per token in
+    the next generation's folder, so it stays as large as the vocabulary."""
     out = scratch(spark, "stream-token-freq")
     log = out + "/log"
-    stream = read_stream(spark, src, schema)
+
+    def generation(batch_id: int) -> str:
+        return f"{log}/{batch_id // compact_every:06d}"
+
+    def latest(path: str) -> DataFrame:
+        rows = spark.read.parquet(path)
+        return rows.groupBy("token").agg(F.max_by("freq", "batch_id").alias("freq"), F.max("batch_id").alias("batch_id"))
+
+    stream = read_stream(spark, src, schema, files_per_trigger)
     counts = (explode_rows(prepare(stream), [], F.col("tokens")).groupBy("token")
               .agg(F.count(F.lit(1)).cast("bigint").alias("freq")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(log)
+        new = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        if batch_id and batch_id % compact_every == 0:  # a new generation starts with the old one folded
+            latest(generation(batch_id - 1)).write.mode("overwrite").parquet(generation(batch_id))
+        last["batch"] = batch_id
+        new.write.mode("append").parquet(generation(batch_id))
+
+    last = {"batch": 0}
 
     q = (counts.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", out + "/_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return (spark.read.parquet(log).groupBy("token")
-            .agg(F.max_by("freq", "batch_id").alias("freq")))
+    return latest(generation(last["batch"])).select("token", "freq")
 
 
 def stream_score(spark: SparkSession, src: str, schema: T.StructType, factory=scoring.no_model,
