@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EOS_IDX, MAX_SRC_LEN, MAX_TGT_LEN, PAD_IDX, SOS_IDX, UNK_IDX
 from .index import dense_index, maybe_broadcast
+from .vocab import BROADCAST_VOCAB_ROWS, lookup_in_row
 
 CODE_VOCAB_SIZE, DOC_VOCAB_SIZE = 35000, 20000
 
@@ -19,19 +20,26 @@ def encode_sides(df: DataFrame, vocabs: DataFrame, sides: dict, keys=("pair_id",
                  known_bound: int | None = None) -> DataFrame:
     """Encode several token columns of each row in one pass.
 
-    ``sides`` maps vocabulary side -> (token column, max tokens or None). One
-    explode over all sides, one broadcast join on (side, token), one regroup by
-    ``keys``: output ``keys`` + one ``<side>_ids`` column per side, order kept,
-    unknown -> 3, empty -> ``[]``. ``known_bound``: the vocabularies' total size cap,
-    if any; otherwise they are counted before being broadcast."""
+    ``sides`` maps vocabulary side -> (token column, max tokens or None). Output ``keys`` +
+    one ``<side>_ids`` column per side, order kept, unknown -> 3, empty -> ``[]``. With
+    ``known_bound`` (the vocabularies' total size cap) the ids are looked up inside the
+    row; otherwise one explode over all sides, one join on (side, token) (broadcast when
+    counted small) and one regroup by ``keys``."""
     keys = list(keys)
+    if known_bound is not None and known_bound <= BROADCAST_VOCAB_ROWS:
+        rows = vocabs.select("side", "token", "idx").collect()  # at most known_bound rows
+        out = []
+        for side, (col, cap) in sides.items():
+            look = lookup_in_row(df.sparkSession, {r["token"]: r["idx"] for r in rows if r["side"] == side}, UNK_IDX, "bigint")
+            out.append(look(F.slice(col, 1, cap) if cap else F.col(col)).alias(f"{side}_ids"))
+        return df.select(*keys, *out)
     arms = []
     for side, (col, cap) in sides.items():
         toks = F.slice(col, 1, cap) if cap else F.col(col)
         arms.append(F.struct(F.lit(side).alias("side"), toks.alias("toks")))
     ex = (df.select(*keys, F.explode(F.array(*arms)).alias("_a"))
           .select(*keys, F.col("_a.side").alias("side"), F.posexplode_outer("_a.toks").alias("pos", "token")))
-    lookup = maybe_broadcast(vocabs.select("side", "token", "idx"), known_bound=known_bound)
+    lookup = maybe_broadcast(vocabs.select("side", "token", "idx"))
     j = ex.join(lookup, ["side", "token"], "left")
     aggs = []
     for side in sides:

@@ -7,6 +7,7 @@ four special tokens hold ids 0..3 (freq 0). Count tables have
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,22 +130,37 @@ def extend_vocab(vocab: DataFrame, counts: DataFrame, new_counts: DataFrame,
     return vocab.select("token", "idx", "freq").unionByName(fresh.select("token", "idx", "freq")), total
 
 
-def _lookup_side(vocab: DataFrame, key: str, val: str, known_bound: int | None) -> DataFrame:
-    return maybe_broadcast(vocab.select(key, val), BROADCAST_VOCAB_ROWS, known_bound)
+def lookup_in_row(spark, table: dict, default, kind: str):
+    """An Arrow-batched function on arrays that replaces each element by its entry in
+    ``table`` (null arrays become empty). For tables with a proven size bound only: the
+    table goes to every worker once, and no element leaves its row."""
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf(f"array<{kind}>")
+    def look(lists: pd.Series) -> pd.Series:
+        get = shared.value.get
+        return lists.map(lambda xs: [] if xs is None else [get(x, default) for x in xs])
+    return look
+
+
+def _lookup_side(vocab: DataFrame, key: str, val: str) -> DataFrame:
+    return maybe_broadcast(vocab.select(key, val), BROADCAST_VOCAB_ROWS)
 
 
 def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "pair_id",
            out_col: str = "ids", known_bound: int | None = None) -> DataFrame:
     """V4: token array -> id array, unknown -> 3, order kept, ``[]`` for empty input.
 
-    Plan: explode (narrow) -> left join with the broadcast vocabulary (the big side
-    does not move, so hot tokens cost nothing) -> one regroup by ``id_col``.
-    ``known_bound`` is the vocabulary's size cap when it has one (e.g. ``max_size``);
-    without it the vocabulary is counted before it is broadcast, and a vocabulary
-    beyond the broadcast bound is joined by shuffle instead.
-    Returns (id_col, out_col)."""
+    ``known_bound`` is the vocabulary's size cap when it has one (e.g. ``max_size``): the
+    ids are then looked up inside the row, without any shuffle. Otherwise: explode, left
+    join with the vocabulary (broadcast when it is counted small, else by shuffle), one
+    regroup by ``id_col``. Returns (id_col, out_col)."""
+    if known_bound is not None and known_bound <= BROADCAST_VOCAB_ROWS:
+        table = {r["token"]: r["idx"] for r in vocab.select("token", "idx").collect()}  # at most known_bound rows
+        look = lookup_in_row(df.sparkSession, table, UNK_IDX, "bigint")
+        return df.select(id_col, look(F.col(tokens_col)).alias(out_col))
     ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    j = ex.join(_lookup_side(vocab, "token", "idx", known_bound), "token", "left")
+    j = ex.join(_lookup_side(vocab, "token", "idx"), "token", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNK_IDX)).alias("idx")))
     return (j.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
             .select(id_col, F.transform("_s", lambda x: x["idx"]).alias(out_col)))
@@ -153,9 +169,13 @@ def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "pair
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "pair_id",
            out_col: str = "tokens", known_bound: int | None = None, keep_ids: bool = False) -> DataFrame:
     """V5: id array -> token array, unknown id -> ``<UNK>``. With ``keep_ids`` the
-    input ids come back too (rebuilt from the same regroup, no join)."""
+    input ids come back too. Capped vocabularies are looked up inside the row."""
+    if known_bound is not None and known_bound <= BROADCAST_VOCAB_ROWS:
+        table = {r["idx"]: r["token"] for r in vocab.select("token", "idx").collect()}  # at most known_bound rows
+        look = lookup_in_row(df.sparkSession, table, UNK, "string")
+        return df.select(id_col, *([ids_col] if keep_ids else []), look(F.col(ids_col)).alias(out_col))
     ex = df.select(id_col, F.posexplode_outer(ids_col).alias("pos", "idx"))
-    j = ex.join(_lookup_side(vocab, "idx", "token", known_bound), "idx", "left")
+    j = ex.join(_lookup_side(vocab, "idx", "token"), "idx", "left")
     item = F.when(F.col("pos").isNotNull(),
                   F.struct("pos", "idx", F.coalesce("token", F.lit(UNK)).alias("token")))
     g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
