@@ -17,6 +17,13 @@ out once its members share a component or all were first. So a group of thousand
 copies costs a test per member and band at most, and yet no two documents of a bucket
 stay apart untested. The first members per round grow eightfold, so the rounds are few.
 
+From the second round on, two members that the first round found near their bucket's
+first member are compared by what sets each of them apart from it: with c and d shingles
+in common with a first member of n, and s shingles that both differences share, they have
+exactly c + d - n + s shingles in common. The differences are short, so this runs inside
+the join by bucket and only links become rows; a large group of texts that are alike but
+not alike enough yields none. Other pairs are confirmed on the full sets.
+
 Everything data-sized stays in tables under ``spark.checkpoint.dir``; the driver sees
 counts only.
 
@@ -40,7 +47,9 @@ ROWS, BANDS = 6, 36
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: First members of a bucket in the first round, and their growth from round to round.
-FIRST, GROWTH = 1, 8
+FIRST, GROWTH, MOST = 1, 8, 512
+#: From this similarity (in percent) to a bucket's first member on, the difference is kept.
+NEAR = 40
 
 
 # ------------------------------------------------------------------ sets and signatures
@@ -137,14 +146,17 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ links and components
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(a, b)`` that are near each other, with ``na`` and ``nb`` (set sizes),
+    ``common``, ``linked``, and ``apart``: the shingles in one of both sets only."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    sized = both.withColumns({"common": F.size(F.array_intersect("set_a", "set_b")),
-                              "together": F.size("set_a") + F.size("set_b")})
-    return sized.where(100 * F.col("common") >= percent * (F.col("together") - F.col("common"))).select("a", "b")
+    sized = pairs.join(left, "a").join(right, "b").withColumns({
+        "na": F.size("set_a"), "nb": F.size("set_b"), "common": F.size(F.array_intersect("set_a", "set_b"))})
+    together = F.col("na") + F.col("nb") - F.col("common")
+    apart = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
+    return sized.where(100 * F.col("common") >= min(NEAR, percent) * together).select(
+        "a", "b", "na", "nb", "common", (100 * F.col("common") >= percent * together).alias("linked"), apart.alias("apart"))
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -189,36 +201,46 @@ def link_components(docs: DataFrame, table: DataFrame, shingle: int, percent: in
     labels = written(members.select("id").distinct().withColumn("component", F.col("id")), "labels")
     wanted = docs.join(labels.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(full_sets(wanted, shingle), "sets")
-    number, tested = FIRST, None
+    number, near, pivots = FIRST, None, None
     while members.limit(1).count():
         here = members.join(labels, "id")
         # Only buckets that still hold more than one component matter.
         mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        here = here.join(mixed.where("low < high").select("bucket"), "bucket")
-        here = written(here, "mixed")
-        firsts = _first_members(here, number)
-        pairs = (here.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-                 .join(firsts.select("bucket", F.explode("firsts").alias("f")), "bucket")
-                 .select(F.col("f.id").alias("a"), "b", F.col("f.component").alias("ca"), "cb")
-                 .where("a < b AND ca <> cb").select("a", "b").distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else written(tested.unionByName(pairs), "tested")
-        labels = merge_components(labels, written(confirmed(pairs, sets, percent), "links"))
-        done = firsts.select("bucket", F.explode("firsts.id").alias("id"))
+        here = written(here.join(mixed.where("low < high").select("bucket"), "bucket"), "mixed")
+        later = (F.col("bucket") == F.col("f_bucket")) & (F.col("f.id") < F.col("id")) & (F.col("f.component") != F.col("component"))
+        if near is None:
+            firsts = written(_first_members(here, number, []), "pivots")
+            pivots = firsts.select(F.col("f_bucket").alias("bucket"), F.col("f.id").alias("a"))
+            pairs = here.join(firsts, later).select(F.col("f.id").alias("a"), F.col("id").alias("b")).distinct()
+            near = written(compared(pairs, sets, percent), "near")
+            links = near.where("linked").select("a", "b")
+        else:
+            facts = near.select("a", F.col("b").alias("id"), "na", "nb", "common", "apart")
+            here = written(here.join(pivots, "bucket").join(facts, ["a", "id"], "left").drop("a"), "apart")
+            firsts = _first_members(here, number, ["na", "nb", "common", "apart"])
+            known = F.col("f.apart").isNotNull() & F.col("apart").isNotNull()
+            shared = F.col("f.common") + F.col("common") - F.col("na") + F.size(F.array_intersect("f.apart", "apart"))
+            alike = 100 * shared >= percent * (F.col("f.nb") + F.col("nb") - shared)
+            found = here.join(firsts, later & F.when(known, alike).otherwise(True)).select(
+                F.col("f.id").alias("a"), F.col("id").alias("b"), known.alias("known")).groupBy("a", "b").agg(F.max("known").alias("known"))
+            found = written(found, "found")
+            full = compared(found.where("NOT known").select("a", "b"), sets, percent)
+            links = found.where("known").select("a", "b").unionByName(full.where("linked").select("a", "b"))
+        labels = merge_components(labels, written(links, "links"))
+        done = firsts.select(F.col("f_bucket").alias("bucket"), F.col("f.id").alias("id"))
         members = written(here.select("bucket", "id").join(done, ["bucket", "id"], "left_anti"), "buckets")
-        number *= GROWTH
+        number = min(number * GROWTH, MOST)
     return labels
 
 
-def _first_members(here: DataFrame, number: int) -> DataFrame:
-    """``bucket, firsts``: the ``number`` members of smallest id, with their components.
+def _first_members(here: DataFrame, number: int, facts: list[str]) -> DataFrame:
+    """``f_bucket, f``: the ``number`` members of smallest id of each bucket, as structs.
     Buckets are cut into pieces first, so that no task sorts a whole large one."""
     piece = here.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(64)))
-    order = Window.partitionBy("bucket", "piece").orderBy("id")
-    kept = piece.withColumn("place", F.row_number().over(order)).where(F.col("place") <= number)
-    return kept.groupBy("bucket").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "component"))), 1, number).alias("firsts"))
+    for keys in (["bucket", "piece"], ["bucket"]):
+        order = Window.partitionBy(*keys).orderBy("id")
+        piece = piece.withColumn("place", F.row_number().over(order)).where(F.col("place") <= number)
+    return piece.select(F.col("bucket").alias("f_bucket"), F.struct("id", "component", *facts).alias("f"))
 
 
 def components(docs: DataFrame, shingle: int, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

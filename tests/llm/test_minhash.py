@@ -82,19 +82,30 @@ def test_signature_agreement_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.05
 
 
-def test_prefixes_lose_no_link(docs):
-    """Sets of similarity 0.8 or more share a shingle of their prefixes, whatever is common."""
+def test_a_large_group_that_is_not_alike_enough(docs):
+    """Variants of one text: few link, and the others yield no rows that grow in pairs."""
     rnd = random.Random(9)
-    base = [f"w{i}" for i in range(60)]
-    texts = [" ".join(edited(rnd, base, s)) for s in (0, .02, .03, .04, .05, .08) for _ in range(6)]
-    sets = M.full_sets(docs(texts), 2)
-    for common in (np.zeros(0, np.uint64), M.common_shingles(sets)):
-        got = {r.id: set(r.prefix) for r in M.prefixes(sets, common, 80).collect()}
-        for i, t in enumerate(texts, 1):
-            for j, u in enumerate(texts, 1):
-                x, y = shingles(t, 2), shingles(u, 2)
-                if 100 * len(x & y) >= 80 * len(x | y):
-                    assert got[i] & got[j]
+    base = [f"w{i}" for i in range(100)]
+    texts = dict(enumerate([" ".join(edited(rnd, base, rnd.choice([0, .02, .06, .09, .15, .3]))) for _ in range(150)], 1))
+    name, _ = brute(texts, 2)
+    got = {r.doc_id: r.component_id for r in M.components(docs(list(texts.values())), 2).collect()}
+    assert got == name and 2 < len(set(name.values())) < 150
+
+
+def test_compared_pairs(docs, spark):
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(50)]
+    texts = [" ".join(edited(rnd, base, s)) for s in (0, .02, .1, .3, .9)]
+    pairs = spark.createDataFrame([(i, j) for i in range(1, 6) for j in range(i + 1, 6)], "a long, b long")
+    got = {(r.a, r.b): r for r in M.compared(pairs, M.full_sets(docs(texts), 2)).collect()}
+    for i in range(1, 6):
+        for j in range(i + 1, 6):
+            x, y = shingles(texts[i - 1], 2), shingles(texts[j - 1], 2)
+            assert ((i, j) in got) == (100 * len(x & y) >= M.NEAR * len(x | y))
+            if (i, j) in got:
+                r = got[i, j]
+                assert (r.na, r.nb, r.common, len(r.apart)) == (len(x), len(y), len(x & y), len(x ^ y))
+                assert r.linked == (100 * len(x & y) >= 80 * len(x | y))
 
 
 def test_drop_near_copies(docs):
