@@ -124,13 +124,25 @@ def test_repo_search_page_cap(spark):
     assert len(out) == 100 and out[0]["stars"] == 349
 
 
-def test_restrict_corpus_keeps_positions(spark):
+def test_vectors_of_a_planted_corpus(spark):
+    """Tokens with the same contexts are nearest neighbours; every token seen twice has a
+    vector, whatever its rank."""
     from docpairs.operators import vectors as G
-    corpus = spark.createDataFrame([(0, 1, ["a", "x", "b", "y"]), (1, 1, []), (0, 2, ["b"])],
-                                   "side int, id long, tokens array<string>")
-    keep = spark.createDataFrame([("a",), ("b",)], "token string")
-    out = {(r["side"], r["id"]): r["tokens"] for r in G.restrict_corpus(corpus, keep, known_bound=2).collect()}
-    assert out == {(0, 1): ["a", "<OOV>", "b", "<OOV>"], (1, 1): [], (0, 2): ["b"]}
+    rows = [(0, i, [w, "sits", "on", "the", m]) for i, (w, m) in enumerate(
+        [("cat", "mat"), ("dog", "mat"), ("cat", "rug"), ("dog", "rug")] * 3)]
+    rows += [(1, 100 + i, [w, "flies", "over", "every", m]) for i, (w, m) in enumerate([("bird", "sea"), ("plane", "sea")] * 4)]
+    rows += [(1, 200, ["once"]), (1, 201, ["alone"]), (1, 202, ["alone"])]
+    corpus = spark.createDataFrame(rows, "side int, id long, tokens array<string>")
+    vecs = {r.token: r.vector for r in G.train_vectors(corpus, dim=64).collect()}
+    assert "once" not in vecs and not any(vecs["alone"]) and len(vecs["cat"]) == 64
+
+    def cosine(a, b):
+        dot = sum(x * y for x, y in zip(a, b))
+        return dot / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for a, b in (("cat", "dog"), ("bird", "plane"), ("mat", "rug")):
+        others = [t for t in vecs if t not in (a, "alone")]
+        assert max(others, key=lambda t: cosine(vecs[a], vecs[t])) == b
+
 
 
 def test_shuffle_key_is_portable_and_epoch_dependent(spark):
