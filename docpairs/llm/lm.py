@@ -39,7 +39,9 @@ from .wordhash import mix, slices, text_bytes, words
 
 END = np.uint64(0x5EED0FE4D0000001)
 #: Distinct keys a task holds before it hands partial counts on.
-HELD = 3 << 20
+HELD = 1 << 20
+#: Bytes of text that are worked on at once.
+SLICE = 3 << 20
 #: Tokens per shard of pairs.
 SHARD_TOKENS = 2_000_000
 
@@ -75,8 +77,9 @@ class Tally:
                 self.parts, self.size = [merged], len(merged[0])
 
     def _merge(self):
-        keys, counts = zip(*self.parts)
-        return summed(np.concatenate(keys), np.concatenate(counts))
+        keys, counts = map(np.concatenate, zip(*self.parts))
+        self.parts = []
+        return summed(keys, counts)
 
     def rest(self):
         if self.parts:
@@ -203,7 +206,7 @@ def _count_words(shards: int):
     def run(batches):
         tally = Tally()
         for batch in batches:
-            for _, part in slices(batch.column(0)):
+            for _, part in slices(batch.column(0), SLICE):
                 for keys, counts in tally.add(token_hashes(part)[0]):
                     yield _counted(range_shard(keys, shards), keys, counts)
         for keys, counts in tally.rest():
@@ -240,7 +243,7 @@ def _count_pairs(vocabulary_of, limit: float, shards: int):
             return _counted(pair_shard(pairs, first, hot, vocabulary.size, shards), pairs, counts)
 
         for batch in batches:
-            for _, part in slices(batch.column(0)):
+            for _, part in slices(batch.column(0), SLICE):
                 hashes, ends = token_hashes(part)
                 numbers = _number_tokens(vocabulary, hashes)
                 before = first_words(numbers, ends, vocabulary.size)
@@ -430,7 +433,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         vocabulary = model.words() if model.tokens else None
         for batch in batches:
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(1), SLICE):
                 hashes, ends = token_hashes(part)
                 starts = np.concatenate([[0], ends[:-1] + 1])
                 counts = np.zeros(len(hashes), np.int64)
