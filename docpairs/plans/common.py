@@ -31,10 +31,12 @@ def valid(spark: SparkSession, sf_dir: str, *splits: str) -> DataFrame:
     return cleaning.preprocess(src, "raw_code", "raw_doc").select("pair_id", "split", "func_name", "code", "docstring")
 
 
-def valid_tokens(spark: SparkSession, sf_dir: str, *splits: str) -> DataFrame:
-    """Valid pairs with code tokens (``src``) and docstring tokens (``tgt``)."""
-    return valid(spark, sf_dir, *splits).select("pair_id", "split", T.tokenize_code("code").alias("src"),
-                                                T.tokenize_text("docstring").alias("tgt"))
+def valid_tokens(spark: SparkSession, sf_dir: str, *splits: str, code_tokens=T.tokenize_code,
+                 doc_tokens=T.tokenize_text) -> DataFrame:
+    """Valid pairs with code tokens (``src``) and docstring tokens (``tgt``). The tokenizers
+    are functions from a column (name) to a token array column."""
+    return valid(spark, sf_dir, *splits).select("pair_id", "split", code_tokens("code").alias("src"),
+                                                doc_tokens("docstring").alias("tgt"))
 
 
 # ----------------------------------------------------------------- oracle side

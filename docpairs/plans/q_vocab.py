@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import vocab as V
 from ..session import materialize
+from . import duck as D
 from .common import CLEANED_CTE, VALID_TOKENS_CTE, oracle, valid_tokens
 from .registry import register
 
@@ -59,6 +60,16 @@ def q_build_vocab(spark, sf_dir):
     return V.build_vocab(_train_code_freq(spark, sf_dir), 2, 50000)
 
 
+# The same with other tokenizers: words of the docstring as they stand.
+@register("build_vocab_tokenizer", oracle(
+    f"SELECT * FROM word_vocab UNION ALL {SPECIALS_SQL}",
+    CLEANED_CTE, f"wtok AS (SELECT pair_id, {D.whitespace_tokens('docstring')} AS tgt FROM valid WHERE split = 'train')",
+    d_freq("word_freq", "wtok", "tgt"), d_vocab("word_vocab", "word_freq", 20000)))
+def q_build_vocab_tokenizer(spark, sf_dir):
+    vt = valid_tokens(spark, sf_dir, "train", doc_tokens=T.whitespace_tokens)
+    return V.build_vocab(V.token_freq(vt, "tgt"), 2, 20000)
+
+
 # A cap that bites at every scale: the cut keeps the 300 most frequent tokens.
 @register("build_vocab_capped", oracle(
     f"SELECT * FROM code_vocab UNION ALL {SPECIALS_SQL}",

@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 import tempfile
 
@@ -13,9 +14,11 @@ def spark():
     from docpairs.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=8)
     # Tests own their session, so they may name a scratch checkpoint folder.
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docpairs-test-ckpt-"))
+    scratch = tempfile.mkdtemp(prefix="docpairs-test-ckpt-")
+    s.sparkContext.setCheckpointDir(scratch)
     yield s
     s.stop()
+    shutil.rmtree(scratch, ignore_errors=True)
 
 
 def one_col(spark, values, name="x", typ="string"):
