@@ -48,9 +48,12 @@ def test_padded_length_is_batch_max(spark):
 def test_every_character_of_the_documents_reaches_the_views(spark):
     sf = "/root/testdata/sf0.001"
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    lines = sorted(line for t in texts for line in t.split("\n"))
-    refs = fixtures.view(spark, sf, "eval_pairs").where("model = 'alpha'").select("reference").collect()
-    assert sorted(r.reference for r in refs) == lines
+
+    def blocks(size):
+        return sorted(line[k:k + size] for t in texts for line in t.split("\n") for k in range(0, max(len(line), 1), size))
+    refs = fixtures.view(spark, sf, "eval_pairs").where("model = 'alpha'").select("pair_id", "reference").collect()
+    assert sorted(r.reference for r in refs) == blocks(fixtures.EVAL_BLOCK) and len({r.pair_id for r in refs}) == len(refs)
+    lines = blocks(fixtures.PAIR_BLOCK)
     kept = fixtures.view(spark, sf, "pairs").select("raw_code", "raw_doc").collect()
     assert len(kept) == len(lines)
     for side, none in (("raw_code", 47), ("raw_doc", 41)):
