@@ -25,19 +25,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from itertools import chain
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty
+from .common import held_by, read, text_or_empty
+from .forms import spelled, stem, text_forms
 
-_IRREGULAR_SPACE = re.compile(r" (?=\s)| \Z")
-_BEFORE_WORD = re.compile(r"(?= \S)")
 #: Word forms whose ids a worker remembers, and states kept by the transducer.
-CACHED_FORMS = 600_000
+CACHED_FORMS = 1_000_000
 MAX_STATES = 200_000
 
 
@@ -147,7 +145,8 @@ class Transducer:
             while n < min(len(common), len(pending)) and common[n] == pending[n]:
                 n += 1
             common = common[:n]
-        after = tuple(sorted((node, before, pending[len(common):]) for node, before, pending in live))
+        # By age of the last boundary: equal sets of hypotheses come in equal order.
+        after = tuple([(node, before, pending[len(common):]) for node, before, pending in live])
         if after not in self.number:
             self.number[after] = len(self.states)
             self.states.append(after)
@@ -214,37 +213,41 @@ class Codec:
             self.token[i] = t
         self.decimal = [str(i) for i in range(len(self.token))]
         self.cached_forms = cached_forms
-        self.forms: dict[str, list[int]] = {}
+        self.forms: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def _encode(self, piece: str) -> list[int]:
+    def _encode(self, piece: str) -> bytes:
+        """Ids of a form as unsigned 32-bit numbers."""
         encode = self.transducer.encode
-        return [i for m in self.find(piece) for i in encode(m.encode("utf-8"))]
+        return array("I", [i for m in self.find(piece) for i in encode(m.encode("utf-8"))]).tobytes()
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. No match of the byte-level patterns reaches over the place
-        before a space that a non-space follows, so each distinct form between such
-        places is read once per worker."""
-        if _IRREGULAR_SPACE.search(text):
-            head, *words = _BEFORE_WORD.split(text)
-            words = [w[1:] for w in words]
+    def _form(self, form: str) -> bytes:
+        """Ids of a form, kept while there is room."""
+        bare = stem(form)
+        if bare == form:
+            ids = self._encode(spelled(form))
         else:
-            head, *words = text.split(" ")
-        forms = self.forms
-        ids = self._encode(head)
-        try:
-            ids.extend(chain.from_iterable([forms[w] for w in words]))
-            return ids
-        except KeyError:
-            pass
-        for w in words:
-            known = forms.get(w)
-            if known is None:
-                known = self._encode(" " + w)
-                if len(w) <= 64 and len(forms) < self.cached_forms:
-                    forms[w] = known
-            ids.extend(known)
+            ids = (self.forms.get(bare) or self._form(bare)) + self._marks(form[len(bare):])
+        if len(form) <= 64 and len(self.forms) < self.cached_forms:
+            self.forms[form] = ids
         return ids
 
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self._encode(marks)
+        return self.marks[marks]
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; each distinct form is read once per worker."""
+        head, words, newline = text_forms(text)
+        ids = list(map(self.forms.get, words))
+        if None in ids:
+            for i in [i for i, known in enumerate(ids) if known is None]:
+                ids[i] = self.forms.get(words[i]) or self._form(words[i])
+        out = array("I", self._encode(head) if head else b"")
+        out.frombytes(b"".join(ids)[4 * newline:])
+        return out.tolist()
+
     def decode(self, ids: list[int], chunk: int = 65536):
         """The text of ``ids``, piece by piece."""
         stream, token = Utf8Stream(), self.token
@@ -262,16 +265,13 @@ class Codec:
         return len(ids), of_ids, of_text.hexdigest()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process, vocabulary and pattern."""
-    key = (path, pattern)
-    if key not in _CODECS:
+    held, key = held_by("bpe"), (path, pattern)
+    if key not in held:
         with open(path, "rb") as f:
-            _CODECS[key] = Codec(load_ranks(f), pattern)
-    return _CODECS[key]
+            held[key] = Codec(load_ranks(f), pattern)
+    return held[key]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

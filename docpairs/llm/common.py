@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
@@ -65,6 +67,24 @@ def save_file(folder: str, name: str, data: bytes) -> None:
     os.replace(f"{path}/{hidden}", f"{path}/{name}")
 
 
+_HELD: dict = {"owner": None}
+
+
+def held_by(owner: str) -> dict:
+    """A dictionary for what an operator keeps in a worker process from task to task. The
+    worker keeps one operator's at a time: the tables of the operator that ran before are
+    dropped, and the memory goes back to the system."""
+    if _HELD["owner"] != owner:
+        _HELD.clear()
+        _HELD.update(owner=owner, tables={})
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    return _HELD["tables"]
+
+
 def ascii_lower_bytes(data):
     """Lower-case A-Z in a numpy uint8 array (a copy). Bytes of multi-byte UTF-8
     characters are 0x80 or more and stay as they are."""
