@@ -43,7 +43,7 @@ HELD = 1 << 20
 #: Bytes of text that are worked on at once.
 SLICE = 3 << 20
 #: Tokens per shard of pairs.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 
 
 # ------------------------------------------------------------------ arrays

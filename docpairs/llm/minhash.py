@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, written
+from .common import held_by, read, text_or_empty, written
 from .wordhash import mix, slices, text_bytes, words
 
 ROWS, BANDS = 6, 36
@@ -108,6 +108,7 @@ def sketches(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS
     permutations = -(-rows * bands // 2)
 
     def run(batches):
+        held_by("minhash")
         for batch in batches:
             for at, part in slices(batch.column(1), 4 << 20):
                 values, counts = shingle_sets(part, shingle)
@@ -131,6 +132,7 @@ def sketches(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, shingles``: the full set of every whole text."""
     def run(batches):
+        held_by("minhash")
         for batch in batches:
             for at, part in slices(batch.column(1), 4 << 20):
                 values, counts = shingle_sets(part, shingle)

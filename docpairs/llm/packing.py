@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, written
+from .common import held_by, read, text_or_empty, written
 from .forms import spelled, stem, text_forms
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ NODES = 2000
 #: Fillings kept per node.
 BRANCH = 6
 #: Word forms whose ids a worker remembers; further forms are encoded each time.
-CACHED_FORMS = 1_500_000
+CACHED_FORMS = 800_000
 
 
 # ------------------------------------------------------------------ tokenising
@@ -87,13 +87,12 @@ class PieceEncoder:
         return first + b"".join(ids)[4 * newline:]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def _encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per worker process and tokenizer."""
+    held = held_by("packing")
+    if path not in held:
+        held[path] = PieceEncoder(path)
+    return held[path]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),

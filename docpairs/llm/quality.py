@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, written
+from .common import held_by, read, text_or_empty, written
 
 FEATURES = ("log_words", "mean_word", "log_lines", "upper", "digit", "mark", "odd_mark", "non_ascii",
             "distinct_words", "distinct_lines", "short_words", "long_words", "top_word", "marked_words")
@@ -71,12 +71,21 @@ def statistics(text: str) -> list[float]:
             _logit(marked / d)]
 
 
+#: Rows whose statistics a worker holds at once.
+ROWS = 512
+
+
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id, x``: the statistics of every whole text."""
-    @F.pandas_udf("array<double>")
-    def compute(texts: pd.Series) -> pd.Series:
-        return texts.map(statistics)
-    return docs.select(F.col("doc_id"), compute(text_or_empty("text")).alias("x"))
+    def run(batches):
+        held_by("quality")
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                xs = pa.array([statistics(t.as_py()) for t in part.column(1)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), xs], ["doc_id", "x"])
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
+    return src.mapInArrow(run, "doc_id bigint, x array<double>")
 
 
 def held_out(col="doc_id"):
@@ -184,6 +193,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        held_by("quality")
         return pd.Series(model.score(np.array([statistics(t) for t in texts])) if len(texts) else [], dtype="float64")
 
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty
+from .common import held_by, read, text_or_empty
 
 #: The base patterns, in the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -159,6 +159,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     column. Texts without secrets (null too) come back unchanged, row for row."""
     @F.pandas_udf("string")
     def clean(texts):
+        held_by("secrets")
         return texts.map(lambda t: t if t is None else redact_text(t, mark))
 
     columns = [F.when(F.col("clean_text").isNull() | (F.col("clean_text") == F.col("doc.text")), F.col(f"doc.`{c}`"))
