@@ -19,30 +19,20 @@ DRIVER_TABLES = (
     "conversations",
 )
 
-# Every line of every document in blocks of characters, with its place: the pairs and the
-# evaluation texts are built from these rows, so the whole text of a document is covered.
-# (Evaluation blocks are smaller: the oracle's LCS is cubic in their words.) Each engine
-# has its own spelling of "one row per line and block". The factors leave room for 99,000
-# lines of a document and 1,009 blocks of a line.
-PAIR_BLOCK, EVAL_BLOCK, DOC_STEP, LINE_STEP = 1200, 240, 100000007, 1009
-
-
-def _lines_spark(block: int) -> str:
-    return f"""(
-  SELECT doc_id * {DOC_STEP} + line_no * {LINE_STEP} + block AS pair_id, lang, source,
-    substr(whole, CAST(block * {block} + 1 AS INT), {block}) AS line
-  FROM documents LATERAL VIEW posexplode(split(text, '\\n')) l AS line_no, whole
-    LATERAL VIEW explode(sequence(0, greatest(length(whole) - 1, 0) div {block})) b AS block) doc_lines"""
-
-
-def _lines_duck(block: int) -> str:
-    return f"""(
-  SELECT doc_id * {DOC_STEP} + line_no * {LINE_STEP} + block AS pair_id, lang, source,
-    substr(whole, block * {block} + 1, {block}) AS line
-  FROM (SELECT doc_id, lang, source, line_no, whole, unnest(range(0, greatest(length(whole) - 1, 0) // {block} + 1)) AS block
-        FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS whole,
-                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) l) m) doc_lines"""
-
+# Every line of every document, whole, with its place: the pairs and the evaluation texts
+# are built from these same rows, so equal ids mean the same text. Each engine has its own
+# spelling of "one row per line". No string of Spark has DOC_STEP characters, so no line
+# reaches the ids of the next document and a "block" of that size is always a whole line.
+DOC_STEP = 2147483647
+PAIR_BLOCK = EVAL_BLOCK = DOC_STEP
+
+LINES_SPARK = f"""(
+  SELECT doc_id * {DOC_STEP} + line_no AS pair_id, lang, source, line
+  FROM documents LATERAL VIEW posexplode(split(text, '\\n')) l AS line_no, line) doc_lines"""
+LINES_DUCK = f"""(
+  SELECT doc_id * {DOC_STEP} + line_no AS pair_id, lang, source, line
+  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
+          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) l) doc_lines"""
 
 PAIRS_SQL = """
 SELECT pair_id,
@@ -74,7 +64,7 @@ SELECT pair_id, m AS model, line AS reference,
        WHEN m = 'alpha' THEN replace(line, 'th', 'zz')
        WHEN pair_id % 31 = 0 THEN ''
        ELSE replace(replace(replace(line, ' the ', ' '), ' de ', ' '), ' die ', ' ') END AS prediction
-FROM {eval_lines} {models}
+FROM {lines} {models}
 """
 
 PY_SOURCES_SQL = """
@@ -125,16 +115,15 @@ MODELS_DUCK = "CROSS JOIN (SELECT 'alpha' AS m UNION ALL SELECT 'beta' AS m) mod
 MODELS_SPARK = "LATERAL VIEW explode(array('alpha', 'beta')) models AS m"
 
 
-def _spelled(sql: str, lines, models: str) -> str:
-    return (sql.replace("{lines}", lines(PAIR_BLOCK)).replace("{eval_lines}", lines(EVAL_BLOCK))
-            .replace("{models}", models))
+def _spelled(sql: str, lines: str, models: str) -> str:
+    return sql.replace("{lines}", lines).replace("{models}", models)
 
 
 _BY_ENGINE = {"pairs": PAIRS_SQL, "eval_pairs": EVAL_PAIRS_SQL, "eval_whole": EVAL_WHOLE_SQL}
-SPARK_VIEWS = {k: _spelled(v, _lines_spark, MODELS_SPARK) for k, v in _BY_ENGINE.items()}
+SPARK_VIEWS = {k: _spelled(v, LINES_SPARK, MODELS_SPARK) for k, v in _BY_ENGINE.items()}
 
 VIEWS = {
-    **{k: _spelled(v, _lines_duck, MODELS_DUCK) for k, v in _BY_ENGINE.items()},
+    **{k: _spelled(v, LINES_DUCK, MODELS_DUCK) for k, v in _BY_ENGINE.items()},
     "py_sources": PY_SOURCES_SQL,
     "run_log": RUN_LOG_SQL,
     "logits": LOGITS_SQL,
