@@ -8,11 +8,11 @@ Packing runs in groups of about ``GROUP`` pieces, dealt by a hash of the piece's
 every group is bounded however many pieces a source or a length holds; a group costs at
 most one sequence more than packing everything at once. Inside a group a branch-and-bound
 search takes the largest remaining piece, enumerates the undominated fillings around it
-(up to three further pieces, best fill first), and prunes a branch when the space it
-leaves free exceeds what a solution with one sequence fewer than the incumbent could
-leave. The incumbent is the best-fit-decreasing solution, replaced by every better one
+(any number of further pieces, best fill first, each when the search comes back for it),
+and prunes a branch when the space it leaves free exceeds what a solution with one
+sequence fewer than the incumbent could leave. The incumbent is the best-fit-decreasing solution, replaced by every better one
 found; the search is over the bins that it leaves space in, and ends at the lower bound
-ceil(tokens / capacity), when no branch is left, or after a stated number of nodes.
+ceil(tokens / capacity), when no branch is left, or after a stated number of fillings.
 
 Cases: null text is empty; every document ends with the end token, so it has at least one
 piece; null and repeated ids are packed like others (a repeated row is its own document);
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ from .forms import spelled, stem, text_forms
 
 CAPACITY = 2048
 GROUP = 16384
-#: Search nodes per group beyond the first descent.
+#: Fillings that the search looks at in a group beyond the first descent.
 NODES = 2000
-#: Fillings kept per node.
-BRANCH = 6
+#: Steps for one filling by sums of an earlier node, before a node takes sums of its own.
+STALE_STEPS = 2048
 #: Word forms whose ids a worker remembers; further forms are encoded each time.
 CACHED_FORMS = 800_000
 
@@ -155,69 +156,102 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(counts: np.ndarray, space: int, branch: int = BRANCH) -> list[tuple[int, ...]]:
-    """Undominated sets of up to three remaining lengths that fit ``space``, best fill
-    first; of equal fills the one with fewer, larger pieces.
-
-    A set is dominated when one remaining length could replace some of its pieces and
-    leave no more space: fewer, larger pieces are never harder to place elsewhere."""
-    sizes = np.flatnonzero(counts[:space + 1])
-    if not len(sizes):
-        return [()]
-    found = [(int(sizes[-1]),)]
-    if found[0][0] == space:
-        return found
-    best: list[tuple[int, tuple[int, ...]]] = [(found[0][0], found[0])]
-
-    def pairs(room: int, free) -> list[tuple[int, int]]:
-        a = sizes[(sizes <= room)]
-        if len(a) == 0:
-            return []
-        b = sizes[np.clip(np.searchsorted(sizes, np.minimum(room - a, a), side="right") - 1, 0, None)]
-        ok = (a + b <= room) & (b <= a) & ((a != b) | (free[a] >= 2))
-        a, b = a[ok], b[ok]
-        order = np.argsort(-(a + b) * 4096 - a, kind="stable")[:branch]
-        return [(int(x), int(y)) for x, y in zip(a[order], b[order])]
-
-    for p in pairs(space, counts):
-        best.append((sum(p), p))
-    if max(t for t, _ in best) < space:
-        for x in sizes[::-1][:64]:
-            x = int(x)
-            counts[x] -= 1
-            for p in pairs(space - x, counts)[:2]:
-                if p[0] <= x and counts[p[0]] > 0 and counts[p[1]] > (p[0] == p[1]):
-                    best.append((x + sum(p), (x, *p)))
-            counts[x] += 1
-            if best[-1][0] == space:  # nothing fills better
-                break
-    best.sort(key=lambda t: (-t[0], len(t[1]), [-v for v in t[1]]))
-    out: list[tuple[int, ...]] = []
-    for total, fill in best:
-        if fill in out:
-            continue
-        slack = space - total
-        sums = {0}
-        for v in fill:
-            sums |= {s + v for s in sums}
-        if any(_other(counts, fill, s, s + slack) for s in sums if s and (s not in fill or slack)):
-            continue
-        out.append(fill)
-        if len(out) == branch:
-            break
-    return out or [best[0][1]]
+def _sums(counts: list[int], capacity: int) -> tuple[list[int], list[int], int]:
+    """The distinct lengths, ascending, for each number of the smallest of them the sums
+    up to ``capacity`` that their pieces reach, as bits, and the bits of the lengths."""
+    sizes = [v for v, n in enumerate(counts) if n]
+    reached, mask = [1], (2 << capacity) - 1
+    for v in sizes:
+        bits, left, step = reached[-1], min(counts[v], capacity // v), 1
+        while left > 0:
+            step = min(step, left)
+            bits |= bits << v * step
+            left -= step
+            step *= 2
+        reached.append(bits & mask)
+    return sizes, reached, sum(1 << v for v in sizes)
+
+
+class _Stale(Exception):
+    """The sums of an earlier node lead to too many dead ends here."""
+
+
+def _exact(counts: list[int], sums, space: int, upto: int, steps: list[float]):
+    """Sets of the ``upto`` smallest lengths that fill ``space`` to the last token, larger
+    pieces first. Sums of more pieces than remain cost dead ends, never a set."""
+    if not space:
+        yield ()
+        return
+    sizes, reached, _ = sums
+    for j in range(min(upto, bisect_right(sizes, space)) - 1, -1, -1):
+        if not reached[j + 1] >> space & 1:
+            return
+        steps[0] -= 1
+        if steps[0] < 0:
+            raise _Stale
+        v = sizes[j]
+        for n in range(min(counts[v], space // v), 0, -1):
+            if reached[j] >> space - n * v & 1:
+                for rest in _exact(counts, sums, space - n * v, j, steps):
+                    yield (v,) * n + rest
+
+
+def _spread(bits: int, n: int) -> int:
+    """Every bit, and the ``n`` after it."""
+    done = 0
+    while done < n:
+        step = min(done + 1, n - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def _dominated(counts: list[int], present: int, fill: tuple[int, ...], slack: int) -> bool:
+    """Whether one other remaining length could be added, or replace some of the pieces
+    and leave no more space: fewer, larger pieces are never harder to place elsewhere.
+    ``present`` has the bits of all lengths that may remain."""
+    several, single = 0, 1
+    for v in fill:
+        several |= several << v | (single ^ 1) << v
+        single |= 1 << v
+    better = _spread(several, slack)
+    if slack:  # one piece, or none, gives way to something longer only
+        better |= _spread(single << 1, slack - 1)
+    better &= present
+    while better:
+        v = better.bit_length() - 1
+        if counts[v] > fill.count(v):
+            return True
+        better ^= 1 << v
+    return False
 
 
-def _other(counts, fill, low: int, high: int) -> bool:
-    """A remaining length in [low, high] that is not the whole of ``low`` in ``fill``."""
-    for v in np.flatnonzero(counts[low:high + 1]) + low:
-        if v > low or v not in fill:
-            return int(counts[v]) > fill.count(int(v))
-    return False
+def completions(counts: list[int], space: int, sums, least=lambda: 0):
+    """Undominated sets of remaining lengths that fit ``space``, any number of pieces,
+    best fill first, of equal fills the one with larger pieces; None stands for a
+    dominated one. Ends below a fill of ``least()``. ``sums`` come from this node or one
+    above it; the caller restores ``counts`` before it asks for the next set."""
+    total = space
+    while total >= max(0, least()):
+        given, fresh = 0, sums is None
+        while True:
+            if sums is None:
+                sums = _sums(counts, space)
+            steps = [float("inf") if fresh else STALE_STEPS]
+            try:
+                for k, fill in enumerate(_exact(counts, sums, total, len(sums[0]), steps)):
+                    if k >= given:
+                        given += 1
+                        yield None if _dominated(counts, sums[2], fill, space - total) else fill
+                break
+            except _Stale:
+                sums, fresh = None, True
+        below = sums[1][bisect_right(sums[0], space)] & ((1 << total) - 1)
+        total = below.bit_length() - 1
 
 
 def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """As few bins as the search finds within ``nodes`` nodes beyond its first descent."""
+    """As few bins as the search finds within ``nodes`` fillings beyond its first descent."""
     full = [[x] for x in lengths if x >= capacity]
     rest = [x for x in lengths if x < capacity]
     if not rest:
@@ -231,52 +265,64 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
     rest = [x for b in best for x in b]
     total = sum(rest)
     bound = -(-total // capacity)
-    counts = np.bincount(rest, minlength=capacity + 1)
-    path: list[tuple[int, list[tuple[int, ...]], int, int]] = []  # largest, fillings, next, waste so far
+    counts = np.bincount(rest, minlength=capacity + 1).tolist()
+    # Bins so far: largest, its further fillings, the filling taken, waste before it.
+    path: list[tuple] = []
+    # Sums by the depth at which they were taken, with the pieces left there.
+    tables = [(0, len(rest), _sums(counts, capacity))]
     waste, left, budget = 0, len(rest), nodes + len(rest)
 
-    def top() -> int:
-        return int(np.flatnonzero(counts)[-1])
+    def most() -> int:
+        """The free space that a better solution may have."""
+        return (len(best) - 1) * capacity - total
+
+    def place(x: int, fills) -> bool:
+        """Close the bin of ``x`` with its next filling; False: it has no other."""
+        nonlocal waste, left, budget
+        for fill in fills:
+            budget -= 1
+            if fill is not None and waste + capacity - x - sum(fill) <= most():
+                path.append((x, fills, fill, waste))
+                for v in fill:
+                    counts[v] -= 1
+                left -= 1 + len(fill)
+                waste += capacity - x - sum(fill)
+                return True
+            if budget <= 0:
+                break
+        counts[x] += 1
+        return False
 
     def undo() -> bool:
         """Take back bins until one has another filling to try; False: none has."""
         nonlocal waste, left
-        while path:
-            x, fills, at, before = path.pop()
-            for v in (x, *fills[at]):
+        while path and budget > 0:
+            x, fills, fill, waste = path.pop()
+            for v in fill:
                 counts[v] += 1
-            left += 1 + len(fills[at])
-            waste = before
-            if at + 1 < len(fills) and place(x, fills, at + 1):
+            left += 1 + len(fill)
+            while tables[-1][0] > len(path):
+                tables.pop()
+            if place(x, fills):
                 return True
         return False
 
-    def place(x: int, fills: list[tuple[int, ...]], at: int) -> bool:
-        """False: the free space would exceed the bound of a better solution."""
-        nonlocal waste, left
-        free = capacity - x - sum(fills[at])
-        if waste + free > (len(best) - 1) * capacity - total:
-            return False
-        path.append((x, fills, at, waste))
-        for v in (x, *fills[at]):
-            counts[v] -= 1
-        left -= 1 + len(fills[at])
-        waste += free
-        return True
-
     while budget > 0:
         if left == 0:
             if len(path) < len(best):
-                best = [[x, *fills[at]] for x, fills, at, _ in path]
+                best = [[x, *fill] for x, _, fill, _ in path]
             if len(best) == bound or not undo():
                 break
             continue
-        budget -= 1
-        x = top()
+        if left * 2 < tables[-1][1]:
+            tables.append((len(path), left, _sums(counts, capacity)))
+        x = path[-1][0] if path else capacity
+        while not counts[x]:
+            x -= 1
         counts[x] -= 1
-        fills = completions(counts, capacity - x)
-        counts[x] += 1
-        if not place(x, fills, 0) and not undo():
+        space, before = capacity - x, waste
+        fills = completions(counts, space, tables[-1][2], lambda s=space, w=before: s + w - most())
+        if not place(x, fills) and not undo():
             break
     return full + best
 

@@ -97,3 +97,23 @@ def test_groups_are_bounded(spark):
     got = P.pack(rows, ["doc_id", "piece"], 10, group=500)
     assert got.count() == 5000 and got.groupBy("sequence_id").sum("length").where("`sum(length)` > 10").count() == 0
     assert got.select("sequence_id").distinct().count() <= 2000 + 10
+
+
+def test_search_takes_any_number_of_pieces():
+    rng = np.random.default_rng(0)
+    for low, high in ((300, 401), (200, 501)):  # five and more pieces a bin
+        lengths = rng.integers(low, high, 600).tolist()
+        bins = P.bin_completion(lengths, 2048)
+        assert sorted(x for b in bins for x in b) == sorted(lengths) and all(sum(b) <= 2048 for b in bins)
+        assert len(bins) < len(P.best_fit_decreasing(lengths, 2048))
+    lengths = rng.integers(50, 501, 1500).tolist()
+    assert len(P.bin_completion(lengths, 2048)) == -(-sum(lengths) // 2048)
+
+
+def test_fillings_of_many_pieces_against_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        lengths = rng.integers(12, 33, 11).tolist()
+        assert len(P.bin_completion(lengths, 100)) == fewest(sorted(lengths, reverse=True), 100), lengths
+    lengths = [23] * 4 + [27] * 4 + [17, 16, 17, 16, 17, 17]
+    assert len(P.bin_completion(lengths, 100)) == fewest(sorted(lengths, reverse=True), 100)
