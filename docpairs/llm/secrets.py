@@ -3,16 +3,18 @@
 Three base patterns give spans of kind ``assign``, ``access`` and ``hex`` (leftmost,
 non-overlapping for each kind). Over these the method reads the text as source or
 configuration lines: a small lexer finds ``name = literal`` pairs in the common forms
-(``=``, ``:``, ``:=``, ``=>``, quoted or bare, with an optional type or ``export``), keeps
-the literal each plain name was last bound to, follows ``other = name`` to that literal,
+(``=``, ``:``, ``:=``, ``=>``, with an optional type or ``export``; bare, quoted with
+escapes and other quotes, triple-quoted, template and block literals, of any length),
+keeps the literal each plain name was last bound to, follows ``other = name`` to that literal,
 and adds a ``literal`` span when the target's name is sensitive and the literal looks
-like a secret. Base spans are never removed.
+like a secret, judged on all of it. The inside of a literal is read for statements too.
+A plain quote goes over line breaks where no line has a blank in it (keys in armour).
+Base spans are never removed.
 
 Offsets count code points, end exclusive. ``redact`` replaces the spans in a table's
 texts and leaves documents without spans as they are.
 
-Cases: null text is empty and has no spans; texts of any length are read whole, line by
-line for the lexer; equal texts have equal spans; rows are independent, so repeated rows
+Cases: null text is empty and has no spans; texts of any length are read whole; equal texts have equal spans; rows are independent, so repeated rows
 and null ids need no care; other columns of the table are kept unchanged.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,13 +50,25 @@ PLACEHOLDERS = frozenset(["changeme", "example", "none", "null", "password", "pl
 MIN_LITERAL, MIN_SCORE = 6, 1.0
 
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: A name is read from the start of its word, so a long word is read once.
 _STATEMENT = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})(?P=q)    # the target, bare or a quoted key
-        (?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_]{0,40}(?=\x20*=[^=]))?   # a type between
-        [\x20\t]*(?::=|=>|=(?![=~>])|:(?![:/]))[\x20\t]*            # the assignment
-        (?:(?P<lq>["'`])(?P<quoted>[^"'`\n]{1,4096})(?P=lq)         # a quoted literal
-          |(?P<bare>[^\s"'`,;(){}\[\]]{1,4096}))                    # a bare word or another name""",
+    r"""(?:(?P<q>["'])(?P<key>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=q)        # the target as a quoted key
+          |(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+))  # or bare
+        (?:\x20*+:\x20*+[A-Za-z_][A-Za-z0-9_]*+(?=\x20*+=[^=]))?      # a type between
+        [\x20\t]*+(?::=|=>|=(?![=~>])|:(?![:/]))[\x20\t]*+            # the assignment
+        (?:"{3}(?P<t2>(?:[^"\\]|\\[\s\S]|"(?!""))++)"{3}              # a quoted literal
+          |'{3}(?P<t1>(?:[^'\\]|\\[\s\S]|'(?!''))++)'{3}
+          |"(?P<d>(?:[^"\\\n]|\\[\s\S])++)"
+          |'(?P<s>(?:[^'\\\n]|\\[\s\S])++)'
+          |`(?P<b>(?:[^`\\]|\\[\s\S])++)`
+          |"(?P<dl>(?:-----[A-Z0-9\x20]++-----|[^\s"\\]|\\[\s\S]|[\x20\t\r]*+\n[\x20\t]*+)++)"
+          |'(?P<sl>(?:-----[A-Z0-9\x20]++-----|[^\s'\\]|\\[\s\S]|[\x20\t\r]*+\n[\x20\t]*+)++)'
+          |(?P<block>(?<=[:\x20\t])[|>][-+0-9]{0,2}[\x20\t]*+(?:\#[^\n]*+)?(?=\r?\n|(?<=\r)\n))  # lines below
+          |(?P<bare>[^\s"'`,;(){}\[\]]++))                             # a bare word or another name""",
     re.VERBOSE)
+_QUOTED = ("t2", "t1", "d", "s", "b", "dl", "sl")
+#: What stands around a literal's value: armour of keys, line breaks with their indent.
+_AROUND = re.compile(r"-----(?:BEGIN|END)\x20[A-Z0-9\x20]+-----|[\x20\t\r]*+\n[\x20\t]*+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 
@@ -75,34 +90,66 @@ def name_score(name: str) -> float:
 def entropy(literal: str) -> float:
     """Shannon entropy in bits per character."""
     n = len(literal)
-    return -sum(k / n * math.log2(k / n) for k in (literal.count(c) for c in set(literal)))
+    return -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
 
 
 def literal_score(literal: str) -> float:
     """0 for a placeholder or prose; more for long, mixed, high-entropy literals."""
+    literal = _AROUND.sub("", literal)
     if len(literal) < MIN_LITERAL or literal.lower() in PLACEHOLDERS or " " in literal.strip():
         return 0.0
-    kinds = sum(any(f(c) for c in literal[:64]) for f in (str.islower, str.isupper, str.isdigit))
-    kinds += any(not c.isalnum() for c in literal[:64])
-    return min(1.0, entropy(literal[:256]) / 4.0) * min(1.0, len(literal) / 12.0) * (0.4 + 0.25 * kinds)
+    kinds = sum(any(map(f, literal)) for f in (str.islower, str.isupper, str.isdigit))
+    kinds += not literal.isalnum()
+    return min(1.0, entropy(literal) / 4.0) * min(1.0, len(literal) / 12.0) * (0.4 + 0.25 * kinds)
+
+
+def _block(text: str, name: int, at: int) -> tuple[int, int] | None:
+    """The span of the lines below ``at`` that are indented deeper than the name."""
+    line = text.rfind("\n", 0, name) + 1
+    before = text[line:name]
+    base = len(before) if not before.strip(" \t-\"'") else len(before) - len(before.lstrip(" \t"))
+    base -= before.endswith(('"', "'"))
+    start = end = None
+    at = text.find("\n", at) + 1
+    while 0 < at < len(text):
+        stop = text.find("\n", at)
+        row = text[at:stop if stop >= 0 else len(text)]
+        words = row.strip()
+        if words:
+            indent = len(row) - len(row.lstrip())
+            if indent <= base:
+                break
+            if start is None:
+                start = at + indent
+            end = at + len(row.rstrip())
+        at = stop + 1
+    return None if start is None else (start, end)
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
     found: set[tuple[int, int, int]] = set()
     bound: dict[str, tuple[int, int]] = {}
-    for m in _STATEMENT.finditer(text):
-        name = m["name"]
-        if m["quoted"] is not None:
-            at = m.span("quoted")
-        else:
-            at = m.span("bare")
-            if _IDENTIFIER.match(m["bare"]) and m["bare"] in bound:
-                at = bound[m["bare"]]
-        bound[name] = at
-        sensitive = name_score(name)
-        if sensitive > 0 and sensitive + literal_score(text[at[0]:at[1]]) >= MIN_SCORE + 0.5:
-            found.add((at[0], 3, at[1]))
+    scores: dict[tuple[int, int], float] = {}
+    m = _STATEMENT.search(text)
+    while m:
+        group = "name" if m["name"] is not None else "key"
+        name, kind = m[group], m.lastgroup
+        at = m.span(kind)
+        further = at[0] if kind in _QUOTED else m.end()
+        if kind == "block":
+            at = _block(text, m.start(group), m.end())
+        elif kind == "bare" and _IDENTIFIER.match(m["bare"]) and m["bare"] in bound:
+            at = bound[m["bare"]]
+        if at:
+            bound[name] = at
+            sensitive = name_score(name)
+            if sensitive > 0:
+                if at not in scores:
+                    scores[at] = literal_score(text[at[0]:at[1]])
+                if sensitive + scores[at] >= MIN_SCORE + 0.5:
+                    found.add((at[0], 3, at[1]))
+        m = _STATEMENT.search(text, further)
     return sorted(found)
 
 
