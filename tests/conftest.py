@@ -19,7 +19,3 @@ def spark():
     yield s
     s.stop()
     shutil.rmtree(scratch, ignore_errors=True)
-
-
-def one_col(spark, values, name="x", typ="string"):
-    return spark.createDataFrame([(v,) for v in values], f"{name} {typ}")

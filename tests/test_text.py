@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import one_col
 from docpairs.functions import text as T
+from one_column import one_col
 
 DOC_CASES = [
     ('"""Sum two numbers.\n\n    Args:\n        a: x"""', "Sum two numbers."),
