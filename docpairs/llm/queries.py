@@ -1,9 +1,9 @@
-"""The registered queries of this subpackage: ``op1`` to ``op10``."""
+"""The registered queries of this subpackage: ``op1`` to ``op13``."""
 
 from __future__ import annotations
 
 from ..session import ensure_checkpoint_dir, ensure_package_on_workers
-from . import bpe, exact_dedup, fingerprint, lm, minhash, packing, quality, secrets, urlfilter, warc
+from . import bpe, exact_dedup, fingerprint, lm, merkle, minhash, packing, quality, secrets, urlfilter, warc
 
 _QUERIES = [
     (minhash.op1_minhash_near_dedup, None),
@@ -16,6 +16,7 @@ _QUERIES = [
     (bpe.op8_byte_bpe, None),
     (urlfilter.op9_url_filter, None),
     (exact_dedup.op10_exact_dedup, exact_dedup.ORACLE_SQL),
+    (merkle.op13_merkle_manifest, merkle.ORACLE_SQL),
 ]
 
 
