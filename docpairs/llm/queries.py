@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..session import ensure_checkpoint_dir, ensure_package_on_workers
-from . import bpe, exact_dedup, fingerprint, lm, merkle, minhash, packing, quality, secrets, urlfilter, warc
+from . import (ann, bpe, exact_dedup, fingerprint, lm, merkle, minhash, packing, quality, secrets, spelling,
+               urlfilter, warc)
 
 _QUERIES = [
     (minhash.op1_minhash_near_dedup, None),
@@ -16,6 +17,8 @@ _QUERIES = [
     (bpe.op8_byte_bpe, None),
     (urlfilter.op9_url_filter, None),
     (exact_dedup.op10_exact_dedup, exact_dedup.ORACLE_SQL),
+    (spelling.op11_spelling_variants, spelling.ORACLE_SQL),
+    (ann.op12_learned_partitions, None),
     (merkle.op13_merkle_manifest, merkle.ORACLE_SQL),
 ]
 
