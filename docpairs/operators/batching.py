@@ -98,27 +98,41 @@ def ordered_batches(df: DataFrame, batch_size: int, order=("pair_id",), group_co
             .withColumn("pos_in_batch", (F.col("_i") % batch_size).cast("bigint")).drop("_i"))
 
 
-# Shuffle-key mixer: 31-bit state, two multiply rounds modulo the prime 2^31 - 1
-# (products stay below 2^47, so no 64-bit overflow) with xor-shift folds between.
-MIX_PRIME, MIX_MUL1, MIX_MUL2 = 2147483647, 48271, 69621
+# Shuffle-key rounds: a Feistel network over the two 32-bit halves of a 64-bit key. Every
+# round is undone by itself, whatever its function, so the whole is a bijection: no two
+# keys ever share a place. Products stay below 2^62, so no engine overflows.
+HALF = (1 << 32) - 1
+ROUND_MULTIPLIERS = (668265263, 374761393, 974634299, 526133989, 890112061, 737294741)
+
+
+def round_keys(seed: int, epoch: int) -> list[int]:
+    """A 32-bit number per round (splitmix64 of seed, epoch and round)."""
+    out, word = [], (1 << 64) - 1
+    for i in range(len(ROUND_MULTIPLIERS)):
+        x = ((seed * 0x9E3779B97F4A7C15) ^ (epoch * 0xD1B54A32D192ED03) ^ ((i + 1) * 0x8CB92BA72F3D8DD7)) & word
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & word
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & word
+        out.append((x ^ (x >> 31)) & HALF)
+    return out
 
 
 def shuffle_key(key, seed: int, epoch: int):
-    """Repeatable pseudo-random order key of an integer ``key`` for (seed, epoch)."""
-    k = F.col(key) if isinstance(key, str) else key
-    salt = (seed * 7919 + epoch * 104729) % MIX_PRIME
-    x = F.pmod(k.cast("bigint"), F.lit(MIX_PRIME)).bitwiseXOR(F.lit(salt))
-    x = F.pmod(x * MIX_MUL1, F.lit(MIX_PRIME))
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    x = F.pmod(x * MIX_MUL2, F.lit(MIX_PRIME))
-    return x.bitwiseXOR(F.shiftright(x, 13))
+    """Repeatable pseudo-random order key of an integer ``key`` for (seed, epoch): a
+    permutation of the 64-bit integers, so distinct keys stay distinct."""
+    k = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    left, right = F.shiftright(k, 32).bitwiseAND(F.lit(HALF)), k.bitwiseAND(F.lit(HALF))
+    for mul, add in zip(ROUND_MULTIPLIERS, round_keys(seed, epoch)):
+        mixed = F.shiftright(right * F.lit(mul).cast("bigint") + F.lit(add).cast("bigint"), 15)
+        left, right = right, left.bitwiseXOR(mixed.bitwiseAND(F.lit(HALF)))
+    return (left - F.lit(1 << 31)) * F.lit(1 << 32) + right
 
 
 def shuffled_batches(df: DataFrame, batch_size: int, seed: int, epoch: int, key: str = "pair_id",
                      group_cols=("split",)) -> DataFrame:
     """B4 (train order): a repeatable shuffle per (seed, epoch), then batches.
 
-    The shuffle order is ``shuffle_key(key, seed, epoch)`` with the key as tie-break."""
+    The shuffle order is ``shuffle_key(key, seed, epoch)``, which no two keys share; rows
+    without a key stand first."""
     d = df.withColumn("_h", shuffle_key(key, seed, epoch))
     return ordered_batches(d, batch_size, order=("_h", key), group_cols=group_cols).drop("_h")
 

@@ -86,22 +86,21 @@ def q_padding_mask(spark, sf_dir):
     return b.select("pair_id", F.array_join(B.padding_mask("src_ids").cast("array<string>"), " ").alias("mask"))
 
 
-def d_shuffle_key(col: str, seed: int, epoch: int) -> str:
-    p, m1, m2 = B.MIX_PRIME, B.MIX_MUL1, B.MIX_MUL2
-    salt = (seed * 7919 + epoch * 104729) % p
-    x = f"xor(({col}) % {p}, {salt})"
-    x = f"(({x}) * {m1}) % {p}"
-    x = f"xor({x}, ({x}) >> 16)"
-    x = f"(({x}) * {m2}) % {p}"
-    return f"xor({x}, ({x}) >> 13)"
+def d_shuffle(col: str, source: str, seed: int, epoch: int) -> str:
+    """``source`` with the two halves of its shuffle key, ``fl`` and ``fr``: one nested
+    SELECT per round."""
+    q = f"SELECT *, ({col} >> 32) & {B.HALF} AS fl, {col} & {B.HALF} AS fr FROM {source}"
+    for mul, add in zip(B.ROUND_MULTIPLIERS, B.round_keys(seed, epoch)):
+        q = f"SELECT * EXCLUDE (fl, fr), fr AS fl, xor(fl, ((fr * {mul} + {add}) >> 15) & {B.HALF}) AS fr FROM ({q})"
+    return q
 
 
 # Repeatable shuffle (seed 7, epoch 0) of each split, then batches of 64.
 @register("shuffled_batches", oracle(
     f"SELECT pair_id, split, CAST((rn - 1) // {SEQ2SEQ_BATCH} AS BIGINT) AS batch_id, "
     f"CAST((rn - 1) % {SEQ2SEQ_BATCH} AS BIGINT) AS pos_in_batch FROM ("
-    f" SELECT pair_id, split, row_number() OVER (PARTITION BY split ORDER BY {d_shuffle_key('pair_id', 7, 0)}, pair_id) AS rn"
-    " FROM vtok) s", *_EX_CTES))
+    " SELECT pair_id, split, row_number() OVER (PARTITION BY split ORDER BY fl, fr) AS rn"
+    f" FROM ({d_shuffle('pair_id', '(SELECT pair_id, split FROM vtok)', 7, 0)}) f) s", *_EX_CTES))
 def q_shuffled_batches(spark, sf_dir):
     vt = valid_tokens(spark, sf_dir).select("pair_id", "split")
     return B.shuffled_batches(vt, SEQ2SEQ_BATCH, seed=7, epoch=0)

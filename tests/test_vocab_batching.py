@@ -144,18 +144,45 @@ def test_vectors_of_a_planted_corpus(spark):
         assert max(others, key=lambda t: cosine(vecs[a], vecs[t])) == b
 
 
-
-def test_shuffle_key_is_portable_and_epoch_dependent(spark):
-    P, M1, M2 = B.MIX_PRIME, B.MIX_MUL1, B.MIX_MUL2
-
-    def key(k, seed, epoch):
-        x = (k % P) ^ ((seed * 7919 + epoch * 104729) % P)
-        x = (x * M1) % P
-        x ^= x >> 16
-        x = (x * M2) % P
-        return x ^ (x >> 13)
-
-    df = spark.range(0, 500)
-    got = df.select("id", B.shuffle_key("id", 7, 0).alias("a"), B.shuffle_key("id", 7, 1).alias("b")).collect()
-    assert all(r["a"] == key(r["id"], 7, 0) and r["b"] == key(r["id"], 7, 1) for r in got)
-    assert sorted(range(500), key=lambda i: key(i, 7, 0)) != sorted(range(500), key=lambda i: key(i, 7, 1))
+def feistel(k, seed, epoch):
+    left, right = (k >> 32) & B.HALF, k & B.HALF
+    for mul, add in zip(B.ROUND_MULTIPLIERS, B.round_keys(seed, epoch)):
+        left, right = right, left ^ (((right * mul + add) >> 15) & B.HALF)
+    return (left - (1 << 31)) * (1 << 32) + right
+
+
+def unshuffled(x, seed, epoch):
+    left, right = (x >> 32) + (1 << 31), x & B.HALF
+    for mul, add in reversed(list(zip(B.ROUND_MULTIPLIERS, B.round_keys(seed, epoch)))):
+        left, right = right ^ (((left * mul + add) >> 15) & B.HALF), left
+    k = (left << 32) + right
+    return k - (1 << 64) if k >= 1 << 63 else k
+
+
+def rank_correlation(keys):
+    n = len(keys)
+    rank = {i: r for r, i in enumerate(sorted(range(n), key=keys.__getitem__))}
+    return 1 - 6 * sum((i - rank[i]) ** 2 for i in range(n)) / (n * (n * n - 1))
+
+
+def test_shuffle_key_is_a_permutation(spark):
+    ends = [0, 1, -1, 2**63 - 1, -2**63, 2**32, -2**32, 2**31 - 1, 2**40 + 7]
+    df = spark.createDataFrame([(i,) for i in ends + list(range(500))] + [(None,)], "id bigint")
+    for seed, epoch in ((7, 0), (7, 1), (123456789, 3)):
+        got = df.select("id", B.shuffle_key("id", seed, epoch).alias("k")).collect()
+        assert all(r["k"] == (None if r["id"] is None else feistel(r["id"], seed, epoch)) for r in got)
+        assert all(unshuffled(r["k"], seed, epoch) == r["id"] for r in got if r["id"] is not None)
+    orders = {tuple(sorted(range(500), key=lambda i: feistel(i, s, e))) for s, e in ((7, 0), (7, 1), (8, 0))}
+    assert len(orders) == 3
+
+
+@pytest.mark.parametrize("seed", [1, 7, 99])
+def test_shuffle_keys_of_the_pairs_are_distinct_and_unordered(spark, seed):
+    """Ids of the pairs differ by multiples of 2^31 - 1, so no remainder of them may be all that counts."""
+    from docpairs.sources import fixtures
+    ids = fixtures.view(spark, "/root/testdata/sf0.01", "pairs").select("pair_id")
+    rows = ids.select("pair_id", B.shuffle_key("pair_id", seed, 0).alias("k")).orderBy("pair_id").collect()
+    assert len({r["k"] for r in rows}) == len(rows) > 9000
+    assert abs(rank_correlation([r["k"] for r in rows])) < 0.05
+    first_lines = [r["k"] for r in rows if r["pair_id"] % fixtures.DOC_STEP == 0]
+    assert len(first_lines) > 500 and abs(rank_correlation(first_lines)) < 0.1
