@@ -45,6 +45,19 @@ def dense_index(df: DataFrame, order: list, out_col: str = "idx", group_cols: li
             .drop("_pid", "_mid", "_min", "_off"))
 
 
+def running_total(df: DataFrame, order: list, value_col: str, out_col: str) -> DataFrame:
+    """Add ``out_col``: the sum of ``value_col`` over all rows before this one in ``order``,
+    with the same two steps: sums of range partitions, then windows inside them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = materialize(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "running-total")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = tagged.groupBy("_pid").agg(F.sum(value_col).alias("_sum"))  # a row per partition
+    offsets = sums.select("_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.withColumn("_in", F.coalesce(F.sum(value_col).over(inside), F.lit(0))).join(F.broadcast(offsets), "_pid")
+            .withColumn(out_col, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off"))
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (a one-number action)."""
     return df.limit(max_rows + 1).count() <= max_rows

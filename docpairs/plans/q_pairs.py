@@ -113,12 +113,13 @@ def q_save_roundtrip(spark, sf_dir):
     return io.read_pairs(spark, path, "json", schema).select("pair_id", "split", "code", "docstring", "func_name")
 
 
-# The same pairs as files of one JSON array each (S4's other form).
+# The same pairs as files of one JSON array each (S4's other form), each read by as many
+# tasks as it has splits.
 @register("read_json_arrays", oracle(
     "SELECT pair_id, split, code, docstring, func_name FROM valid", CLEANED_CTE))
 def q_read_json_arrays(spark, sf_dir):
     prepared = io.prepare_dataset(pairs(spark, sf_dir), None, RAW_RENAME)
-    path = io.save_json_arrays(prepared, scratch(spark, "arrays"), 8 * max(1, prepared.rdd.getNumPartitions()))
+    path = io.save_json_arrays(prepared, scratch(spark, "arrays"))
     schema = Ty.StructType(io.PROCESSED_SCHEMA.fields + [Ty.StructField("split", Ty.StringType())])
     return io.read_pairs(spark, path, "json", schema, multiline=True).select("pair_id", "split", "code", "docstring", "func_name")
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.cleaning import preprocess
 from ..operators.index import dense_index
+from .arrays import read_json_array, save_json_array
 
 SPLITS = ("train", "validation", "test")
 RAW_FIELDS = ("code", "docstring", "language", "repo", "path", "func_name")
@@ -116,19 +117,17 @@ def prepare_with_counts(df: DataFrame, limits: dict | None = None, rename: dict
     return kept, obs
 
 
-def save_json_arrays(df: DataFrame, path: str, files: int) -> str:
-    """Pairs as ``files`` files that each hold one JSON array (the form in which the pairs
-    are exchanged). A file is one task's rows, so ``files`` should grow with the table."""
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"), F.pmod(F.xxhash64("pair_id"), F.lit(files)).alias("f"))
-    (rows.groupBy("f").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
-     .select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path))
-    return path
+def save_json_arrays(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Pairs as files that each hold one JSON array (the form in which the pairs are
+    exchanged), one per partition; ``files`` deals the rows anew. A file is a stream of
+    rows, so its size is not bounded by memory. Read them with ``arrays.read_json_array``."""
+    return save_json_array(df.repartition(files) if files else df, path)
 
 
 def save_pairs(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> str:
     """S3: write pairs partitioned by split (JSON lines or Parquet). Returns ``path``.
 
-    A single JSON array cannot be written in parallel, so the format is JSON lines."""
+    The rows are JSON lines or Parquet; ``save_json_arrays`` writes arrays."""
     df.write.mode(mode).partitionBy("split").format(fmt).save(path)
     return path
 
@@ -137,12 +136,12 @@ def read_pairs(spark: SparkSession, path: str, fmt: str = "json",
                schema: T.StructType | None = None, multiline: bool = False) -> DataFrame:
     """Read pairs back with an explicit schema (no inference pass).
 
-    ``multiline=True`` reads files that each hold one JSON array."""
+    ``multiline=True`` reads files that each hold one JSON array, whatever their size, by
+    as many tasks as they have splits."""
     schema = schema or PROCESSED_SCHEMA
-    r = spark.read.schema(schema)
     if fmt == "json" and multiline:
-        r = r.option("multiLine", True)
-    return r.format(fmt).load(path)
+        return read_json_array(spark, path, schema).drop("file", "place", "place_in_file")
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def repo_search(repos: DataFrame, language: str = "python", min_stars: int = 100,
