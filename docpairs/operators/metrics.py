@@ -24,52 +24,60 @@ BLEU_EPSILON = 0.1  # smoothing "method 1": 0 matches -> epsilon / count
 METRIC_ORDER = ("BLEU-1", "BLEU-2", "BLEU-3", "BLEU-4", "ROUGE-1", "ROUGE-2", "ROUGE-L", "Exact Match")
 
 
+PARTS = ("bleu", "rouge_n", "rouge_l", "exact")
+
+
+def parts_of(metrics) -> tuple:
+    """The statistics of a row that ``metrics`` are made of."""
+    kinds = {"BLEU": "bleu", "Exact Match": "exact", "ROUGE-L": "rouge_l", "ROUGE-1": "rouge_n", "ROUGE-2": "rouge_n"}
+    return tuple(dict.fromkeys(kinds.get(m, kinds.get(m.split("-")[0])) for m in metrics))
+
+
 def row_stats(df: DataFrame, ref_col: str = "reference", pred_col: str = "prediction",
-              keys=("model", "pair_id"), stem: bool = True) -> DataFrame:
-    """Per row: BLEU clipped matches m1..m4 and denominators d1..d4, lengths, ROUGE-1/2/L
-    F-measures (on stemmed tokens by default) and the exact-match flag."""
+              keys=("model", "pair_id"), stem: bool = True, parts=PARTS) -> DataFrame:
+    """Per row, as far as ``parts`` asks for it: BLEU clipped matches m1..m4, denominators
+    d1..d4 and lengths, ROUGE-1/2 and ROUGE-L F-measures (on stemmed tokens by default),
+    ``lcs`` and the exact-match flag."""
     keys = list(keys)
     base = df.select(*keys, T.whitespace_tokens(ref_col).alias("_r"), T.whitespace_tokens(pred_col).alias("_p"),
                      T.rouge_tokens(ref_col).alias("_rr"), T.rouge_tokens(pred_col).alias("_rp"),
                      T.exact_match(ref_col, pred_col).alias("_em"))
-    # The overlaps get their own projection, so each is computed once per row and only
-    # where a metric reads it.
-    over = base.select("*", O.clipped_overlaps("_p", "_r", BLEU_ORDERS).alias("_bm"),
-                       O.clipped_overlaps("_rp", "_rr", (1, 2), stem).alias("_rm"),
-                       O.lcs_lengths("_rp", "_rr", stem).alias("lcs"))
-    cols = [*keys, F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len"),
-            F.size("_rp").alias("_np"), F.size("_rr").alias("_nr"), F.col("lcs"), F.col("_em").cast("int").alias("em")]
-    for n in BLEU_ORDERS:
-        cols.append(F.col("_bm")[n - 1].alias(f"m{n}"))
-        cols.append(F.greatest(F.size("_p") - n + 1, F.lit(1)).cast("bigint").alias(f"d{n}"))
-    cols += [F.col("_rm")[n - 1].alias(f"_rm{n}") for n in (1, 2)]
-    counted = over.select(*cols)
-
-    out = [c for c in counted.columns if not c.startswith("_")]
-    derived = []
-    for n in (1, 2):
-        m = F.col(f"_rm{n}")
-        p = m / F.greatest(F.col("_np") - n + 1, F.lit(1))
-        r = m / F.greatest(F.col("_nr") - n + 1, F.lit(1))
-        derived.append(N.fmeasure(p, r).alias(f"rouge{n}_f"))
-    pl = F.try_divide(F.col("lcs"), F.col("_np"))
-    rl = F.try_divide(F.col("lcs"), F.col("_nr"))
-    derived.append(F.when((F.col("_np") == 0) | (F.col("_nr") == 0), F.lit(0.0))
-                   .otherwise(N.fmeasure(pl, rl)).alias("rougeL_f"))
-    return counted.select(*out, *derived)
+    # All counts of a row come from one call, in a projection of its own, so each is
+    # worked out once per row.
+    counts = O.row_counts("_p", "_r", "_rp", "_rr", BLEU_ORDERS if "bleu" in parts else (), (1, 2) if "rouge_n" in parts else (),
+                          "rouge_l" in parts, stem)
+    over = base.select("*", counts.alias("_c"))
+    n_p, n_r = F.size("_rp"), F.size("_rr")
+    cols = list(keys)
+    if "bleu" in parts:
+        cols += [F.size("_p").cast("bigint").alias("hyp_len"), F.size("_r").cast("bigint").alias("ref_len")]
+        for n in BLEU_ORDERS:
+            cols.append(F.col("_c.bleu")[n - 1].alias(f"m{n}"))
+            cols.append(F.greatest(F.size("_p") - n + 1, F.lit(1)).cast("bigint").alias(f"d{n}"))
+    if "rouge_n" in parts:
+        for n in (1, 2):
+            m = F.col("_c.rouge")[n - 1]
+            cols.append(N.fmeasure(m / F.greatest(n_p - n + 1, F.lit(1)), m / F.greatest(n_r - n + 1, F.lit(1))).alias(f"rouge{n}_f"))
+    if "rouge_l" in parts:
+        common = F.col("_c.lcs")
+        cols += [common.alias("lcs"), F.when((n_p == 0) | (n_r == 0), F.lit(0.0))
+                 .otherwise(N.fmeasure(F.try_divide(common, n_p), F.try_divide(common, n_r))).alias("rougeL_f")]
+    if "exact" in parts:
+        cols.append(F.col("_em").cast("int").alias("em"))
+    return over.select(*cols)
 
 
 def corpus_counts(stats: DataFrame, by=("model",)) -> DataFrame:
-    """Sums per group: BLEU numerators/denominators, lengths, ROUGE and EM sums."""
-    aggs = [F.sum(f"m{n}").cast("bigint").alias(f"m{n}") for n in BLEU_ORDERS]
-    aggs += [F.sum(f"d{n}").cast("bigint").alias(f"d{n}") for n in BLEU_ORDERS]
-    aggs += [F.sum("hyp_len").cast("bigint").alias("hyp_len"), F.sum("ref_len").cast("bigint").alias("ref_len"),
-             F.avg("rouge1_f").alias("rouge1"), F.avg("rouge2_f").alias("rouge2"), F.avg("rougeL_f").alias("rougeL"),
-             F.avg("em").alias("em"), F.count(F.lit(1)).cast("bigint").alias("n_rows")]
-    return stats.groupBy(*by).agg(*aggs)
+    """Sums per group of the statistics that ``stats`` has: BLEU numerators, denominators
+    and lengths, ROUGE and EM means."""
+    sums = [f"{k}{n}" for k in "md" for n in BLEU_ORDERS] + ["hyp_len", "ref_len"]
+    means = {"rouge1_f": "rouge1", "rouge2_f": "rouge2", "rougeL_f": "rougeL", "em": "em"}
+    aggs = [F.sum(c).cast("bigint").alias(c) for c in sums if c in stats.columns]
+    aggs += [F.avg(c).alias(name) for c, name in means.items() if c in stats.columns]
+    return stats.groupBy(*by).agg(*aggs, F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
-def _bleu_k(c: DataFrame | None, k: int) -> Column:
+def _bleu_k(k: int) -> Column:
     """Corpus BLEU-k (uniform weights over orders 1..k), x100, from the count columns."""
     def p(n):
         m, d = F.col(f"m{n}"), F.col(f"d{n}")
@@ -81,29 +89,25 @@ def _bleu_k(c: DataFrame | None, k: int) -> Column:
     return F.when(F.col("m1") == 0, F.lit(0.0)).otherwise(bp * F.exp(s) * 100)
 
 
-def metric_columns(counts: DataFrame) -> dict:
-    """Metric name -> column (x100, two decimals, HALF_UP)."""
-    out = {f"BLEU-{k}": F.round(_bleu_k(counts, k), 2) for k in BLEU_ORDERS}
-    out["ROUGE-1"] = F.round(F.col("rouge1") * 100, 2)
-    out["ROUGE-2"] = F.round(F.col("rouge2") * 100, 2)
-    out["ROUGE-L"] = F.round(F.col("rougeL") * 100, 2)
-    out["Exact Match"] = F.round(F.col("em") * 100, 2)
-    return out
+def metric_column(name: str) -> Column:
+    """A metric from the corpus counts (x100, two decimals, HALF_UP)."""
+    if name.startswith("BLEU-"):
+        return F.round(_bleu_k(int(name[5:])), 2)
+    return F.round(F.col({"ROUGE-1": "rouge1", "ROUGE-2": "rouge2", "ROUGE-L": "rougeL", "Exact Match": "em"}[name]) * 100, 2)
 
 
 def evaluate_all(df: DataFrame, ref_col: str = "reference", pred_col: str = "prediction",
                  by=("model",), keys=("model", "pair_id"), metrics=METRIC_ORDER,
                  stem: bool = True) -> DataFrame:
     """M5: long table (by..., metric, value) of all metrics in one pass."""
-    counts = corpus_counts(row_stats(df, ref_col, pred_col, keys, stem), by)
-    mc = metric_columns(counts)
-    wide = counts.select(*by, *[mc[m].alias(m) for m in metrics])
+    counts = corpus_counts(row_stats(df, ref_col, pred_col, keys, stem, parts_of(metrics)), by)
+    wide = counts.select(*by, *[metric_column(m).alias(m) for m in metrics])
     return wide.unpivot(list(by), list(metrics), "metric", "value")
 
 
 def bleu_counts(df: DataFrame, by=("model",)) -> DataFrame:
     """M1 counts: (model, n, matches, total, hyp_len, ref_len)."""
-    counts = corpus_counts(row_stats(df), by)
+    counts = corpus_counts(row_stats(df, parts=("bleu",)), by)
     arms = [F.struct(F.lit(n).cast("bigint").alias("n"), F.col(f"m{n}").alias("matches"),
                      F.col(f"d{n}").alias("total")) for n in BLEU_ORDERS]
     return (counts.select(*by, "hyp_len", "ref_len", F.inline(F.array(*arms)))
@@ -134,6 +138,12 @@ def align_by_position(refs: DataFrame, preds: DataFrame, order_refs: list, order
     return align(r, p, "position")
 
 
+def align_by_place(refs: DataFrame, preds: DataFrame) -> DataFrame:
+    """M7 alignment of two files by the rows' places in them (``place``, as the readers in
+    ``sources.arrays`` and ``sources.places`` give it): no ids and no sort of the rows."""
+    return align(refs.select("place", "reference"), preds.select("place", "prediction"), "place")
+
+
 def long_text_counts(df: DataFrame, ref_tokens: str, pred_tokens: str, keys=("model", "pair_id"),
                      orders=BLEU_ORDERS, stem: bool = False) -> DataFrame:
     """Clipped n-gram matches for rows of any length: (keys..., n, matches, total,
@@ -185,5 +195,5 @@ def bleu_from_long_counts(counts: DataFrame, by=("model",)) -> DataFrame:
         F.sum(F.when(F.col("n") == 1, F.col("hyp_len"))).cast("bigint").alias("hyp_len"),
         F.sum(F.when(F.col("n") == 1, F.col("ref_len"))).cast("bigint").alias("ref_len"))
     names = [f"BLEU-{k}" for k in BLEU_ORDERS]
-    return (wide.select(*by, *[F.round(_bleu_k(wide, k), 2).alias(nm) for k, nm in zip(BLEU_ORDERS, names)])
+    return (wide.select(*by, *[F.round(_bleu_k(k), 2).alias(nm) for k, nm in zip(BLEU_ORDERS, names)])
             .unpivot(list(by), names, "metric", "value"))
