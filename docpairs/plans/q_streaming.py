@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cleaning
+from ..operators import cleaning, vocab
 from ..operators import scoring as S
 from ..operators.scoring import UNKNOWN_TYPE_MSG
 from ..streaming import streams as ST
 from .common import CLEANED_CTE, VALID_TOKENS_CTE, oracle, pairs
 from .q_scoring import _LEAD, _TYPE, lead_words_factory
+from .q_vocab import SPECIALS_SQL, d_freq, d_vocab
 from .registry import register
 
 
@@ -28,15 +29,27 @@ def q_stream_prepare(spark, sf_dir):
     return ST.stream_prepare(spark, path, schema)
 
 
+def _code_tokens(df):
+    """Tokens of the valid pairs: clean and validate inside the stream, then tokenise."""
+    return cleaning.preprocess(df, "raw_code", "raw_doc").select("pair_id", T.tokenize_code("code").alias("tokens"))
+
+
 @register("stream_token_freq", oracle(
     "SELECT token, CAST(count(*) AS BIGINT) AS freq FROM (SELECT unnest(src) AS token FROM vtok) t GROUP BY token",
     CLEANED_CTE, VALID_TOKENS_CTE))
 def q_stream_token_freq(spark, sf_dir):
     path, schema = _stream_src(spark, sf_dir)
-    # Tokens of the valid pairs only: clean and validate inside the stream, then tokenise.
-    def prepare(df):
-        return cleaning.preprocess(df, "raw_code", "raw_doc").select(T.tokenize_code("code").alias("tokens"))
-    return ST.stream_token_freq(spark, path, schema, prepare)
+    return ST.stream_token_freq(spark, path, schema, _code_tokens)
+
+
+# V2 on a stream: the running counts keep each token's first appearance, so the vocabulary
+# they give is the one that the table gives.
+@register("stream_vocab", oracle(
+    f"SELECT * FROM code_vocab UNION ALL {SPECIALS_SQL}", CLEANED_CTE, VALID_TOKENS_CTE,
+    d_freq("code_freq", "vtok", "src"), d_vocab("code_vocab", "code_freq", 50000)))
+def q_stream_vocab(spark, sf_dir):
+    path, schema = _stream_src(spark, sf_dir)
+    return vocab.build_vocab(ST.stream_token_counts(spark, path, schema, _code_tokens, files_per_trigger=2))
 
 
 @register("stream_score", oracle(

@@ -53,45 +53,71 @@ def stream_prepare(spark: SparkSession, src: str, schema: T.StructType,
     return spark.read.parquet(out + "/data")
 
 
-def stream_token_freq(spark: SparkSession, src: str, schema: T.StructType, prepare,
-                      files_per_trigger: int = 1000, compact_every: int = 50) -> DataFrame:
-    """Running token counts over successive inputs.
-
-    Update mode: each micro-batch emits only the tokens whose count changed; the
-    ``foreachBatch`` sink appends them with the batch id, and the current count of
-    a token is its row from the latest batch. State is keyed by token (no event
-    time, so no watermark applies); it grows with the vocabulary, not the stream.
-    A micro-batch replayed after a failure appends the same rows again under the
-    same batch id, so reading "latest batch wins" stays correct (idempotent sink).
-    Every ``compact_every`` batches the log so far is folded into one row per token in
-    the next generation's folder, so it stays as large as the vocabulary."""
-    out = scratch(spark, "stream-token-freq")
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system and path of a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _generations(spark: SparkSession, log: str) -> list[int]:
+    fs, where = _folder(spark, log)
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def stream_token_counts(spark: SparkSession, src: str, schema: T.StructType, prepare, id_col: str = "pair_id",
+                        out: str | None = None, files_per_trigger: int = 1000, compact_every: int = 50) -> DataFrame:
+    """Running token counts over successive inputs, with first appearances: ``token,
+    freq, first`` as ``vocab.token_freq`` gives them, so a vocabulary can be built from the
+    stream. ``prepare`` turns the stream into rows of ``id_col`` and ``tokens``.
+
+    The state of a token is its count and its earliest (id, position), kept by the
+    streaming aggregate (no event time, so no watermark applies); it grows with the
+    vocabulary, not the stream. Update mode: each micro-batch emits only the tokens that
+    changed; the ``foreachBatch`` sink appends them with the batch id, and the current
+    state of a token is its row from the latest batch. A micro-batch replayed after a
+    failure appends the same rows again under the same batch id, so reading "latest batch
+    wins" stays correct (idempotent sink). Every ``compact_every`` batches the log so far
+    is folded into one row per token in the next generation's folder. The generation before
+    it is kept for a replay, older ones are removed, so the log stays as large as the
+    vocabulary. With ``out`` a later call goes on where the last one ended."""
+    out = out or scratch(spark, "stream-token-counts")
     log = out + "/log"
 
-    def generation(batch_id: int) -> str:
-        return f"{log}/{batch_id // compact_every:06d}"
+    def generation(number: int) -> str:
+        return f"{log}/{number:06d}"
 
-    def latest(path: str) -> DataFrame:
-        rows = spark.read.parquet(path)
-        return rows.groupBy("token").agg(F.max_by("freq", "batch_id").alias("freq"), F.max("batch_id").alias("batch_id"))
+    def latest(number: int) -> DataFrame:
+        rows = spark.read.parquet(generation(number))
+        last = F.max_by(F.struct("freq", "first"), "batch_id").alias("now")
+        return rows.groupBy("token").agg(last, F.max("batch_id").alias("batch_id")).select("token", "now.freq", "now.first", "batch_id")
 
     stream = read_stream(spark, src, schema, files_per_trigger)
-    counts = (explode_rows(prepare(stream), [], F.col("tokens")).groupBy("token")
-              .agg(F.count(F.lit(1)).cast("bigint").alias("freq")))
+    place = F.struct(F.col(id_col).cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"))
+    counts = (explode_rows(prepare(stream), [id_col], F.col("tokens"), "token", "pos").groupBy("token")
+              .agg(F.count(F.lit(1)).cast("bigint").alias("freq"), F.min(place).alias("first")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        new = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        if batch_id and batch_id % compact_every == 0:  # a new generation starts with the old one folded
-            latest(generation(batch_id - 1)).write.mode("overwrite").parquet(generation(batch_id))
-        last["batch"] = batch_id
-        new.write.mode("append").parquet(generation(batch_id))
-
-    last = {"batch": 0}
+        number = batch_id // compact_every
+        if number and batch_id % compact_every == 0:  # a new generation starts with the old one folded
+            latest(number - 1).write.mode("overwrite").parquet(generation(number))
+            for old in _generations(spark, log):
+                if old < number - 1:
+                    fs, where = _folder(spark, generation(old))
+                    fs.delete(where, True)
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(generation(number))
 
     q = (counts.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", out + "/_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest(generation(last["batch"])).select("token", "freq")
+    made = _generations(spark, log)
+    if not made:
+        return spark.createDataFrame([], "token string, freq bigint, first struct<id: bigint, pos: bigint>")
+    return latest(made[-1]).select("token", "freq", "first")
+
+
+def stream_token_freq(spark: SparkSession, src: str, schema: T.StructType, prepare, **options) -> DataFrame:
+    """The running counts alone: ``token, freq``."""
+    return stream_token_counts(spark, src, schema, prepare, **options).select("token", "freq")
 
 
 def stream_score(spark: SparkSession, src: str, schema: T.StructType, factory=scoring.no_model,
