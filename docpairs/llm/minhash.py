@@ -20,9 +20,10 @@ stay apart untested. The first members per round grow eightfold, so the rounds a
 From the second round on, two members that the first round found near their bucket's
 first member are compared by what sets each of them apart from it: with c and d shingles
 in common with a first member of n, and s shingles that both differences share, they have
-exactly c + d - n + s shingles in common. The differences are short, so this runs inside
-the join by bucket and only links become rows; a large group of texts that are alike but
-not alike enough yields none. Other pairs are confirmed on the full sets.
+exactly c + d - n + s shingles in common. The differences are short, so members and first
+members of a bucket meet in pieces of ``PIECE`` members, sorted one behind the other in a
+task, and only a spanning forest of the links becomes rows; a large group of texts that
+are alike but not alike enough yields none. Other pairs are confirmed on the full sets.
 
 Everything data-sized stays in tables under ``spark.checkpoint.dir``; the driver sees
 counts only.
@@ -48,6 +49,8 @@ ROWS, BANDS = 6, 36
 PERCENT = 80
 #: First members of a bucket in the first round, and their growth from round to round.
 FIRST, GROWTH, MOST = 1, 8, 512
+#: Members of a bucket that one task compares with the bucket's first members.
+PIECE = 2048
 #: From this similarity (in percent) to a bucket's first member on, the difference is kept.
 NEAR = 40
 
@@ -220,13 +223,8 @@ def link_components(docs: DataFrame, table: DataFrame, shingle: int, percent: in
             facts = near.select("a", F.col("b").alias("id"), "na", "nb", "common", "apart")
             here = written(here.join(pivots, "bucket").join(facts, ["a", "id"], "left").drop("a"), "apart")
             firsts = _first_members(here, number, ["na", "nb", "common", "apart"])
-            known = F.col("f.apart").isNotNull() & F.col("apart").isNotNull()
-            shared = F.col("f.common") + F.col("common") - F.col("na") + F.size(F.array_intersect("f.apart", "apart"))
-            alike = 100 * shared >= percent * (F.col("f.nb") + F.col("nb") - shared)
-            found = here.join(firsts, later & F.when(known, alike).otherwise(True)).select(
-                F.col("f.id").alias("a"), F.col("id").alias("b"), known.alias("known")).groupBy("a", "b").agg(F.max("known").alias("known"))
-            found = written(found, "found")
-            full = compared(found.where("NOT known").select("a", "b"), sets, percent)
+            found = written(bucket_links(here, firsts, percent), "found")
+            full = compared(found.where("NOT known").select("a", "b").distinct(), sets, percent)
             links = found.where("known").select("a", "b").unionByName(full.where("linked").select("a", "b"))
         labels = merge_components(labels, written(links, "links"))
         done = firsts.select(F.col("f_bucket").alias("bucket"), F.col("f.id").alias("id"))
@@ -235,6 +233,63 @@ def link_components(docs: DataFrame, table: DataFrame, shingle: int, percent: in
     return labels
 
 
+FACTS = ["component", "na", "nb", "common", "apart"]
+
+
+def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int = PIECE) -> DataFrame:
+    """``a, b, known``: links between first and later members of the buckets, and pairs
+    whose facts do not tell (``known`` is false), to be confirmed on the full sets.
+
+    A bucket's members are dealt in pieces, and its first members go to each of them. A
+    piece keeps track of what its links have joined: members that share a component by then
+    are not compared, so a piece gives a spanning forest of its components, one row less
+    than it has components, however many members are alike."""
+    sizes = here.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
+    members = here.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"),
+                                                F.lit(1).alias("turn"), "id", *FACTS)
+    pivots = firsts.join(sizes, F.col("bucket") == F.col("f_bucket")).select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("turn"), "f.id", *[f"f.{c}" for c in FACTS])
+    dealt = pivots.unionByName(members).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "turn", "id")
+
+    def run(batches):
+        now, heads, parent = None, [], {}
+
+        def root(c):
+            while c in parent:
+                c = parent[c]
+            return c
+
+        for batch in batches:
+            a, b, known = [], [], []
+            for r in zip(*[batch.column(c).to_pylist() for c in ("bucket", "piece", "turn", "id", *FACTS)]):
+                bucket, place, turn, who, component, na, nb, common, apart = r
+                if (bucket, place) != now:
+                    now, heads, parent = (bucket, place), [], {}
+                apart = None if apart is None else frozenset(apart)
+                if not turn:
+                    heads.append((who, component, nb, common, apart))
+                    continue
+                mine = root(component)
+                for head, its, hb, shared, differs in heads:
+                    if head >= who:
+                        break
+                    other = root(its)
+                    if other == mine:
+                        continue
+                    told = apart is not None and differs is not None
+                    if told:
+                        both = shared + common - na + len(differs & apart)
+                        if 100 * both < percent * (hb + nb - both):
+                            continue
+                        parent[max(other, mine)] = mine = min(other, mine)
+                    a.append(head)
+                    b.append(who)
+                    known.append(told)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(known)], ["a", "b", "known"])
+    return dealt.mapInArrow(run, "a bigint, b bigint, known boolean")
+
+
 def _first_members(here: DataFrame, number: int, facts: list[str]) -> DataFrame:
     """``f_bucket, f``: the ``number`` members of smallest id of each bucket, as structs.
     Buckets are cut into pieces first, so that no task sorts a whole large one."""
