@@ -130,54 +130,51 @@ def letters(words: list[str], width: int) -> np.ndarray:
 
 def scan(listed: list[str], seekers: list[str], min_length: int = MIN_LENGTH):
     """``(place in the list, seeker)`` arrays of all pairs one edit apart that share the
-    seeker's ``kept_prefix``. ``listed`` is sorted."""
-    found_at, found = [], []
+    seeker's ``kept_prefix``. ``listed`` is sorted.
+
+    The list is read letter by letter, all ranges of a depth together: a range holds the
+    words with one prefix, and a row of the matrix belongs to a range and a seeker. Where
+    words of a range part (the LCP of neighbours is the depth), it becomes several."""
+    found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if not listed or not seekers:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = max(map(len, seekers))
-    marks = letters(seekers, width + 3)
-    sizes = np.array([len(s) for s in seekers])
+        return found_at[0], found[0]
+    width = max(map(len, listed))
+    words, marks = letters(listed, width + 1), letters(seekers, max(width, max(map(len, seekers))) + 3)
+    lengths, sizes = np.array([len(w) for w in listed]), np.array([len(s) for s in seekers])
+    lcp = np.concatenate([[-1], (words[1:] != words[:-1]).argmax(axis=1)])
+    # Inside its prefix a seeker's letters must agree, so it starts at the prefix's range.
     exact = np.array([kept_prefix(len(s), min_length) for s in seekers])
-    # The row above the list: every seeker, no letter yet. A row is (seekers, three cells).
-    rows = [(np.arange(len(seekers)), np.tile(np.array([FAR, 0, FAR], np.int8), (len(seekers), 1)))]
-    i, before = 0, ""
-    while i < len(listed):
-        word = listed[i]
-        depth = min(shared(word, before), len(rows) - 1)
-        del rows[depth + 1:]
-        while depth < len(word) and len(rows[-1][0]):
-            who, cells = rows[-1]
-            mark = ord(word[depth])
-            strict = depth < exact[who]
-            if strict.any():     # inside the prefix letters must agree
-                stay = ~strict | (marks[who, depth] == mark)
-                who, cells, strict = who[stay], cells[stay], strict[stay]
-            q = marks[who[:, None], np.arange(depth - 1, depth + 2)[None, :]] != mark if depth else np.column_stack(
-                [np.ones(len(who), bool), marks[who, 0] != mark, marks[who, 1] != mark])
-            left = np.minimum(cells[:, 0] + q[:, 0], cells[:, 1] + 1)
-            mid = np.minimum(np.minimum(cells[:, 1] + q[:, 1], cells[:, 2] + 1), left + 1)
-            right = np.minimum(cells[:, 2] + q[:, 2], mid + 1)
-            new = np.stack([left, mid, right], axis=1).astype(np.int8)
-            new[strict] = (FAR, 0, FAR)
-            opens = strict & (depth + 1 == exact[who])
-            new[opens, 2] = 1        # from here on a seeker's letter may be left out
-            alive = new.min(axis=1) < FAR
-            rows.append((who[alive], new[alive]))
-            depth += 1
-        before = word
-        who, cells = rows[-1]
-        if not len(who):             # the whole range with this prefix is too far away
-            i = bisect_left(listed, word[:depth] + LAST, i + 1)
-            continue
-        cell = sizes[who] - len(word) + 1
-        near = (cell >= 0) & (cell <= 2)
-        near[near] = cells[near, cell[near]] == 1
-        if near.any():
-            found.append(who[near])
-            found_at.append(np.full(len(found[-1]), i))
-        i += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.array([bisect_left(listed, s[:k]) for s, k in zip(seekers, exact)])
+    high = np.array([bisect_right(listed, s[:k] + LAST, lo) for s, k, lo in zip(seekers, exact, low)])
+    lo, hi, who, cells = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3), np.int8)
+    for depth in range(exact.min(), width + 1):
+        new = np.flatnonzero((exact == depth) & (low < high))
+        if len(new):     # from here on a seeker's letter may be left out
+            lo, hi, who = np.concatenate([lo, low[new]]), np.concatenate([hi, high[new]]), np.concatenate([who, new])
+            cells = np.concatenate([cells, np.tile(np.array([FAR, 0, 1], np.int8), (len(new), 1))])
+        ended = np.flatnonzero(lengths[lo] == depth)
+        if len(ended):
+            cell = sizes[who[ended]] - depth + 1
+            near = (cell >= 0) & (cell <= 2)
+            near[near] = cells[ended[near], cell[near]] == 1
+            found_at.append(lo[ended[near]])
+            found.append(who[ended[near]])
+            lo[ended] += 1
+        # The ranges of the next depth: one for each letter that goes on.
+        parts = np.append(np.flatnonzero(lcp <= depth), len(listed))
+        first, last = np.searchsorted(parts, lo), np.searchsorted(parts, hi)
+        times = np.maximum(last - first, 0)
+        row = np.repeat(np.arange(len(lo)), times)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + first[row]
+        lo, hi, who = parts[part], np.minimum(parts[part + 1], hi[row]), who[row]
+        old, mark = cells[row], words[lo, depth]
+        q = [marks[who, depth + k] != mark if depth + k >= 0 else True for k in (-1, 0, 1)]
+        left = np.minimum(old[:, 0] + q[0], old[:, 1] + 1)
+        mid = np.minimum(np.minimum(old[:, 1] + q[1], old[:, 2] + 1), left + 1)
+        right = np.minimum(old[:, 2] + q[2], mid + 1)
+        alive = np.minimum(np.minimum(left, mid), right) < FAR   # other ranges are skipped as a whole
+        lo, hi, who = lo[alive], hi[alive], who[alive]
+        cells = np.minimum(np.stack([left, mid, right], axis=1)[alive], FAR).astype(np.int8)
     return np.concatenate(found_at), np.concatenate(found)
 
 
