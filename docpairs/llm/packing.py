@@ -4,9 +4,9 @@ Documents are tokenised, documents longer than a sequence are cut into full piec
 first piece takes the remainder), and the pieces are packed into sequences of
 ``capacity`` tokens.
 
-Packing runs in groups of about ``GROUP`` pieces, dealt by a hash of the piece's key, so
-every group is bounded however many pieces a source or a length holds; a group costs at
-most one sequence more than packing everything at once. Inside a group a branch-and-bound
+Packing runs in groups of about ``GROUP`` pieces, dealt by a hash of the written row's
+number, so every group is bounded however many pieces a source, a length or an id holds.
+Groups do not exchange pieces; the README has what that costs. Inside a group a branch-and-bound
 search takes the largest remaining piece, enumerates the undominated fillings around it
 (any number of further pieces, best fill first, each when the search comes back for it),
 and prunes a branch when the space it leaves free exceeds what a solution with one
@@ -351,14 +351,16 @@ def _pack_group(capacity: int, nodes: int, key: list[str], columns: list[str]):
 def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY, group: int = GROUP,
          nodes: int = NODES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of at most
-    ``capacity``. ``key`` names the columns that identify a row. Rows are written once
-    before, so that they are counted and dealt without running their input twice."""
-    rows = written(pieces, "pieces")
+    ``capacity``. ``key`` names the columns that put rows of one length in order. Rows are
+    written and numbered once before, so that they are counted and dealt without running
+    their input twice; they are dealt by their numbers, so groups are even whatever the
+    keys are (null, or one id many times)."""
+    rows = written(pieces.withColumn("pack_row", F.monotonically_increasing_id()), "pieces")
     n_groups = max(1, -(-rows.count() // group))
-    dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64(*key), F.lit(n_groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("pack_row"), F.lit(n_groups))).drop("pack_row")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.groupBy("pack_group").applyInArrow(
-        _pack_group(capacity, nodes, key, rows.columns), f"{schema}, sequence_id bigint, offset bigint")
+        _pack_group(capacity, nodes, key, pieces.columns), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

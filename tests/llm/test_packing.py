@@ -5,6 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from docpairs.llm import packing as P
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -117,3 +119,13 @@ def test_fillings_of_many_pieces_against_brute_force():
         assert len(P.bin_completion(lengths, 100)) == fewest(sorted(lengths, reverse=True), 100), lengths
     lengths = [23] * 4 + [27] * 4 + [17, 16, 17, 16, 17, 17]
     assert len(P.bin_completion(lengths, 100)) == fewest(sorted(lengths, reverse=True), 100)
+
+
+def test_null_and_repeated_ids_fill_groups_evenly(spark):
+    rows = spark.range(0, 4000).selectExpr("if(id < 3000, null, 7) AS doc_id", "0 AS piece", "cast(100 + id % 900 AS bigint) AS length")
+    got = P.pack(rows, ["doc_id", "piece"], group=500)
+    sizes = [r["count"] for r in got.groupBy((F.col("sequence_id") / 2**32).cast("int")).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) < 620
+    assert got.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    full = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert full.where("n <> end OR n > 2048").count() == 0
