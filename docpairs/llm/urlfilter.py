@@ -33,9 +33,10 @@ from .common import lower_ascii, read, written
 #: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: What stands between the names of a host.
+#: What stands between words, in texts and in the names of a host alike.
 NOT_WORD = r"[^\p{L}\p{N}]+"
-MAX_WORD = 20
+#: Characters of a word that can stand in a host name: a whole label has no more.
+MAX_WORD = 63
 HOT_SHARE = 1000
 SMOOTHING = 1.0
 
@@ -64,10 +65,10 @@ def rule_columns(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """``word, n``: lower-case letter and digit runs of at most ``MAX_WORD`` characters
-    in the texts, mark-up left out (a host label holds no longer or other words)."""
+    """``word, n``: runs of letters and digits in the texts, A-Z lower-cased, mark-up left
+    out, of at most ``MAX_WORD`` characters (no label can hold a longer one)."""
     plain = F.regexp_replace(lower_ascii(F.coalesce(F.col(column), F.lit(""))), r"<[^>]*>", " ")
-    words = texts.select(F.explode(F.split(plain, r"[^a-z0-9]+")).alias("word"))
+    words = texts.select(F.explode(F.split(plain, NOT_WORD)).alias("word"))
     return (words.where(F.length("word").between(1, MAX_WORD)).groupBy("word")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -91,17 +92,15 @@ def viterbi(label: str, counts: dict[str, int], total: float) -> list[str]:
 
 
 def segment_labels(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """``label, words`` for distinct ``label``. A DNS label has at most 63 characters, so
-    it has at most 63 * MAX_WORD pieces; a longer label is no name and stays whole."""
+    """``label, words`` for distinct ``label`` of any length. A label brings at most
+    ``MAX_WORD`` pieces for each of its characters."""
     total = counts.agg(F.sum("n")).first()[0] or 1
 
     @F.pandas_udf("array<string>")
     def segment(label: pd.Series, words: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([viterbi(x, dict(zip(w, n)), float(total)) if len(x) <= 63 else [x]
-                          for x, w, n in zip(label, words, ns)], dtype=object)
+        return pd.Series([viterbi(x, dict(zip(w, n)), float(total)) for x, w, n in zip(label, words, ns)], dtype=object)
 
-    starts = labels.where("length(label) <= 63").select(
-        "label", F.explode(F.expr("sequence(1, length(label))")).alias("s"))
+    starts = labels.select("label", F.explode(F.expr("sequence(1, length(label))")).alias("s"))
     pieces = starts.select("label", F.explode(F.expr(
         f"transform(sequence(1, least({MAX_WORD}, length(label) - s + 1)), k -> substring(label, s, k))")).alias("word"))
     known = (pieces.distinct().join(counts, "word").groupBy("label")

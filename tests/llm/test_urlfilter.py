@@ -45,11 +45,11 @@ def brute(rows):
     """(rule, verdict) of each row by definition, with the operator's own Viterbi."""
     counts = Counter()
     for _, _, html in rows:
-        counts.update(w for w in re.split(r"[^a-z0-9]+", re.sub(r"<[^>]*>", " ", lower(html))) if 0 < len(w) <= U.MAX_WORD)
+        counts.update(w for w in re.split(r"[\W_]+", re.sub(r"<[^>]*>", " ", lower(html))) if 0 < len(w) <= U.MAX_WORD)
     total, tokens, rules = sum(counts.values()) or 1, [], []
     for _, url, _ in rows:
         host, path = parts(url)
-        ws = [w for x in re.split(r"[\W_]+", host) if x for w in (U.viterbi(x, counts, total) if len(x) <= 63 else [x])]
+        ws = [w for x in re.split(r"[\W_]+", host) if x for w in U.viterbi(x, counts, total)]
         tokens.append(["h:" + w for w in ws] + ["p:" + w for w in re.split(r"[\W_]+", lower(path)) if w])
         rules.append(rule_of(host, path))
     seen = {"allow": Counter(), "block": Counter()}
@@ -118,3 +118,15 @@ def test_nulls_repeated_rows_and_empty_table(pages):
     assert sorted(got, key=str) == sorted([(None, "", "", None, "allow")] + 2 * [(1, "x.org", "/fr/a", "org/fr/", "allow")], key=str)
     assert U.judge(pages(rows).limit(0)).count() == 0
     assert {r.verdict for r in U.judge(pages([(1, "http://a.b/c", "x")])).collect()} == {"allow"}
+
+
+def test_long_words_and_labels_of_any_alphabet(spark):
+    """Words over 20 characters and labels over 63 are words and labels like any other."""
+    long = "donaudampfschifffahrtsgesellschaft"
+    html = f"<p>{long} größe straße größe {long} haus haus</p>" * 30
+    hosts = [long + "größe", "hausgrößestraße", "haus" * 20 + long]
+    rows = [(i, f"http://{h}.example/x", html) for i, h in enumerate(hosts)]
+    counts = U.word_counts(spark.createDataFrame(rows, "page_id long, url string, html string"), "html")
+    assert {r.word: r.n for r in counts.collect()} == {long: 180, "größe": 180, "straße": 90, "haus": 180}
+    got = {r.label: r.words for r in U.segment_labels(spark.createDataFrame([(h,) for h in hosts], "label string"), counts).collect()}
+    assert got == {hosts[0]: [long, "größe"], hosts[1]: ["haus", "größe", "straße"], hosts[2]: ["haus"] * 20 + [long]}
