@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import preprocess
 from ..operators.index import dense_index
+from ..session import materialize
 from .arrays import read_json_array, save_json_array
 
 SPLITS = ("train", "validation", "test")
@@ -69,23 +72,76 @@ def load_all_splits(df: DataFrame, max_samples_per_split: int | None = None,
     return load_splits(df, SPLITS, {s: max_samples_per_split for s in SPLITS}, rename)
 
 
+def read_isolated(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet"):
+    """``(rows, files)`` of a folder whose files may be broken. A file that cannot be opened
+    or breaks off while its rows are read ends there; the other files are read on. ``files``
+    has ``file, rows, whole`` for every file listed: a Parquet file is whole if it gave as
+    many rows as its footer counts, any other if it gave rows. The schema is given, so no
+    file has to be opened to plan the read, and a broken one cannot fail it."""
+    reader = spark.read.schema(schema).format(fmt).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("recursiveFileLookup", True)
+    source = reader.load(path)
+    rows = materialize(source.select("*", F.col("_metadata.file_path").alias("_file")), "isolated")
+    # The names that the reader has listed anyway; the footers are read by the tasks.
+    names = source.inputFiles()
+    listed = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism)))
+    if fmt == "parquet":
+        listed = listed.mapInPandas(_footer_counts, "file string, expected bigint")
+    else:
+        listed = listed.select("file", F.lit(None).cast("bigint").alias("expected"))
+    seen = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"))
+    key = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")  # noqa: E731 - two spellings of one local path
+    files = (listed.withColumn("_k", key("file")).join(seen.withColumn("_k", key("_file")), "_k", "left")
+             .select("file", F.coalesce("rows", F.lit(0)).alias("rows"), "expected"))
+    whole = F.when(F.col("expected").isNotNull(), F.col("rows") == F.col("expected")).otherwise((F.col("rows") > 0) & F.lit(fmt != "parquet"))
+    return rows.drop("_file"), files.select("file", "rows", whole.alias("whole"))
+
+
+def _footer_counts(batches):
+    """Rows by the footer of each Parquet file; null where it has no readable footer."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from .files import _store
+    for pdf in batches:
+        counts = []
+        for name in pdf["file"]:
+            try:
+                store, where = _store(name)
+                with store.open_input_file(where) as f:
+                    counts.append(pq.ParquetFile(f).metadata.num_rows)
+            except (OSError, pa.ArrowInvalid):
+                counts.append(None)
+        yield pdf[["file"]].assign(expected=pd.array(counts, "Int64"))
+
+
 def load_split_sources(spark: SparkSession, sources: dict, fmt: str = "parquet",
                        max_samples_per_split: int | None = None, rename: dict | None = None,
-                       order_col: str = "pair_id") -> DataFrame:
-    """S2 over per-split mirrors: ``sources`` maps split -> path. A split whose source
-    is missing or unreadable (the error surfaces when the source is resolved) becomes
-    an empty DataFrame of the raw-pair schema; the other splits go on."""
-    parts = []
+                       order_col: str = "pair_id", schema: T.StructType | None = None):
+    """S2 over per-split mirrors: ``sources`` maps split -> folder. A split whose source is
+    missing becomes empty and the others go on. With a ``schema`` that holds for the files
+    too: a file that is broken, even in its middle, is left where it breaks, the split's
+    other files are read, and the result is ``(pairs, files)`` with a row for every file
+    (``split, file, rows, whole``)."""
+    parts, told = [], []
     for split, path in sources.items():
         try:
-            df = spark.read.format(fmt).load(path)
-            df = df.withColumn("split", F.lit(split))
-            if order_col not in df.columns:
-                df = df.withColumn(order_col, F.monotonically_increasing_id())
-            parts.append(load_split(df, split, max_samples_per_split, rename))
-        except Exception:  # noqa: BLE001 - the reference tolerates a failing split
+            if schema is None:
+                df = spark.read.format(fmt).load(path)
+            else:
+                df, files = read_isolated(spark, path, schema, fmt)
+                told.append(files.select(F.lit(split).alias("split"), "file", "rows", "whole"))
+        except AnalysisException:  # no such folder: the split is empty
             parts.append(spark.createDataFrame([], RAW_PAIR_SCHEMA))
-    return reduce(DataFrame.unionByName, parts)
+            continue
+        df = df.withColumn("split", F.lit(split))
+        if order_col not in df.columns:
+            df = df.withColumn(order_col, F.monotonically_increasing_id())
+        parts.append(load_split(df, split, max_samples_per_split, rename))
+    pairs = reduce(DataFrame.unionByName, parts)
+    if schema is None:
+        return pairs
+    report = reduce(DataFrame.unionByName, told) if told else spark.createDataFrame([], "split string, file string, rows bigint, whole boolean")
+    return pairs, report
 
 
 def prepare_dataset(df: DataFrame, limits: dict | None = None, rename: dict | None = None,
