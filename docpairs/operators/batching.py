@@ -27,7 +27,9 @@ def encode_sides(df: DataFrame, vocabs: DataFrame, sides: dict, keys=("pair_id",
     counted small) and one regroup by ``keys``."""
     keys = list(keys)
     if known_bound is not None and known_bound <= BROADCAST_VOCAB_ROWS:
-        rows = vocabs.select("side", "token", "idx").collect()  # at most known_bound rows
+        rows = vocabs.select("side", "token", "idx").limit(known_bound + 1).collect()
+        if len(rows) > known_bound:
+            raise ValueError(f"the vocabularies have more than the {known_bound} rows that were promised")
         out = []
         for side, (col, cap) in sides.items():
             look = lookup_in_row(df.sparkSession, {r["token"]: r["idx"] for r in rows if r["side"] == side}, UNK_IDX, "bigint")

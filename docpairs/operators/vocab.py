@@ -147,23 +147,74 @@ def _lookup_side(vocab: DataFrame, key: str, val: str) -> DataFrame:
     return maybe_broadcast(vocab.select(key, val), BROADCAST_VOCAB_ROWS)
 
 
+#: Tokens of a chunk, the unit in which ids travel, and the share of all occurrences from
+#: which on a token's id is broadcast (at most 1 / HOT_SHARE tokens reach it).
+CHUNK, HOT_SHARE = 4096, 1e-3
+
+
+def bounded_table(vocab: DataFrame, key: str, value: str, bound: int) -> dict:
+    """A vocabulary of at most ``bound`` rows as a dictionary; a larger one is an error, so
+    nothing unbounded reaches the driver on a caller's word."""
+    rows = vocab.select(key, value).limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"the vocabulary has more than the {bound} rows that were promised")
+    return {r[0]: r[1] for r in rows}
+
+
+def encode_by_join(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str = "ids", chunk: int = CHUNK,
+                   share: float = HOT_SHARE) -> DataFrame:
+    """``df`` with ``out_col``, the ids of ``tokens_col`` by a vocabulary of any size
+    (unknown -> 3, order kept, ``[]`` for empty and null).
+
+    Rows are cut into chunks, and each distinct token of a chunk is looked up once. Tokens
+    with a large share of all occurrences (``vocab.freq``) are few; they go to the tasks as
+    a table and never meet in one. The others are joined by token. What is found comes back
+    by chunk, not by row, so a long row is many small groups; only rows of more than one
+    chunk are put together again, by row."""
+    spark = df.sparkSession
+    chunks = F.when(F.size(tokens_col) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens_col) - 1) / chunk).cast("int")),
+                                                         lambda k: F.slice(F.col(tokens_col), k * chunk + 1, chunk)))
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows-to-encode")
+    cut = materialize(rows.select("_row", F.size(tokens_col).alias("_n"), F.posexplode(chunks).alias("_chunk", "_tokens")), "token-chunks")
+    total = vocab.agg(F.sum("freq")).first()[0] or 0
+    top = vocab.where(F.col("freq") >= max(1, share * total))
+    hot = bounded_table(top, "token", "idx", int(1 / share) + len(SPECIAL_TOKENS))
+    shipped = spark.sparkContext.broadcast(hot)
+    rare = F.array_distinct("_tokens")
+    if hot:
+        rare = F.array_except(rare, F.array(*[F.lit(t) for t in hot]))
+    wanted = explode_rows(cut, ["_row", "_chunk"], rare)
+    met = wanted.join(vocab.select("token", "idx"), "token")
+    known = met.groupBy("_row", "_chunk").agg(F.collect_list("token").alias("_known"), F.collect_list("idx").alias("_ids"))
+
+    @F.pandas_udf("array<bigint>")
+    def put_back(tokens: pd.Series, known: pd.Series, ids: pd.Series) -> pd.Series:
+        out = []
+        for words, names, numbers in zip(tokens, known, ids):
+            table = dict(zip(names, numbers)) if names is not None else {}
+            get = shipped.value.get
+            out.append([get(w) if w in shipped.value else table.get(w, UNK_IDX) for w in words])
+        return pd.Series(out, dtype=object)
+
+    encoded = cut.join(known, ["_row", "_chunk"], "left").select("_row", "_n", "_chunk", put_back("_tokens", "_known", "_ids").alias(out_col))
+    one = encoded.where(F.col("_n") <= chunk).select("_row", out_col)
+    parts = F.array_sort(F.collect_list(F.struct("_chunk", out_col)))
+    many = encoded.where(F.col("_n") > chunk).groupBy("_row").agg(F.flatten(F.transform(parts, lambda x: x[out_col])).alias(out_col))
+    return (rows.join(one.unionByName(many), "_row", "left").drop("_row")
+            .withColumn(out_col, F.coalesce(out_col, F.array().cast("array<bigint>"))))
+
+
 def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, id_col: str = "pair_id",
            out_col: str = "ids", known_bound: int | None = None) -> DataFrame:
     """V4: token array -> id array, unknown -> 3, order kept, ``[]`` for empty input.
 
     ``known_bound`` is the vocabulary's size cap when it has one (e.g. ``max_size``): the
-    ids are then looked up inside the row, without any shuffle. Otherwise: explode, left
-    join with the vocabulary (broadcast when it is counted small, else by shuffle), one
-    regroup by ``id_col``. Returns (id_col, out_col)."""
+    ids are then looked up inside the row, without any shuffle. Otherwise they come by
+    :func:`encode_by_join`. Returns (id_col, out_col)."""
     if known_bound is not None and known_bound <= BROADCAST_VOCAB_ROWS:
-        table = {r["token"]: r["idx"] for r in vocab.select("token", "idx").collect()}  # at most known_bound rows
-        look = lookup_in_row(df.sparkSession, table, UNK_IDX, "bigint")
+        look = lookup_in_row(df.sparkSession, bounded_table(vocab, "token", "idx", known_bound), UNK_IDX, "bigint")
         return df.select(id_col, look(F.col(tokens_col)).alias(out_col))
-    ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    j = ex.join(_lookup_side(vocab, "token", "idx"), "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNK_IDX)).alias("idx")))
-    return (j.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-            .select(id_col, F.transform("_s", lambda x: x["idx"]).alias(out_col)))
+    return encode_by_join(df.select(id_col, tokens_col), tokens_col, vocab, out_col).select(id_col, out_col)
 
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "pair_id",
@@ -171,8 +222,7 @@ def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "pair_id
     """V5: id array -> token array, unknown id -> ``<UNK>``. With ``keep_ids`` the
     input ids come back too. Capped vocabularies are looked up inside the row."""
     if known_bound is not None and known_bound <= BROADCAST_VOCAB_ROWS:
-        table = {r["idx"]: r["token"] for r in vocab.select("token", "idx").collect()}  # at most known_bound rows
-        look = lookup_in_row(df.sparkSession, table, UNK, "string")
+        look = lookup_in_row(df.sparkSession, bounded_table(vocab, "idx", "token", known_bound), UNK, "string")
         return df.select(id_col, *([ids_col] if keep_ids else []), look(F.col(ids_col)).alias(out_col))
     ex = df.select(id_col, F.posexplode_outer(ids_col).alias("pos", "idx"))
     j = ex.join(_lookup_side(vocab, "idx", "token"), "idx", "left")

@@ -36,6 +36,16 @@ def d_vocab(name: str, freq: str, max_size: int | None, min_freq: int = 2, start
             f"freq FROM ({cut}) c WHERE token NOT IN {SPECIAL_LIST}{ex})")
 
 
+def d_encode(name: str, source: str, col_expr: str, vocab: str, keys: str = "pair_id") -> str:
+    """DuckDB encode CTEs: explode with positions, left join, ordered regroup."""
+    return (f"{name}_x AS (SELECT {keys}, unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE c END) AS token, "
+            f"unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE generate_series(0, len(c) - 1) END) AS pos "
+            f"FROM (SELECT {keys}, {col_expr} AS c FROM {source}) s), "
+            f"{name} AS (SELECT {keys}, coalesce(list(coalesce(d.idx, 3) ORDER BY x.pos) "
+            f"FILTER (WHERE x.pos IS NOT NULL), []) AS ids FROM {name}_x x LEFT JOIN {vocab} d "
+            f"ON x.token = d.token GROUP BY {keys})")
+
+
 TRAIN_SRC = "train_tok AS (SELECT * FROM vtok WHERE split = 'train')"
 VAL_SRC = "val_tok AS (SELECT * FROM vtok WHERE split = 'validation')"
 
@@ -155,6 +165,19 @@ def q_encode_tokens(spark, sf_dir):
     return enc.select("pair_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+# V4 by a vocabulary of any size: every code token of the train split has an id.
+@register("encode_uncapped", oracle(
+    "SELECT pair_id, array_to_string(ids, ' ') AS ids FROM eu",
+    CLEANED_CTE, VALID_TOKENS_CTE, TRAIN_SRC, VAL_SRC, d_freq("code_freq", "train_tok", "src"),
+    d_vocab("code_vocab", "code_freq", None, min_freq=1), "cuall AS (SELECT * FROM code_vocab UNION ALL " + SPECIALS_SQL + ")",
+    d_encode("eu", "val_tok", "src", "cuall")))
+def q_encode_uncapped(spark, sf_dir):
+    tokens = materialize(valid_tokens(spark, sf_dir, "train", "validation").select("pair_id", "split", "src"), "code-tokens")
+    voc = materialize(V.build_vocab(V.token_freq(tokens.where("split = 'train'"), "src"), 1, None), "vocabulary")
+    enc = V.encode_by_join(tokens.where("split = 'validation'").select("pair_id", "src"), "src", voc)
+    return enc.select("pair_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 # Decode the encoded ids plus one id outside the vocabulary (-> <UNK>).
 @register("decode_ids", oracle(
     "SELECT e.pair_id, array_to_string(list(coalesce(d.token, '<UNK>') ORDER BY e.pos), ' ') AS tokens "
@@ -169,16 +192,6 @@ def q_decode_ids(spark, sf_dir):
     return dec.select("pair_id", T.join_tokens("tokens").alias("tokens"))
 
 
-def d_encode(name: str, source: str, col_expr: str, vocab: str, keys: str = "pair_id") -> str:
-    """DuckDB encode CTEs: explode with positions, left join, ordered regroup."""
-    return (f"{name}_x AS (SELECT {keys}, unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE c END) AS token, "
-            f"unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE generate_series(0, len(c) - 1) END) AS pos "
-            f"FROM (SELECT {keys}, {col_expr} AS c FROM {source}) s), "
-            f"{name} AS (SELECT {keys}, coalesce(list(coalesce(d.idx, 3) ORDER BY x.pos) "
-            f"FILTER (WHERE x.pos IS NOT NULL), []) AS ids FROM {name}_x x LEFT JOIN {vocab} d "
-            f"ON x.token = d.token GROUP BY {keys})")
-
-
 def train_vocabs(spark, sf_dir, tokens=None):
     """Code (35000) and doc (20000) vocabularies from the train split, as (side, token, idx, freq).
     ``tokens``: an already computed (pair_id, split, src, tgt) table to count from."""

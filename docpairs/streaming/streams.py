@@ -92,8 +92,11 @@ def stream_token_counts(spark: SparkSession, src: str, schema: T.StructType, pre
         return rows.groupBy("token").agg(last, F.max("batch_id").alias("batch_id")).select("token", "now.freq", "now.first", "batch_id")
 
     stream = read_stream(spark, src, schema, files_per_trigger)
+    rows = prepare(stream)
+    if id_col not in rows.columns:  # counts alone are asked for
+        rows = rows.withColumn(id_col, F.lit(None).cast("bigint"))
     place = F.struct(F.col(id_col).cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"))
-    counts = (explode_rows(prepare(stream), [id_col], F.col("tokens"), "token", "pos").groupBy("token")
+    counts = (explode_rows(rows, [id_col], F.col("tokens"), "token", "pos").groupBy("token")
               .agg(F.count(F.lit(1)).cast("bigint").alias("freq"), F.min(place).alias("first")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -98,3 +98,24 @@ def test_stream_log_is_folded(spark, tmp_path):
     got = streams.stream_token_freq(spark, f"{tmp_path}/in", rows.schema, lambda df: df.selectExpr("array(token) AS tokens"),
                                     files_per_trigger=1, compact_every=3)
     assert {r.token: r.freq for r in got.collect()} == {f"t{k}": 9 if k < 4 else 8 for k in range(7)}
+
+
+def test_stream_vocabulary_goes_on_after_a_restart(spark, tmp_path):
+    """Counts and first appearances of a stream that stops and goes on are the table's, so the
+    vocabulary is; old generations of the log are gone."""
+    import os
+
+    from docpairs.operators import vocab as V
+    from docpairs.streaming import streams
+    rows = spark.range(300).selectExpr("id AS pair_id", "array(concat('w', id % 17), concat('v', id % 5), 'all', concat('w', id % 3)) AS tokens")
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k in range(12):
+        rows.where(f"pair_id % 12 = {11 - k}").coalesce(1).write.mode("append").json(src)
+        if k in (4, 11):
+            got = streams.stream_token_counts(spark, src, rows.schema, lambda df: df, out=out, files_per_trigger=1, compact_every=3)
+    want = V.token_freq(rows)
+    plain = lambda df: sorted((r["token"], r["freq"], r["first"]["id"], r["first"]["pos"]) for r in df.collect())
+    assert plain(got) == plain(want)
+    ids = lambda df: sorted((r["token"], r["idx"], r["freq"]) for r in V.build_vocab(df, 2, 20).collect())
+    assert ids(got) == ids(want)
+    assert sorted(os.listdir(f"{out}/log")) == ["000002", "000003"]

@@ -43,3 +43,26 @@ def test_dense_index_with_dominant_group(spark):
     for g in ("big", "small"):
         ks = sorted((r["k"], r["i"]) for r in out if r["g"] == g)
         assert [i for _, i in ks] == list(range(len(ks)))
+
+
+def test_encode_by_a_vocabulary_of_any_size(spark):
+    """A token that is a third of the corpus is never joined, a long row comes back in chunks,
+    rows may share ids and columns, and no vocabulary reaches the driver."""
+    rows, df = _corpus(spark)
+    voc = V.build_vocab(V.token_freq(df), 2, None)
+    ids = {r["token"]: r["idx"] for r in voc.collect()}
+    rows += [(3, ["hot", "new"]), (3, None), (3, [])]
+    more = spark.createDataFrame(rows, "pair_id long, tokens array<string>").withColumn("idx", F.lit("x")).repartition(9)
+    got = V.encode_by_join(more, "tokens", voc, chunk=64)
+    want = sorted((p, tuple(t or ()), tuple(ids.get(x, 3) for x in t or ())) for p, t in rows)
+    assert sorted((r["pair_id"], tuple(r["tokens"] or ()), tuple(r["ids"])) for r in got.collect()) == want
+    assert got.columns == ["pair_id", "tokens", "idx", "ids"]
+    assert [r["ids"] for r in V.encode(df.where("pair_id = 7"), "tokens", voc).collect()] == [[ids.get(x, 3) for x in rows[7][1]]]
+
+
+def test_a_promised_bound_is_checked(spark):
+    import pytest
+    _, df = _corpus(spark)
+    voc = V.build_vocab(V.token_freq(df), 2, None)
+    with pytest.raises(ValueError, match="promised"):
+        V.encode(df, "tokens", voc, known_bound=100)
