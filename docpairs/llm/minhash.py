@@ -261,11 +261,13 @@ def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int =
 
         for batch in batches:
             a, b, known = [], [], []
-            for r in zip(*[batch.column(c).to_pylist() for c in ("bucket", "piece", "turn", "id", *FACTS)]):
-                bucket, place, turn, who, component, na, nb, common, apart = r
+            lists = batch.column("apart")    # a row's list becomes a set only when it is the row's turn
+            flat, ends, there = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            for i, r in enumerate(zip(*[batch.column(c).to_pylist() for c in ("bucket", "piece", "turn", "id", *FACTS[:-1])])):
+                bucket, place, turn, who, component, na, nb, common = r
                 if (bucket, place) != now:
                     now, heads, parent = (bucket, place), [], {}
-                apart = None if apart is None else frozenset(apart)
+                apart = frozenset(flat[ends[i]:ends[i + 1]].tolist()) if there[i] else None
                 if not turn:
                     heads.append((who, component, nb, common, apart))
                     continue
