@@ -3,6 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes every
 stage's rows as Parquet under ``spark.checkpoint.dir`` and gives them to the next one.
 The first four return the columns of ``documents``; the last returns the packed pieces.
+
+Cases, by stage: null and empty texts are judged by the classifier like others; those it
+keeps equal each other, so one of them stays (that of the largest ``doc_id``; a null id is
+smallest), is near to nothing, holds no secret and packs as its end token. Rows repeated as
+a whole leave one row. Extra columns, whatever their names, go through the first four
+stages unchanged. An empty table gives no rows; without labelled rows of both classes
+every document is kept by the first stage.
 """
 
 from __future__ import annotations
