@@ -8,8 +8,8 @@ Cases, by stage: null and empty texts are judged by the classifier like others;
 keeps equal each other, so one of them stays (that of the largest ``doc_id``; a null id is
 smallest), is near to nothing, holds no secret and packs as its end token. Rows repeated as
 a whole leave one row. Extra columns, whatever their names, go through the first four
-stages unchanged. An empty table gives no rows; without labelled rows of both classes
-every document is kept by the first stage.
+stages unchanged. An empty table gives no rows; without any label the first
+stage keeps every document.
 """
 
 from __future__ import annotations
