@@ -30,7 +30,7 @@ from .common import held_by, read, text_or_empty, written
 FEATURES = ("log_words", "mean_word", "log_lines", "upper", "digit", "mark", "odd_mark", "non_ascii",
             "distinct_words", "distinct_lines", "short_words", "long_words", "top_word", "marked_words")
 THRESHOLD = 0.3
-#: Shrinkage towards the pooled covariance, then towards a multiple of the identity.
+#: Shrinkage towards the pooled covariance, then towards its diagonal.
 TO_POOLED, TO_DIAGONAL = 0.5, 0.1
 
 

@@ -82,3 +82,31 @@ def test_empty_documents(spark, sf, docs):
     for _, stage in C.STAGES:
         out = stage(spark, out, sf)
     assert out.count() == 0
+
+
+def test_awkward_rows_go_through_all_stages(spark, sf, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, rows repeated as a whole and extra
+    columns with the operators' own names, beside the table's rows."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = docs.orderBy("doc_id").first()
+    odd = [(None, None, None, None, None), (900001, None, None, "s", None), (900002, "", "en", None, 0), (None, "", "en", "s", 0),
+           (900003, good.text + "\n" + "ordinary words of a long text " * 40_000, "en", "s", None), (900004, good.text.upper(), "en", "s", 1),
+           (900004, good.text.upper(), "en", "s", 1), (900005, good.text, None, None, None)]
+    extra = {"kept": F.lit("x"), "digest": F.lit(1), "component_id": F.lit(None).cast("string"), "quality_score": F.lit("y"), "pack_row": F.lit(2),
+             "drop_id": F.lit(3), "length": F.lit("z"), "a b.c": F.lit(4)}
+    table = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns(extra)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    from docpairs.llm.common import written
+    steps = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for _, stage in C.STAGES:
+        steps.append(written(stage(spark, steps[-1], str(tmp_path)), "test-stage"))
+    assert all(s.columns == table.columns for s in steps[:5])
+    rows = [[(r.doc_id, lower(r.text or "")) for r in s.select("doc_id", "text").collect()] for s in steps[:5]]
+    for text in {t for _, t in rows[1]}:
+        ids = [i for i, t in rows[1] if t == text]
+        assert [i for i, t in rows[2] if t == text] == [max(ids, key=lambda i: -1 if i is None else i)]
+    assert set(rows[3]) <= set(rows[2]) and len(rows[4]) == len(rows[3])
+    packed = steps[5].collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in rows[4]} and len({(r.doc_id, r.piece) for r in packed}) == len(packed)
