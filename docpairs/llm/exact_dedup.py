@@ -29,6 +29,8 @@ from .common import lower_ascii, read, text_or_empty, written
 BLOCK_BITS = 32768
 BITS_PER_ROW = 16
 BROADCAST_BYTES = 32 << 20
+#: Groups from one thousandth of all rows on are broadcast.
+HOT_SHARE = 1000
 
 
 def text_digest(col="text") -> Column:
@@ -76,17 +78,23 @@ def dedup_report(docs: DataFrame, bits_per_row: int = BITS_PER_ROW,
                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    The digests are written once (48 bytes a row); no text is shuffled at all. Rows that
-    tie on the largest ``doc_id`` keep one of them."""
+    The digests are written once (48 bytes a row); no text is shuffled at all. Groups that
+    hold a thousandth of all rows or more, of which there are at most a thousand, are
+    broadcast with their winners, so the rows of a hot text never meet in one task; the
+    others are joined by digest. Rows that tie on the largest ``doc_id`` keep one of them."""
     digests = written(docs.select(F.col("doc_id"), text_digest("text").alias("digest"))
                       .withColumn("row", F.monotonically_increasing_id()), "digests")
-    n_blocks = _n_blocks(digests.count(), bits_per_row)
+    number = digests.count()
+    n_blocks = _n_blocks(number, bits_per_row)
     bits = _with_bits(digests, "digest", n_blocks)
     marked = mark_possible(bits, repeated_filter(bits), n_blocks, broadcast_bytes)
     maybe = marked.where("maybe_repeated").drop("maybe_repeated")
-    groups = (maybe.groupBy("digest")
-              .agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count(F.lit(1)).alias("group_size")))
-    repeated = maybe.join(groups, "digest").select(
+    groups = written(maybe.groupBy("digest")
+                     .agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count(F.lit(1)).alias("group_size")), "groups")
+    hot = F.col("group_size") >= max(2, -(-number // HOT_SHARE))
+    few = F.broadcast(groups.where(hot))
+    named = maybe.join(few, "digest").unionByName(maybe.join(few, "digest", "left_anti").join(groups.where(~hot), "digest"))
+    repeated = named.select(
         "doc_id", F.col("winner.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("winner.row")).alias("kept"), "digest")
     unique = marked.where("NOT maybe_repeated").select(
