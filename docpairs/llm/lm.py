@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, read, run_folder, save_file, text_or_empty
+from .common import held_by, local_path, read, run_folder, save_file, text_or_empty
 from .wordhash import mix, slices, text_bytes, words
 
 END = np.uint64(0x5EED0FE4D0000001)
 #: Distinct keys a task holds before it hands partial counts on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Bytes of text that are worked on at once.
 SLICE = 3 << 20
 #: Tokens per shard of pairs.
@@ -204,6 +204,7 @@ def _hot(vocabulary: Words, first: np.ndarray, limit: float) -> np.ndarray:
 # ------------------------------------------------------------------ training in Spark
 def _count_words(shards: int):
     def run(batches):
+        held_by("lm-words")     # lets go of the model that the worker scored with before
         tally = Tally()
         for batch in batches:
             for _, part in slices(batch.column(0), SLICE):
@@ -226,6 +227,7 @@ def _combined(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
 
 def _save_words(folder: str):
     def run(table: pa.Table) -> pa.Table:
+        held_by("lm-words")
         shard, keys, counts = _combined(table)
         save_array(folder, f"word-{shard:06d}", keys)
         save_array(folder, f"count-{shard:06d}", counts)
@@ -390,14 +392,13 @@ class Model:
         return out
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def _words(folder: str, sizes: tuple[int, ...]) -> Words:
-    if folder not in _WORDS:
-        _WORDS.clear()
-        _WORDS[folder] = Words(folder, list(sizes))
-    return _WORDS[folder]
+    """The words of a model; a worker keeps the maps of one model at a time."""
+    held = held_by("lm")
+    if folder not in held:
+        held.clear()
+        held[folder] = Words(folder, list(sizes))
+    return held[folder]
 
 
 def train(texts: DataFrame, folder: str) -> Model:

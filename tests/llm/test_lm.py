@@ -123,3 +123,11 @@ def test_query_against_brute_force(spark, sf):
         assert math.isclose(r.base_score, b.base(text[r.doc_id]), rel_tol=1e-9)
         assert math.isclose(r.score, b.score(text[r.doc_id]), rel_tol=1e-9)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_counting_lets_go_of_the_last_model(tmp_path):
+    from docpairs.llm import common, lm
+    lm._words(str(tmp_path), (0,))
+    assert common._HELD["tables"]
+    list(lm._count_words(2)(iter([])))
+    assert not common._HELD["tables"]
