@@ -17,13 +17,13 @@ out once its members share a component or all were first. So a group of thousand
 copies costs a test per member and band at most, and yet no two documents of a bucket
 stay apart untested. The first members per round grow eightfold, so the rounds are few.
 
-From the second round on, two members that the first round found near their bucket's
-first member are compared by what sets each of them apart from it: with c and d shingles
-in common with a first member of n, and s shingles that both differences share, they have
-exactly c + d - n + s shingles in common. The differences are short, so members and first
-members of a bucket meet in pieces of ``PIECE`` members, sorted one behind the other in a
-task, and only a spanning forest of the links becomes rows; a large group of texts that
-are alike but not alike enough yields none. Other pairs are confirmed on the full sets.
+The first round confirms its pairs on the full sets and keeps what sets a member apart
+from its bucket's first member. From the second round on, two members of a bucket are
+compared by these differences: with c and d shingles in common with a first member of n,
+and s shingles that both differences share, they have exactly c + d - n + s shingles in
+common. Members and first members of a bucket meet in pieces of ``PIECE`` members, sorted
+one behind the other in a task, and only a spanning forest of the links becomes rows; a
+large group of texts that are alike but not alike enough yields none.
 
 Everything data-sized stays in tables under ``spark.checkpoint.dir``; the driver sees
 counts only.
@@ -51,8 +51,11 @@ PERCENT = 80
 FIRST, GROWTH, MOST = 1, 8, 512
 #: Members of a bucket that one task compares with the bucket's first members.
 PIECE = 2048
-#: From this similarity (in percent) to a bucket's first member on, the difference is kept.
-NEAR = 40
+#: From this similarity (in percent) to a bucket's first member on, the difference is kept:
+#: for every pair, so that no pair of later rounds has to become a row to be told.
+NEAR = 0
+#: Differences of more shingles are held as sorted arrays, 8 bytes each, not as sets.
+LONG = 2048
 
 
 # ------------------------------------------------------------------ sets and signatures
@@ -221,11 +224,9 @@ def link_components(docs: DataFrame, table: DataFrame, shingle: int, percent: in
             links = near.where("linked").select("a", "b")
         else:
             facts = near.select("a", F.col("b").alias("id"), "na", "nb", "common", "apart")
-            here = written(here.join(pivots, "bucket").join(facts, ["a", "id"], "left").drop("a"), "apart")
+            here = written(here.join(pivots, "bucket").join(facts, ["a", "id"]).drop("a"), "apart")
             firsts = _first_members(here, number, ["na", "nb", "common", "apart"])
-            found = written(bucket_links(here, firsts, percent), "found")
-            full = compared(found.where("NOT known").select("a", "b").distinct(), sets, percent)
-            links = found.where("known").select("a", "b").unionByName(full.where("linked").select("a", "b"))
+            links = bucket_links(here, firsts, percent)
         labels = merge_components(labels, written(links, "links"))
         done = firsts.select(F.col("f_bucket").alias("bucket"), F.col("f.id").alias("id"))
         members = written(here.select("bucket", "id").join(done, ["bucket", "id"], "left_anti"), "buckets")
@@ -237,8 +238,7 @@ FACTS = ["component", "na", "nb", "common", "apart"]
 
 
 def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int = PIECE) -> DataFrame:
-    """``a, b, known``: links between first and later members of the buckets, and pairs
-    whose facts do not tell (``known`` is false), to be confirmed on the full sets.
+    """``a, b``: links between first and later members of the buckets.
 
     A bucket's members are dealt in pieces, and its first members go to each of them. A
     piece keeps track of what its links have joined: members that share a component by then
@@ -260,14 +260,14 @@ def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int =
             return c
 
         for batch in batches:
-            a, b, known = [], [], []
+            a, b = [], []
             lists = batch.column("apart")    # a row's list becomes a set only when it is the row's turn
-            flat, ends, there = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i, r in enumerate(zip(*[batch.column(c).to_pylist() for c in ("bucket", "piece", "turn", "id", *FACTS[:-1])])):
                 bucket, place, turn, who, component, na, nb, common = r
                 if (bucket, place) != now:
                     now, heads, parent = (bucket, place), [], {}
-                apart = frozenset(flat[ends[i]:ends[i + 1]].tolist()) if there[i] else None
+                apart = held(flat[ends[i]:ends[i + 1]])
                 if not turn:
                     heads.append((who, component, nb, common, apart))
                     continue
@@ -278,18 +278,35 @@ def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int =
                     other = root(its)
                     if other == mine:
                         continue
-                    told = apart is not None and differs is not None
-                    if told:
-                        both = shared + common - na + len(differs & apart)
-                        if 100 * both < percent * (hb + nb - both):
-                            continue
-                        parent[max(other, mine)] = mine = min(other, mine)
+                    # No more than the smaller set, or the shorter difference, can be shared.
+                    most = min(hb, nb, shared + common - na + min(len(differs), len(apart)))
+                    if 100 * most < percent * (hb + nb - most):
+                        continue
+                    both = shared + common - na + in_both(differs, apart)
+                    if 100 * both < percent * (hb + nb - both):
+                        continue
+                    parent[max(other, mine)] = mine = min(other, mine)
                     a.append(head)
                     b.append(who)
-                    known.append(told)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(known)], ["a", "b", "known"])
-    return dealt.mapInArrow(run, "a bigint, b bigint, known boolean")
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def held(values: np.ndarray):
+    """The distinct shingles of a difference: a set, a sorted array if there are many."""
+    return frozenset(values.tolist()) if len(values) <= LONG else np.sort(values)
+
+
+def in_both(x, y) -> int:
+    """How many shingles two differences share."""
+    if isinstance(x, frozenset) and isinstance(y, frozenset):
+        return len(x & y)
+    if isinstance(x, frozenset):
+        x, y = y, x
+    y = np.fromiter(y, np.int64, len(y)) if isinstance(y, frozenset) else y
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int((x[at] == y).sum())
 
 
 def _first_members(here: DataFrame, number: int, facts: list[str]) -> DataFrame:

@@ -92,6 +92,26 @@ def test_a_large_group_that_is_not_alike_enough(docs):
     assert got == name and 2 < len(set(name.values())) < 150
 
 
+def test_members_unlike_the_first_are_told_by_their_differences(spark, monkeypatch):
+    """Members far from their bucket's first member: their pairs are told in the task, and
+    one that is not near makes no row (each was a row to be confirmed before)."""
+    rnd = random.Random(5)
+    sets = {0: frozenset(range(40))}    # the first member; the others share a fifth of it
+    for i in range(1, 41):
+        sets[i] = frozenset(range(8)) | frozenset(rnd.sample(range(100, 160), 50)) if i % 2 else frozenset(range(8)) | {1000 * i + k for k in range(50)}
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "doc_id long, shingles array<long>")
+    pairs = spark.createDataFrame([(0, i) for i in sets if i], "a long, b long")
+    near = M.compared(pairs, table).selectExpr("'x' AS bucket", "b AS id", "b AS component", "na", "nb", "common", "apart").cache()
+    want = {(a, b) for a in range(1, 41) for b in range(a + 1, 41) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    firsts = M._first_members(near, 8, ["na", "nb", "common", "apart"])
+    for long in (M.LONG, 20):    # as sets, and as sorted arrays
+        monkeypatch.setattr(M, "LONG", long)
+        links = [(r.a, r.b) for r in M.bucket_links(near, firsts, 80, piece=16).collect()]
+        assert links and set(links) <= want and len(links) < 40
+        assert {b for _, b in links} == {b for a, b in want if a <= 8}
+    assert M.in_both(frozenset([1, 5]), np.array([1, 4, 5])) == M.in_both(np.array([1, 4, 5]), np.array([1, 5])) == 2
+
+
 def test_compared_pairs(docs, spark):
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(50)]
