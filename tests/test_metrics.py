@@ -138,3 +138,21 @@ def test_long_texts_evaluate(spark):
                                "pair_id long, model string, reference string, prediction string")
     got = {r["metric"]: r["value"] for r in M.evaluate_all(df).collect()}
     assert got["ROUGE-1"] == 100.0 and 0 < got["ROUGE-L"] < 1
+
+
+def test_clipped_counts_of_all_orders(monkeypatch):
+    """Numbers in place of tuples of strings: the same counts for short, long, empty and equal rows."""
+    import random
+
+    from docpairs.functions import overlap as O
+    rnd = random.Random(3)
+    for size, kinds in ((0, 1), (1, 1), (3, 2), (40, 5), (300, 20), (3000, 900), (3000, 40)):
+        a, b = ([f"w{rnd.randrange(kinds)}" for _ in range(size + k)] for k in (0, rnd.randrange(9)))
+        for x, y in ((a, b), (b, a), (a, a), (a, []), ([], b), (a, b[:3]), (a, a[:-1] + ["x"])):
+            want = [O.clipped(x, y, n) for n in (1, 2, 3, 4)]
+            for short in (128, 0):
+                monkeypatch.setattr(O, "SHORT", short)
+                assert O.clipped_by_order(x, y, (1, 2, 3, 4)) == want and O.clipped_by_order(x, y, (2,)) == want[1:2]
+    # More kinds of grams than 62 bits hold.
+    a = [f"t{i}" for i in range(70000)]
+    assert O.clipped_by_order(a, a[:60000] + a[:5], (1, 2, 3, 4)) == [60000, 59999, 59998, 59997] and O.clipped_by_order(a, a[1:], ()) == []
