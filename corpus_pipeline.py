@@ -17,10 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docpairs.llm import exact_dedup, minhash, packing, quality, secrets
-from docpairs.llm.common import read, written
+from docpairs.llm.common import read, small_batches, written
 from docpairs.session import ensure_checkpoint_dir, ensure_package_on_workers
 
 
+#: Word forms that a packing worker remembers here: the stages before have filled the
+#: executors' heaps, so its memory counts more than looking up a form again.
+CACHED_FORMS = 300_000
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     _prepare(spark)
@@ -48,12 +53,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
     _prepare(spark)
-    return packing.pack_digests(docs)
+    return packing.pack_digests(docs, cached_forms=CACHED_FORMS)
 
 
 def _prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ensure_package_on_workers(spark)
+    small_batches(spark)
 
 
 STAGES = [("quality", good_quality), ("exact_dedup", without_copies), ("near_dedup", without_near_copies),

@@ -48,11 +48,12 @@ class PieceEncoder:
     """Token ids of texts as little-endian 32-bit bytes; each distinct form of a word
     goes to the tokenizer once per worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_forms: int = CACHED_FORMS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cached_forms = cached_forms
         self.forms: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -72,7 +73,7 @@ class PieceEncoder:
         for w, x in stems.items():
             if x != w:
                 ids[w] = (ids[x] if x in ids else self.forms[x]) + self.marks[w[len(x):]]
-        if len(self.forms) < CACHED_FORMS:
+        if len(self.forms) < self.cached_forms:
             self.forms.update((w, x) for w, x in ids.items() if len(w) <= 64)
         return ids
 
@@ -88,25 +89,26 @@ class PieceEncoder:
         return first + b"".join(ids)[4 * newline:]
 
 
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str, cached_forms: int = CACHED_FORMS) -> PieceEncoder:
     """One encoder per worker process and tokenizer."""
-    held = held_by("packing")
-    if path not in held:
-        held[path] = PieceEncoder(path)
-    return held[path]
+    held, key = held_by("packing"), (path, cached_forms)
+    if key not in held:
+        held[key] = PieceEncoder(path, cached_forms)
+    return held[key]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids", pa.binary())])
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0,
+                 cached_forms: int = CACHED_FORMS) -> DataFrame:
     """``doc_id, piece, start, length, ids``: the pieces of each document's tokens (its
     ids, then ``end_id``); ``ids`` holds little-endian unsigned 32-bit numbers."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches):
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, cached_forms)
         for batch in batches:
             rows, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -373,10 +375,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack_digests(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_digests(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY,
+                 cached_forms: int = CACHED_FORMS) -> DataFrame:
     """As ``packed_documents`` with the CRC-32 of the ids instead of the ids, taken
     before anything is shuffled or written."""
-    pieces = token_pieces(docs, tokenizer_path or default_tokenizer(), capacity)
+    pieces = token_pieces(docs, tokenizer_path or default_tokenizer(), capacity, cached_forms=cached_forms)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")),
                 ["doc_id", "piece"], capacity)
 

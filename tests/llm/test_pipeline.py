@@ -110,3 +110,21 @@ def test_awkward_rows_go_through_all_stages(spark, sf, tmp_path):
     assert set(rows[3]) <= set(rows[2]) and len(rows[4]) == len(rows[3])
     packed = steps[5].collect()
     assert {r.doc_id for r in packed} == {i for i, _ in rows[4]} and len({(r.doc_id, r.piece) for r in packed}) == len(packed)
+
+
+def test_workers_hold_little_text(spark, sf, docs):
+    """Batches of texts and the packing workers' word forms are bounded; a smaller bound of the
+    session stays."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for held, kept in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(conf, held)
+            C.packed(spark, docs(["a"]), sf)
+            assert spark.conf.get(conf) == kept
+    finally:
+        spark.conf.set(conf, before)
+    encoder = packing.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), 3)
+    one, two = "some words of a text", "other forms that it meets"
+    assert [encoder.encode(t) for t in (one, two, two)] == [packing.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")).encode(t) for t in (one, two, two)]
+    assert len(encoder.forms) == 5 and C.CACHED_FORMS < packing.CACHED_FORMS
