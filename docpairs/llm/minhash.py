@@ -11,19 +11,22 @@ is missed with probability 2e-5.
 Documents with equal sets are one class and only its smallest id takes part further, so
 copies cost one row each. Candidates are confirmed on the full sets, and components
 follow from the confirmed links. Not every pair of a band is tested, only what the
-components need: in each round the first members of a bucket are compared with those
-later members that are in another component by then, and are done with. A bucket drops
-out once its members share a component or all were first. So a group of thousands of near
-copies costs a test per member and band at most, and yet no two documents of a bucket
-stay apart untested. The first members per round grow eightfold, so the rounds are few.
+components need: the first round compares a bucket's first member with all others. The
+last round compares the outsiders of a bucket, its members outside its largest component
+by then, with all its members of other components; a bucket whose members share a
+component drops out. So a group of thousands of near copies costs a test per member and
+band at most, and yet no two documents of a bucket stay apart untested. Only while a
+bucket has more than ``PIECE`` outsiders, up to three rounds between them compare some of
+the outsiders (eight, 64, 512) with the rest, so that fewer are left. A round costs many
+small jobs, whatever it compares, so their number is bounded.
 
 The first round confirms its pairs on the full sets and keeps what sets a member apart
 from its bucket's first member. From the second round on, two members of a bucket are
 compared by these differences: with c and d shingles in common with a first member of n,
 and s shingles that both differences share, they have exactly c + d - n + s shingles in
-common. Members and first members of a bucket meet in pieces of ``PIECE`` members, sorted
-one behind the other in a task, and only a spanning forest of the links becomes rows; a
-large group of texts that are alike but not alike enough yields none.
+common. Outsiders and members of a bucket meet in pieces of ``PIECE`` rows, sorted one
+behind the other in a task, and only a spanning forest of the links becomes rows; a large
+group of texts that are alike but not alike enough yields none.
 
 Everything data-sized stays in tables under ``spark.checkpoint.dir``; the driver sees
 counts only.
@@ -47,10 +50,12 @@ from .wordhash import mix, slices, text_bytes, words
 ROWS, BANDS = 6, 36
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: First members of a bucket in the first round, and their growth from round to round.
-FIRST, GROWTH, MOST = 1, 8, 512
-#: Members of a bucket that one task compares with the bucket's first members.
-PIECE = 2048
+#: Outsiders of a bucket that a round between the first and the last one compares with the
+#: others: at first, their growth from round to round, and at most.
+SOME, GROWTH, MOST = 8, 8, 512
+#: Members of a bucket that one task compares with each other, and the shingles of their
+#: differences, which a task holds (on average: rows are dealt by hash).
+PIECE, SHINGLES = 2048, 1 << 20
 #: From this similarity (in percent) to a bucket's first member on, the difference is kept:
 #: for every pair, so that no pair of later rounds has to become a row to be told.
 NEAR = 0
@@ -209,47 +214,62 @@ def link_components(docs: DataFrame, table: DataFrame, shingle: int, percent: in
     labels = written(members.select("id").distinct().withColumn("component", F.col("id")), "labels")
     wanted = docs.join(labels.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(full_sets(wanted, shingle), "sets")
-    number, near, pivots = FIRST, None, None
-    while members.limit(1).count():
-        here = members.join(labels, "id")
+    firsts = _first_members(members.withColumn("component", F.col("id")), 1, [])
+    pivots = written(firsts.select(F.col("f_bucket").alias("bucket"), F.col("f.id").alias("a")), "pivots")
+    others = members.join(pivots, "bucket").where("a < id")
+    near = written(compared(others.select("a", F.col("id").alias("b")).distinct(), sets, percent), "near")
+    labels = merge_components(labels, written(near.where("linked").select("a", "b"), "links"))
+    facts = near.select("a", F.col("b").alias("id"), *FACTS[1:])
+    number = SOME
+    while True:
+        now = others.join(labels, "id")
         # Only buckets that still hold more than one component matter.
-        mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        here = written(here.join(mixed.where("low < high").select("bucket"), "bucket"), "mixed")
-        later = (F.col("bucket") == F.col("f_bucket")) & (F.col("f.id") < F.col("id")) & (F.col("f.component") != F.col("component"))
-        if near is None:
-            firsts = written(_first_members(here, number, []), "pivots")
-            pivots = firsts.select(F.col("f_bucket").alias("bucket"), F.col("f.id").alias("a"))
-            pairs = here.join(firsts, later).select(F.col("f.id").alias("a"), F.col("id").alias("b")).distinct()
-            near = written(compared(pairs, sets, percent), "near")
-            links = near.where("linked").select("a", "b")
+        mixed = (now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+                 .groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("held"))
+                 .where("held > 1").select("bucket", F.col("most.component").alias("main")))
+        here = written(now.join(mixed, "bucket").join(facts, ["a", "id"]).drop("a"), "apart")
+        outside = here.where(OUTSIDE)
+        largest = outside.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+        last = largest <= PIECE or number > MOST
+        if last:
+            firsts = outside.select(F.col("bucket").alias("f_bucket"), F.struct("id", *FACTS).alias("f"))
         else:
-            facts = near.select("a", F.col("b").alias("id"), "na", "nb", "common", "apart")
-            here = written(here.join(pivots, "bucket").join(facts, ["a", "id"]).drop("a"), "apart")
-            firsts = _first_members(here, number, ["na", "nb", "common", "apart"])
-            links = bucket_links(here, firsts, percent)
+            firsts = _first_members(outside, number, FACTS[1:])
+        links = bucket_links(here, firsts, percent, first=OUTSIDE if last else "false")
         labels = merge_components(labels, written(links, "links"))
-        done = firsts.select(F.col("f_bucket").alias("bucket"), F.col("f.id").alias("id"))
-        members = written(here.select("bucket", "id").join(done, ["bucket", "id"], "left_anti"), "buckets")
-        number = min(number * GROWTH, MOST)
-    return labels
+        if last:
+            return labels
+        number *= GROWTH
 
 
 FACTS = ["component", "na", "nb", "common", "apart"]
+#: The members of a bucket outside its largest component.
+OUTSIDE = "component <> main"
 
 
-def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int = PIECE) -> DataFrame:
-    """``a, b``: links between first and later members of the buckets.
+def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int | None = None, first: str = "false") -> DataFrame:
+    """``a, b``: links between first members (any of the bucket's) and members of the buckets.
+    ``first`` may tell the first members among ``here``: two of them are then compared once.
 
-    A bucket's members are dealt in pieces, and its first members go to each of them. A
-    piece keeps track of what its links have joined: members that share a component by then
-    are not compared, so a piece gives a spanning forest of its components, one row less
+    Members and first members of a bucket are dealt in pieces, and every two pieces meet. A
+    meeting keeps track of what its links have joined: members that share a component by
+    then are not compared, so it gives a spanning forest of its components, one row less
     than it has components, however many members are alike."""
-    sizes = here.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
-    members = here.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"),
-                                                F.lit(1).alias("turn"), "id", *FACTS)
-    pivots = firsts.join(sizes, F.col("bucket") == F.col("f_bucket")).select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("turn"), "f.id", *[f"f.{c}" for c in FACTS])
-    dealt = pivots.unionByName(members).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "turn", "id")
+    piece = piece or PIECE
+
+    def pieces(apart):
+        return F.ceil(F.greatest(F.count(F.lit(1)) / piece, F.sum(F.size(apart)) / SHINGLES)).cast("int")
+
+    sizes = (here.groupBy("bucket").agg(pieces("apart").alias("pieces"))
+             .join(firsts.groupBy(F.col("f_bucket").alias("bucket")).agg(pieces("f.apart").alias("f_pieces")), "bucket"))
+    every = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name) for c, name in (("pieces", "piece"), ("f_pieces", "f_piece"))]
+    members = here.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), every[1],
+                                                F.lit(1).alias("turn"), "id", F.expr(first).alias("first"), *FACTS)
+    heads = firsts.join(sizes, F.col("bucket") == F.col("f_bucket")).select(
+        "bucket", every[0], F.pmod(F.xxhash64("f.id"), F.col("f_pieces")).cast("int").alias("f_piece"),
+        F.lit(0).alias("turn"), "f.id", F.lit(True).alias("first"), *[f"f.{c}" for c in FACTS])
+    place = ["bucket", "piece", "f_piece"]
+    dealt = heads.unionByName(members).repartition(*place).sortWithinPartitions(*place, "turn", "id")
 
     def run(batches):
         now, heads, parent = None, [], {}
@@ -263,17 +283,17 @@ def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int =
             a, b = [], []
             lists = batch.column("apart")    # a row's list becomes a set only when it is the row's turn
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for i, r in enumerate(zip(*[batch.column(c).to_pylist() for c in ("bucket", "piece", "turn", "id", *FACTS[:-1])])):
-                bucket, place, turn, who, component, na, nb, common = r
-                if (bucket, place) != now:
-                    now, heads, parent = (bucket, place), [], {}
+            for i, r in enumerate(zip(*[batch.column(c).to_pylist() for c in (*place, "turn", "id", "first", *FACTS[:-1])])):
+                *at, turn, who, one, component, na, nb, common = r
+                if at != now:
+                    now, heads, parent = at, [], {}
                 apart = held(flat[ends[i]:ends[i + 1]])
                 if not turn:
                     heads.append((who, component, nb, common, apart))
                     continue
                 mine = root(component)
                 for head, its, hb, shared, differs in heads:
-                    if head >= who:
+                    if one and head >= who:    # the first member behind it is compared with it
                         break
                     other = root(its)
                     if other == mine:
@@ -286,8 +306,8 @@ def bucket_links(here: DataFrame, firsts: DataFrame, percent: int, piece: int =
                     if 100 * both < percent * (hb + nb - both):
                         continue
                     parent[max(other, mine)] = mine = min(other, mine)
-                    a.append(head)
-                    b.append(who)
+                    a.append(min(head, who))
+                    b.append(max(head, who))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return dealt.mapInArrow(run, "a bigint, b bigint")

@@ -92,6 +92,23 @@ def test_a_large_group_that_is_not_alike_enough(docs):
     assert got == name and 2 < len(set(name.values())) < 150
 
 
+def test_rounds_do_not_grow_with_a_group(docs, monkeypatch):
+    """Variants of one text, few of them linked: two rounds tell every pair. (A bucket's
+    first members were compared round by round, up to 512 in each.) Buckets with more
+    outsiders than a task takes have three rounds more at most."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    texts = dict(enumerate([" ".join(edited(rnd, base, rnd.choice([0, .02, .06, .09, .15, .3]))) for _ in range(150)], 1))
+    name, _ = brute(texts, 2)
+    written, tags = M.written, []
+    monkeypatch.setattr(M, "written", lambda df, tag: (tags.append(tag), written(df, tag))[1])
+    for piece, rounds in ((M.PIECE, 1), (16, 4)):
+        monkeypatch.setattr(M, "PIECE", piece)
+        tags.clear()
+        assert {r.doc_id: r.component_id for r in M.components(docs(list(texts.values())), 2).collect()} == name
+        assert 1 <= tags.count("apart") <= rounds
+
+
 def test_members_unlike_the_first_are_told_by_their_differences(spark, monkeypatch):
     """Members far from their bucket's first member: their pairs are told in the task, and
     one that is not near makes no row (each was a row to be confirmed before)."""
