@@ -61,3 +61,26 @@ def test_few_tasks_read_many_small_files(spark, tmp_path):
         assert sorted(bytes(r.source_code).decode() for r in files.collect()) == sorted(f"x = {i}" for i in range(400))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_counts_are_hashed_and_first_places_are_exact(spark, tmp_path):
+    """The least (id, position) of a token is found without sorting all occurrences, in a
+    table and in a stream; ids of any sign, repeated and null ones keep their order."""
+    from docpairs.streaming import streams as ST
+    big = (1 << 63) - 1
+    rows = [(9, ["a", "b"]), (-5, ["c", "a", "a"]), (-5, ["d", "c"]), (None, ["e", "b", "e"]), (big, ["f", "g"]), (-big - 1, ["g", "f"])]
+    df = spark.createDataFrame(rows, "pair_id long, tokens array<string>")
+    want = {}
+    for i, tokens in rows:
+        for pos, t in enumerate(tokens):
+            n, first = want.get(t, (0, None))
+            place = (i is not None, i or 0, pos)
+            want[t] = (n + 1, place if first is None else min(first, place))
+    want = {t: (n, i if known else None, pos) for t, (n, (known, i, pos)) in want.items()}
+    counts = [V.token_freq(df), V.token_freq(df, batch=3), V.token_freq(df.withColumn("part", F.lit(1)), batch="part", by=["part"])]
+    df.repartition(3).write.json(f"{tmp_path}/in")
+    for c in counts:
+        assert "SortAggregate" not in c._jdf.queryExecution().executedPlan().toString()
+    counts.append(ST.stream_token_counts(spark, f"{tmp_path}/in", df.schema, lambda s: s, files_per_trigger=1))
+    for c in counts:
+        assert {r.token: (r.freq, r.first.id, r.first.pos) for r in c.collect()} == want
