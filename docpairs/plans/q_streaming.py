@@ -31,7 +31,9 @@ def q_stream_prepare(spark, sf_dir):
 
 def _code_tokens(df):
     """Tokens of the valid pairs: clean and validate inside the stream, then tokenise."""
-    return cleaning.preprocess(df, "raw_code", "raw_doc").select("pair_id", T.tokenize_code("code").alias("tokens"))
+    # Only these fields are parsed: ``preprocess`` carries every column it is given.
+    needed = df.select("pair_id", "raw_code", "raw_doc")
+    return cleaning.preprocess(needed, "raw_code", "raw_doc").select("pair_id", T.tokenize_code("code").alias("tokens"))
 
 
 @register("stream_token_freq", oracle(

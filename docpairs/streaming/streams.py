@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rows import explode_rows
-from ..operators import cleaning, scoring
+from ..operators import cleaning, scoring, vocab
 from ..session import ensure_checkpoint_dir
 
 
@@ -88,16 +87,16 @@ def stream_token_counts(spark: SparkSession, src: str, schema: T.StructType, pre
 
     def latest(number: int) -> DataFrame:
         rows = spark.read.parquet(generation(number))
-        last = F.max_by(F.struct("freq", "first"), "batch_id").alias("now")
-        return rows.groupBy("token").agg(last, F.max("batch_id").alias("batch_id")).select("token", "now.freq", "now.first", "batch_id")
+        # Column by column (rows of one batch are equal): a struct would be sorted for, not hashed.
+        last = [F.max_by(c, "batch_id").alias(name) for c, name in (("freq", "freq"), ("first.id", "_id"), ("first.pos", "_pos"))]
+        return rows.groupBy("token").agg(*last, F.max("batch_id").alias("batch_id")).select(
+            "token", "freq", F.struct(F.col("_id").alias("id"), F.col("_pos").alias("pos")).alias("first"), "batch_id")
 
     stream = read_stream(spark, src, schema, files_per_trigger)
     rows = prepare(stream)
     if id_col not in rows.columns:  # counts alone are asked for
         rows = rows.withColumn(id_col, F.lit(None).cast("bigint"))
-    place = F.struct(F.col(id_col).cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"))
-    counts = (explode_rows(rows, [id_col], F.col("tokens"), "token", "pos").groupBy("token")
-              .agg(F.count(F.lit(1)).cast("bigint").alias("freq"), F.min(place).alias("first")))
+    counts = vocab.token_freq(rows, "tokens", id_col)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         number = batch_id // compact_every
